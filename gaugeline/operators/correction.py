@@ -85,10 +85,15 @@ def fit_corrector(
         numTrees=trees,
         maxDepth=depth,
         featureSubsetStrategy="all",
+        # whole levels per pass, and no re-walk of all trees for every row and pass
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
         seed=seed,
     )
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(train.select(*features, "temperature"))
+    # few input files would leave most cores idle in every pass
+    train = train.select(*features, "temperature").repartition(train.sparkSession.sparkContext.defaultParallelism)
+    return Pipeline(stages=[assembler, forest]).fit(train)
 
 
 def apply_corrector(

@@ -244,6 +244,28 @@ def with_run_length(
     return finish_runs(drop_halo(looked.withColumn(RUN_START, run_start(value))), name)
 
 
+def with_running_length(
+    df: DataFrame, value: str, name: str = "running_length", slice_hours: int = DEFAULT.slice_hours
+) -> DataFrame:
+    """Length of the run so far, which unlike the full run length never looks ahead."""
+    w = slice_window()
+    looked = with_lookback(df, rows=1, carry=[value], slice_hours=slice_hours)
+    marked = drop_halo(looked.withColumn(RUN_START, run_start(value)))
+    marked = marked.withColumn("_run", F.sum(RUN_START).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_at", F.row_number().over(Window.partitionBy(KEY, SLICE, "_run").orderBy("ts")))
+    ends = marked.groupBy(KEY, SLICE).agg(
+        F.max("_run").alias("_last"), F.max_by("_at", F.struct("_run", "_at")).alias("_len")
+    )
+    history = Window.partitionBy(KEY).orderBy(SLICE)
+    upto = history.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_chain", F.sum(F.when(F.col("_last") > 0, 1).otherwise(0)).over(upto))
+    chain = Window.partitionBy(KEY, "_chain").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_open", F.sum("_len").over(chain)).withColumn("_before", F.lag("_open").over(history))
+    out = marked.join(ends.select(KEY, SLICE, "_before"), [KEY, SLICE], "left")
+    carried = F.when(F.col("_run") == 0, F.coalesce("_before", F.lit(0))).otherwise(0)
+    return out.withColumn(name, (F.col("_at") + carried).cast("bigint")).drop("_run", "_at", "_before", RUN_START, SLICE)
+
+
 def interpolate(
     df: DataFrame, value: Column, name: str, slice_hours: int = DEFAULT.slice_hours
 ) -> DataFrame:

@@ -88,7 +88,7 @@ def nearest_stations(stations: DataFrame, k: int = 3, start_km: float = 150.0) -
     others = stations.count() - 1
     want = min(k, others)
     half_way = math.pi * EARTH_RADIUS_KM
-    order = Window.partitionBy("a").orderBy("km", "b")
+    order = Window.partitionBy("a").orderBy(F.round("km", 6), "b")  # ties to a millimetre go to the lower id
     open_ids, done, radius = stations.select(F.col("station_id").alias("a")), None, start_km
     while True:
         pairs = station_pairs(stations, min(radius, half_way + 1)).join(open_ids, "a", "left_semi")

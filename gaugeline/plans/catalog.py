@@ -29,6 +29,7 @@ from gaugeline.plans import demo
 from gaugeline.plans.shapes import SHAPES, shaped
 from gaugeline.sources import files
 from gaugeline.sources.events import event_readings, observations, reading_columns
+from gaugeline.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,3 +847,63 @@ def station_compare(spark, sf):
 @query
 def series_overlay(spark, sf):
     return marts.series_overlay(_mart(spark, sf))
+
+
+# --- streams, read to the end -----------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    """The stored events as a stream of raw readings."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = jobs.replay(spark, sf, schema, pattern="events.parquet")
+    return event_readings(events).withColumns(reading_columns())
+
+
+def _replayed(spark, df):
+    path = new_table_path(spark, "history")
+    df.write.parquet(path)
+    return jobs.replay(spark, path, df.schema)
+
+
+@query
+def stream_qc(spark, sf):
+    return jobs.run_to_end(jobs.qc_stream(_event_stream(spark, sf)))
+
+
+@query
+def stream_dedup(spark, sf):
+    return jobs.run_to_end(jobs.dedup_stream(_event_stream(spark, sf)))
+
+
+@query
+def stream_kpis(spark, sf):
+    stream = jobs.station_kpis(_replayed(spark, observations(spark, sf)))
+    return jobs.run_to_end(stream).withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
+
+
+@query
+def stream_causal_votes(spark, sf):
+    stream = jobs.causal_votes(_replayed(spark, observations(spark, sf)))
+    return jobs.run_to_end(stream, stateful=True).withColumn("ts", F.col("event_time").cast("timestamp_ntz"))
+
+
+@query
+def stream_health(spark, sf):
+    df = demo.faulty(spark, sf).withColumn("fault_type", F.when(F.col("is_anomaly") == 1, F.col("fault_type")))
+    stream = jobs.health_stream(_replayed(spark, df))
+    return jobs.run_to_end(stream, stateful=True).withColumn("ts", F.col("event_time").cast("timestamp_ntz"))
+
+
+@query
+def live_score(spark, sf):
+    """Each station's newest reading scored live against the readings before it."""
+    obs = stage(observations(spark, sf), "obs")
+    newest = profile.latest_per_station(obs)
+    history = obs.join(newest.select("station_id", "ts"), ["station_id", "ts"], "left_anti")
+    forest = iforest.fit_iforest(history, FOREST_FEATURES, trees=100)
+    diag = diagnosis.diagnose(
+        stage(detectors.detector_votes(features.temporal_features(history), demo.isolation_stand_in()), "votes")
+    )
+    fixed = stage(correction.correct_by_rules(diag), "fixed")
+    model = correction.fit_corrector(fixed, trees=20)
+    return live.score_readings(newest, history, forest, model)

@@ -589,4 +589,19 @@ rep AS (SELECT * FROM pc UNION ALL
     # streams, read to the end
     add("stream_qc", OBS, qc.replace(" FROM obs)", ", CASE WHEN temperature < -20 OR temperature > 50 OR pressure < 950 OR pressure > 1050 OR humidity < 0 OR humidity > 100 THEN 1 ELSE 0 END AS statistical_anomaly FROM "
         "(SELECT *, CASE WHEN is_error AND k % 10 = 0 THEN NULL ELSE value / 5e0 - 10e0 END AS temperature, k * 1.05e0 AS humidity, 940e0 + (event_id * 37) % 160 AS pressure FROM raw))"))
+    add("stream_dedup", RAW, "(SELECT DISTINCT station_id, ts FROM raw)")
+    add("stream_kpis", OBS, f"""(SELECT station_id, date_trunc('day', ts) AS window_start, count(*) AS n_rows, CAST(sum(qc_flag) AS BIGINT) AS n_flagged, avg(temperature) AS mean_temperature
+        FROM {qc} GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM obs)""")
+    live = FEAT_OBS + """,
+live0 AS (
+  SELECT *, temperature - row_mean AS dev, (temperature - row_mean) / nullif(row_std, 0) AS z FROM feat),
+live AS (
+  SELECT station_id, ts, z AS temperature_zscore_24h, running_length,
+    CASE WHEN temperature IS NULL OR temperature < -50 OR temperature > 60 OR humidity IS NULL OR humidity < 0
+           OR humidity > 100 OR pressure IS NULL OR pressure < 870 OR pressure > 1085 THEN 1 ELSE 0 END AS rule_score,
+    CASE WHEN abs(z) > 3 OR abs(dev) > 10 THEN 1 ELSE 0 END AS statistical_score,
+    CASE WHEN absolute_temperature_change > 6 OR (running_length >= 6 AND temperature_std_6h_live <= 1.0) OR abs(temperature_trend_6h) > 3 THEN 1 ELSE 0 END AS temporal_score
+  FROM live0)"""
+    add("stream_causal_votes", live, "live")
+    add("stream_health", FAULTY + _ledger("faulty", _penalty("fault_type")), "led")
     return out

@@ -143,8 +143,8 @@ SHAPES: dict[str, str] = {
     "series_overlay": f"{KEYS} ~temperature ~temperature_corrected is_anomaly diagnosed_fault rule_score statistical_score isolation_score temporal_score anomaly_score",
     # streams, read to the end
     "stream_qc": f"{KEYS} temperature_rule_flag humidity_rule_flag pressure_rule_flag qc_flag statistical_anomaly",
-    "stream_dedup": f"{KEYS} temperature",
-    "stream_station_kpis": "station_id window_start n_rows n_flagged ~mean_temperature",
+    "stream_dedup": KEYS,
+    "stream_kpis": "station_id window_start n_rows n_flagged ~mean_temperature",
     "stream_causal_votes": f"{KEYS} ~temperature_zscore_24h running_length rule_score statistical_score temporal_score",
     "stream_health": f"{KEYS} health_score health_status",
 }
