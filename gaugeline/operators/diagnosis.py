@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import DEFAULT, NORMAL, SUSPICIOUS, VOTES, QCConfig
 from gaugeline.functions.columns import holds
-from gaugeline.operators.quantiles import exact_quantiles, quantile_column, robust_thresholds
+from gaugeline.operators.quantiles import robust_thresholds
 from gaugeline.operators.staging import join_dim, stage
 from gaugeline.schema import require_columns
 
@@ -37,17 +37,20 @@ def shape_measures() -> dict[str, Column]:
 
 
 def station_thresholds(features: DataFrame, cfg: QCConfig = DEFAULT) -> DataFrame:
-    """thr_change, thr_residual, thr_spread, thr_cumulative and low_spread per station."""
-    narrow = stage(features.select("station_id", *[c.alias(n) for n, c in shape_measures().items()]), "measures")
+    """thr_change, thr_residual, thr_spread, thr_cumulative and low_spread per station.
+
+    The features are read several times, a few columns each: pass a stored stage.
+    """
+    narrow = features.select("station_id", *[c.alias(n) for n, c in shape_measures().items()])
     factors = {
         "change": cfg.spike_k,
         "residual": cfg.residual_k,
         "spread": cfg.noise_std_k,
         "cumulative": cfg.drift_change_k,
     }
-    robust = robust_thresholds(narrow, ["station_id"], factors, cfg.percentile_group_rows)
-    low = exact_quantiles(narrow, ["station_id"], {"spread": [cfg.frozen_std_quantile]}, cfg.percentile_group_rows)
-    return robust.join(low.select("station_id", quantile_column("spread").alias("low_spread")), "station_id", "left")
+    return robust_thresholds(
+        narrow, ["station_id"], factors, cfg.percentile_group_rows, extra={"spread": cfg.frozen_std_quantile}
+    )
 
 
 def label_columns(cfg: QCConfig = DEFAULT) -> dict[str, Column]:

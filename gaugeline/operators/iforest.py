@@ -157,7 +157,7 @@ def fit_iforest(
     sampled = _hashed_samples(rows, n, psi, trees, seed)
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
 
-    def grow_tree(key, group: pd.DataFrame) -> pd.DataFrame:
+    def grow_tree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         ordered = group.sort_values("_draw", kind="stable").head(psi)
         grown = _grow(ordered[list(features)].to_numpy(float), np.random.default_rng([seed, tree]), limit)
@@ -165,7 +165,9 @@ def fit_iforest(
         out.insert(0, "tree", tree)
         return out
 
-    nodes = sampled.groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA)
+    # A fixed number of tasks: the samples are small, growing the trees is the work.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    nodes = sampled.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA)
     forest = IsolationForest(nodes.orderBy("tree", "node").toPandas(), tuple(features), filled, psi)
     if contamination == "auto":
         return forest

@@ -19,9 +19,11 @@ from gaugeline.operators.staging import join_dim, stage
 SKETCH_ACCURACY = 10_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and the number of groups."""
     counts = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return counts.agg(F.max("count")).first()[0] or 0
+    largest, groups = counts.agg(F.max("count"), F.count(F.lit(1))).first()
+    return largest or 0, groups
 
 
 def exact_quantiles(
@@ -29,10 +31,15 @@ def exact_quantiles(
     keys: Sequence[str],
     probs: dict[str, Sequence[float]],
     max_group_rows: int = DEFAULT.percentile_group_rows,
+    largest: int | None = None,
 ) -> DataFrame:
-    """One row per key with `q_<column>`: the array of asked quantiles of each column."""
+    """One row per key with `q_<column>`: the array of asked quantiles of each column.
+
+    `largest` passes the size of the largest group if the caller knows it.
+    """
     keys = list(keys)
-    if largest_group(df, keys) <= max_group_rows:
+    largest = group_sizes(df, keys)[0] if largest is None else largest
+    if largest <= max_group_rows:
         aggs = [
             F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"q_{c}") for c, ps in probs.items()
         ]
@@ -135,24 +142,32 @@ def robust_thresholds(
     factors: dict[str, float],
     max_group_rows: int = DEFAULT.percentile_group_rows,
     zero_when_empty: bool = False,
+    extra: dict[str, float] | None = None,
 ) -> DataFrame:
     """median + k * MAD per group; sample deviation stands in for a zero MAD.
 
-    Adds `thr_<column>`. A group without values gives null, or 0 on request.
+    Adds `thr_<column>`, and `low_<column>` for the quantiles asked in `extra`. A
+    group without values gives null, or 0 on request. df is read several times:
+    pass a stored stage.
     """
-    keys = list(keys)
-    columns = list(factors)
-    med = exact_quantiles(df, keys, {c: [0.5] for c in columns}, max_group_rows)
-    med = med.select(*keys, *[quantile_column(c).alias(f"med_{c}") for c in columns])
+    keys, columns, extra = list(keys), list(factors), extra or {}
+    largest, groups = group_sizes(df, keys)
+    probs = {c: [0.5, *([extra[c]] if c in extra else [])] for c in columns}
+    med = exact_quantiles(df, keys, probs, max_group_rows, largest)
+    med = med.select(
+        *keys,
+        *[quantile_column(c).alias(f"med_{c}") for c in columns],
+        *[quantile_column(c, 1).alias(f"low_{c}") for c in extra],
+    )
     spread = df.groupBy(*keys).agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in columns])
     center = stage(med.join(spread, keys), "medians")
-    away = join_dim(df.select(*keys, *columns), center, keys, spread=columns[0])
+    away = join_dim(df.select(*keys, *columns), center, keys, spread=columns[0], rows=groups)
     away = away.select(*keys, *[F.abs(F.col(c) - F.col(f"med_{c}")).alias(c) for c in columns])
-    mad = exact_quantiles(away, keys, {c: [0.5] for c in columns}, max_group_rows)
+    mad = exact_quantiles(away, keys, {c: [0.5] for c in columns}, max_group_rows, largest)
     mad = mad.select(*keys, *[quantile_column(c).alias(f"mad_{c}") for c in columns])
     out = center.join(mad, keys, "left")
     for c, k in factors.items():
         scale = F.when(F.col(f"mad_{c}") > 0, F.col(f"mad_{c}")).otherwise(F.col(f"sd_{c}"))
         thr = F.col(f"med_{c}") + F.lit(float(k)) * scale
         out = out.withColumn(f"thr_{c}", F.coalesce(thr, F.lit(0.0)) if zero_when_empty else thr)
-    return out.select(*keys, *[f"thr_{c}" for c in columns])
+    return out.select(*keys, *[f"thr_{c}" for c in columns], *[f"low_{c}" for c in extra])

@@ -60,15 +60,17 @@ def join_dim(
     spread: str | None = None,
     max_rows: int = DEFAULT.broadcast_rows,
     salts: int = 64,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a large table to a table with one (or few) rows per key.
 
-    The small side is broadcast when its counted size allows it. Otherwise both
+    The small side is broadcast when its counted size allows it; `rows` passes a
+    count the caller already has. Otherwise both
     sides are salted, so a key holding a large share of df is spread over
     `salts` tasks. `spread` names a column of df that varies within a key.
     """
     keys = list(keys)
-    if fits(dim, max_rows):
+    if rows <= max_rows if rows is not None else fits(dim, max_rows):
         return df.join(F.broadcast(dim), keys, how)
     salt_source = spread or next(c for c in df.columns if c not in keys)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_source), F.lit(salts)))

@@ -28,7 +28,7 @@ from gaugeline.operators.staging import new_table_path, stage
 from gaugeline.plans import demo
 from gaugeline.plans.shapes import SHAPES, shaped
 from gaugeline.sources import files
-from gaugeline.sources.events import event_readings, observations, reading_columns
+from gaugeline.sources.events import event_readings, observations, reading_columns, station_ids
 from gaugeline.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,7 +242,7 @@ def rolling_std_6(spark, sf):
 
 
 def _runs(spark, sf):
-    return features.with_run_length(demo.faulty(spark, sf), "temperature")
+    return features.with_run_length(stage(demo.faulty(spark, sf), "faulty"), "temperature")
 
 
 @query
@@ -534,7 +534,7 @@ def spatial_batch(spark, sf):
 
 @query
 def robust_threshold(spark, sf):
-    return diagnosis.station_thresholds(demo.voted(spark, sf))
+    return diagnosis.station_thresholds(stage(demo.voted(spark, sf), "votes"))
 
 
 @query
@@ -623,13 +623,13 @@ def station_health(spark, sf):
 @query
 def inject_spike_abs(spark, sf):
     obs = observations(spark, sf)
-    return inject.inject_at_rows(obs, demo.row_spec(obs, "spike", 55.0, 1))
+    return inject.inject_at_rows(obs, demo.row_spec(spark, sf, "spike", 55.0, 1))
 
 
 @query
 def inject_drift_rows(spark, sf):
     obs = observations(spark, sf)
-    return inject.inject_at_rows(obs, demo.row_spec(obs, "drift", 1.0, 6))
+    return inject.inject_at_rows(obs, demo.row_spec(spark, sf, "drift", 1.0, 6))
 
 
 def _inject_query(fault: str) -> Query:
@@ -648,9 +648,9 @@ for _name in ("spike", "drop", "frozen", "drift", "missing", "multivariate"):
 def inject_noise(spark, sf):
     """Both noise forms: sign pattern on the timed spans, normal noise on row spans."""
     obs = observations(spark, sf)
-    spec = demo.fault_spec(obs).filter(F.col("fault") == "drift").withColumn("fault", F.lit("noise"))
+    spec = demo.fault_spec(spark, sf).filter(F.col("fault") == "drift").withColumn("fault", F.lit("noise"))
     timed = inject.inject_faults(obs, spec)
-    rows = inject.inject_at_rows(obs, demo.row_spec(obs, "noise", 2.0, 6))
+    rows = inject.inject_at_rows(obs, demo.row_spec(spark, sf, "noise", 2.0, 6))
     keep = ["station_id", "ts", "temperature", "original_temperature", "is_anomaly", "fault_type"]
     return timed.select(*keep, F.lit("timed").alias("form")).unionByName(
         rows.select(*keep, F.lit("rows").alias("form"))
@@ -661,7 +661,7 @@ def inject_noise(spark, sf):
 def invalid_specs(spark, sf):
     obs = observations(spark, sf)
     s = F.col("station_id")
-    spec = obs.select("station_id").distinct().select(
+    spec = station_ids(spark, sf).select(
         s.alias("seq"),
         (s + F.when(s % 5 == 4, 1_000_000).otherwise(0)).alias("station_id"),
         F.when(s % 5 == 0, -1).when(s % 5 == 1, 100_000_000).otherwise(3).alias("start_row"),
@@ -677,7 +677,7 @@ def fault_schedule(spark, sf):
 
 @query
 def schedule_overlaps(spark, sf):
-    spec = demo.fault_spec(observations(spark, sf))
+    spec = demo.fault_spec(spark, sf)
     extra = spec.filter(F.col("seq") % 3 == 0).select(
         (F.col("seq") + 1_000_000).alias("seq"),
         *[c for c in spec.columns if c not in ("seq", "start_ts", "duration")],

@@ -9,7 +9,7 @@ from gaugeline.config import FAULT_DURATIONS, SEVERITIES
 from gaugeline.functions.columns import flag, holds
 from gaugeline.operators import correction, detectors, diagnosis, features, inject, profile
 from gaugeline.operators.staging import stage
-from gaugeline.sources.events import observations
+from gaugeline.sources.events import observations, station_ids
 
 SPEC_FAULTS = ("spike", "drop", "frozen", "drift", "missing", "multivariate")
 SPEC_ORIGIN = "2024-01-01 00:00:00"
@@ -19,15 +19,14 @@ def _pick(options, index: Column) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), index.cast("int"))
 
 
-def fault_spec(obs: DataFrame) -> DataFrame:
+def fault_spec(spark: SparkSession, sf: str) -> DataFrame:
     """Six faults per station of the table, placed by arithmetic on the station id."""
     s = F.col("station_id")
     i = F.col("i")
     mixed = F.when((s + i) % 4 == 0, "humidity").when((s + i) % 4 == 1, "pressure").otherwise("temperature")
     hour = (i * 100 + 10 + (s * 37) % 80).cast("int")
     return (
-        obs.select("station_id")
-        .distinct()
+        station_ids(spark, sf)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(SPEC_FAULTS) - 1))))
         .select(
             (s * 10 + i).alias("seq"),
@@ -41,10 +40,10 @@ def fault_spec(obs: DataFrame) -> DataFrame:
     )
 
 
-def row_spec(obs: DataFrame, fault: str, amount: float, duration: int) -> DataFrame:
+def row_spec(spark: SparkSession, sf: str, fault: str, amount: float, duration: int) -> DataFrame:
     """One row-position fault per station."""
     s = F.col("station_id")
-    return obs.select("station_id").distinct().select(
+    return station_ids(spark, sf).select(
         s.alias("seq"),
         "station_id",
         (F.lit(5) + s % 7).alias("start_row"),
@@ -58,7 +57,8 @@ def row_spec(obs: DataFrame, fault: str, amount: float, duration: int) -> DataFr
 
 def faulty(spark: SparkSession, sf: str, faults=SPEC_FAULTS) -> DataFrame:
     obs = observations(spark, sf)
-    return inject.inject_faults(obs, fault_spec(obs).filter(F.col("fault").isin(*faults)))
+    spec = stage(fault_spec(spark, sf).filter(F.col("fault").isin(*faults)), "spec")
+    return inject.inject_faults(obs, spec)
 
 
 def isolation_stand_in() -> Column:
@@ -72,7 +72,8 @@ def ml_score_stand_in() -> Column:
 
 
 def featured(spark: SparkSession, sf: str) -> DataFrame:
-    return features.temporal_features(faulty(spark, sf))
+    """The labelled readings are written once, as the feature job reads them several times."""
+    return features.temporal_features(stage(faulty(spark, sf), "faulty"))
 
 
 def voted(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +85,7 @@ def predicted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ensembled(spark: SparkSession, sf: str) -> DataFrame:
-    base = features.baseline_24h(faulty(spark, sf)).withColumn("ml_anomaly_score", ml_score_stand_in())
+    base = features.baseline_24h(stage(faulty(spark, sf), "faulty")).withColumn("ml_anomaly_score", ml_score_stand_in())
     return detectors.ensemble(base)
 
 

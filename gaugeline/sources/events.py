@@ -69,3 +69,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         first("value"), first("k"), first("is_error"), F.min("event_id").alias("_id")
     ).withColumnRenamed("_id", "event_id")
     return kept.withColumns({**reading_columns(), **station_columns()}).select(*OBS_COLUMNS)
+
+
+def station_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct stations, from one column of the events."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id")
+    return users.select(F.expr("user_id div 10").alias("station_id")).distinct()

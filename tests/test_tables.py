@@ -121,7 +121,7 @@ def test_row_faults_and_their_checks(spark, series):
 
 def test_noise_is_the_same_under_any_partitioning(spark, sf):
     obs = observations(spark, sf)
-    s = demo.fault_spec(obs).withColumn("fault", F.lit("noise"))
+    s = demo.fault_spec(spark, sf).withColumn("fault", F.lit("noise"))
     a = inject.inject_faults(obs, s).orderBy("station_id", "ts").toPandas()
     b = inject.inject_faults(obs.repartition(3), s).orderBy("station_id", "ts").toPandas()
     pd.testing.assert_frame_equal(a, b)
