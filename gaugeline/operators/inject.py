@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from gaugeline.config import (
     QCConfig,
 )
 from gaugeline.operators.slices import epoch_seconds, slice_of, with_row_number
-from gaugeline.operators.staging import fits, stage
+from gaugeline.operators.staging import fits, join_dim, stage
 
 VARIABLES = ("temperature", "humidity", "pressure")
 TIMED_FAULTS = ("spike", "drop", "frozen", "drift", "noise", "missing", "multivariate")
@@ -210,56 +211,120 @@ def overlapping_specs(spec: DataFrame, cfg: QCConfig = DEFAULT) -> DataFrame:
     return out.filter(F.col("start_ts") < latest).drop("_local", "_carried", "_slice", "end_ts")
 
 
-def random_schedule(
-    df: DataFrame, n_faults: int, seed: int = 42, tries_per_fault: int = 10, cfg: QCConfig = DEFAULT
+def _choose(options, *key: Column, seed: int) -> Column:
+    """One of the options, by the hash of the row's key."""
+    index = F.floor(unit_hash(*key, seed=seed) * len(options)).cast("int")
+    return F.get(F.array(*[F.lit(o) for o in options]), index)
+
+
+def _first_free(pdf: pd.DataFrame, one_per: str | None) -> pd.DataFrame:
+    """Go through candidates in draw order and keep those that overlap none kept before."""
+    kept: list[int] = []
+    spans: dict[int, list[tuple]] = {}
+    placed: set = set()
+    ordered = pdf.sort_values(["turn", "draw", "station_id", "start_ts"], kind="stable").reset_index(drop=True)
+    for i, row in enumerate(ordered.itertuples()):
+        if one_per and getattr(row, one_per) in placed:
+            continue
+        end = row.start_ts + pd.Timedelta(hours=int(row.duration))
+        mine = spans.setdefault(row.station_id, [])
+        if any(row.start_ts < e and end > s for s, e in mine):
+            continue
+        mine.append((row.start_ts, end))
+        kept.append(i)
+        if one_per:
+            placed.add(getattr(row, one_per))
+    return ordered.loc[kept]
+
+
+def random_schedule(df: DataFrame, n_faults: int = 100, seed: int = 42, tries_per_fault: int = 10) -> DataFrame:
+    """n_faults random faults on random readings, never overlapping within a station.
+
+    Candidates are the readings with the lowest hashes, so the schedule does not
+    depend on partitioning; there are n_faults * tries_per_fault of them in all.
+    Overlaps are resolved per station in draw order.
+    """
+    key = [F.col("station_id"), F.col("ts").cast("string")]
+    drawn = df.select("station_id", "ts", unit_hash(*key, seed=seed).alias("draw"))
+    drawn = drawn.orderBy("draw", "station_id", "ts").limit(n_faults * tries_per_fault)
+    fault = _choose(("spike", "drop", "frozen", "drift", "missing", "multivariate"), *key, seed=seed + 2)
+    candidates = drawn.select(
+        "station_id",
+        F.col("ts").alias("start_ts"),
+        "draw",
+        F.lit(0).alias("turn"),
+        fault.alias("fault"),
+        # a multivariate fault shifts temperature and leaves the others
+        F.when(fault == "multivariate", "temperature")
+        .otherwise(_choose(VARIABLES, *key, seed=seed + 1))
+        .alias("variable"),
+        _choose(FAULT_DURATIONS, *key, seed=seed + 3).cast("bigint").alias("duration"),
+        _choose(SEVERITIES, *key, seed=seed + 4).alias("severity"),
+    )
+    free = candidates.groupBy("station_id").applyInPandas(lambda pdf: _first_free(pdf, None), candidates.schema)
+    return _numbered(free.orderBy("draw", "station_id", "start_ts").limit(n_faults))
+
+
+def one_of_each_schedule(
+    df: DataFrame,
+    taken: DataFrame,
+    variables=("humidity", "pressure"),
+    faults=("spike", "frozen", "drift", "noise", "missing"),
+    seed: int = 42,
+    tries: int = 200,
+    edge_rows: int = 200,
+    cfg: QCConfig = DEFAULT,
 ) -> DataFrame:
-    """Random faults on random readings, never overlapping within a station.
+    """One fault of each type and variable, away from the ends of a history.
 
-    Candidates come from hashes of the reading's key, so the schedule does not
-    depend on partitioning. A candidate stays if no candidate drawn before it
-    (lower hash) overlaps it; as a span is at most six hours long, rivals are
-    looked up in its own and the adjacent six-hour buckets.
+    `taken` holds regions (station_id, region_start, region_end) that stay free of
+    new faults. Every combination draws `tries` candidate readings.
     """
-    keys = [F.col("station_id"), F.col("ts").cast("string")]
-    draw = unit_hash(*keys, seed=seed)
-    # bounded: n_faults * tries_per_fault rows, by a distributed top-k
-    drawn = df.select("station_id", F.col("ts").alias("start_ts"), "ts").withColumn("_draw", draw)
-    drawn = drawn.orderBy("_draw", "station_id", "start_ts").limit(n_faults * tries_per_fault)
-    choose = lambda options, k: F.get(
-        F.array(*[F.lit(o) for o in options]), F.floor(unit_hash(*keys, seed=seed + k) * len(options)).cast("int")
-    )
-    cand = drawn.withColumns(
-        {
-            "variable": choose(VARIABLES, 1),
-            "fault": choose(("spike", "drop", "frozen", "drift", "missing", "multivariate"), 2),
-            "duration": choose(FAULT_DURATIONS, 3).cast("bigint"),
-            "severity": choose(SEVERITIES, 4),
-        }
-    ).drop("ts")
-    cand = stage(
-        cand.withColumn("_end", F.timestamp_add("HOUR", F.col("duration").cast("int"), F.col("start_ts"))), "candidates"
-    )
-    width = BUCKET_HOURS * 3600
-    bucket = F.floor(epoch_seconds("start_ts") / width)
-    mine = cand.withColumn("_bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    rivals = cand.select(
+    numbered = with_row_number(df.select("station_id", "ts"), "_rn", cfg.slice_hours)
+    sizes = df.groupBy("station_id").agg(F.count(F.lit(1)).alias("_n"))
+    inner = join_dim(numbered, sizes, ["station_id"], spread="ts", max_rows=cfg.broadcast_rows)
+    inner = inner.filter((F.col("_rn") > edge_rows) & (F.col("_rn") <= F.col("_n") - edge_rows))
+    combos = [(i, v, f) for i, (v, f) in enumerate((v, f) for v in variables for f in faults)]
+    key = [F.col("station_id"), F.col("ts").cast("string"), F.col("turn")]
+    each = inner.select("station_id", "ts", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("turn"), F.lit(v).alias("variable"), F.lit(f).alias("fault")) for i, v, f in combos
+    ])))
+    best = Window.partitionBy("turn").orderBy("draw", "station_id", "ts")
+    # the rank limit keeps `tries` rows per combination and map task before the shuffle
+    drawn = each.withColumn("draw", unit_hash(*key, seed=seed)).withColumn("_rank", F.row_number().over(best))
+    candidates = drawn.filter(F.col("_rank") <= tries).select(
         "station_id",
-        bucket.alias("_bucket"),
-        F.col("start_ts").alias("_rs"),
-        F.col("_end").alias("_re"),
-        F.col("_draw").alias("_rd"),
+        F.col("ts").alias("start_ts"),
+        "draw",
+        "turn",
+        "fault",
+        "variable",
+        _choose(FAULT_DURATIONS, *key, seed=seed + 3).cast("bigint").alias("duration"),
+        _choose(SEVERITIES, *key, seed=seed + 4).alias("severity"),
     )
-    beaten = (
-        mine.join(rivals, ["station_id", "_bucket"])
-        .filter((F.col("_rd") < F.col("_draw")) & (F.col("start_ts") < F.col("_re")) & (F.col("_end") > F.col("_rs")))
-        .select("station_id", "start_ts")
+    candidates = stage(candidates, "candidates")
+    width = BUCKET_HOURS * 3600
+    buckets = lambda s, e: F.explode(F.sequence(F.floor(epoch_seconds(s) / width), F.floor(epoch_seconds(e) / width)))
+    ends = candidates.withColumn("_end", F.timestamp_add("HOUR", F.col("duration").cast("int"), F.col("start_ts")))
+    blocked = (
+        ends.withColumn("_b", buckets("start_ts", "_end"))
+        .join(taken.withColumn("_b", buckets("region_start", "region_end")), ["station_id", "_b"])
+        .filter((F.col("start_ts") < F.col("region_end")) & (F.col("_end") > F.col("region_start")))
+        .select("station_id", "start_ts", "turn")
         .distinct()
     )
-    kept = cand.join(beaten, ["station_id", "start_ts"], "left_anti").orderBy("_draw").limit(n_faults)
-    # multivariate faults shift temperature only
-    variable = F.when(F.col("fault") == "multivariate", "temperature").otherwise(F.col("variable"))
-    order = Window.orderBy("_draw")  # n_faults rows
-    return kept.withColumn("variable", variable).select(
+    open_ = candidates.join(blocked, ["station_id", "start_ts", "turn"], "left_anti").select(*candidates.columns)
+    # at most combos * tries rows; a later combination must see the earlier ones
+    names = candidates.columns
+    placed = open_.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
+        lambda pdf: _first_free(pdf, "turn")[names], candidates.schema
+    )
+    return _numbered(placed)
+
+
+def _numbered(schedule: DataFrame) -> DataFrame:
+    order = Window.orderBy("turn", "draw", "station_id", "start_ts")  # a short schedule
+    return schedule.select(
         F.row_number().over(order).cast("bigint").alias("seq"),
         "variable",
         "fault",

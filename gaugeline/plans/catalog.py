@@ -323,6 +323,11 @@ FOREST_SHAPE_FEATURES = [
 ]
 
 
+def _observed_rate(df):
+    """Share of rows the earlier vote flags: the contamination of a retrained forest."""
+    return df.agg(F.avg("isolation_score")).first()[0]
+
+
 @query
 def iforest_flags(spark, sf):
     scored, _ = iforest.isolation_ensemble(stage(demo.faulty(spark, sf), "faulty"), FOREST_FEATURES, 0.05)
@@ -331,7 +336,8 @@ def iforest_flags(spark, sf):
 
 @query
 def iforest_score_stats(spark, sf):
-    scored, _ = iforest.isolation_ensemble(stage(demo.featured(spark, sf), "features"), FOREST_SHAPE_FEATURES, 0.05)
+    df = stage(demo.voted(spark, sf), "votes")
+    scored, _ = iforest.isolation_ensemble(df, FOREST_SHAPE_FEATURES, _observed_rate(df))
     return profile.describe(scored, ["isolation_raw", "ml_anomaly_score"], (0.01, 0.05, 0.5, 0.95, 0.99))
 
 
@@ -675,6 +681,13 @@ def fault_schedule(spark, sf):
     return inject.random_schedule(observations(spark, sf), n_faults=100)
 
 
+@query
+def fault_schedule_each(spark, sf):
+    """One fault of each type and variable, clear of the faults that are already there."""
+    df = stage(demo.faulty(spark, sf), "faulty")
+    return inject.one_of_each_schedule(df, inject.fault_islands(df))
+
+
 @query
 def schedule_overlaps(spark, sf):
     spec = demo.fault_spec(spark, sf)
@@ -792,6 +805,15 @@ def model_agreement(spark, sf):
     return evaluate.model_agreement(demo.voted(spark, sf), "isolation_score", "statistical_score")
 
 
+@query
+def model_agreement_forest(spark, sf):
+    """A forest on engineered features against one on the three readings."""
+    df = stage(demo.voted(spark, sf), "votes")
+    old = iforest.fit_iforest(df, FOREST_FEATURES, contamination=_observed_rate(df)).flag(df, "old_flag")
+    new = iforest.fit_iforest(df, FOREST_SHAPE_FEATURES, contamination=_observed_rate(df)).flag(old, "new_flag")
+    return evaluate.model_agreement(new, "old_flag", "new_flag")
+
+
 @query
 def diag_distribution(spark, sf):
     return evaluate.diagnosis_distribution(demo.corrected(spark, sf))

@@ -135,6 +135,19 @@ def test_schedule_never_overlaps(spark, sf):
     assert inject.overlapping_specs(got).count() == 0
 
 
+def test_one_of_each_avoids_taken_regions(spark, sf):
+    df = staging.stage(demo.faulty(spark, sf), "faulty")
+    taken = inject.fault_islands(df)
+    got = inject.one_of_each_schedule(df, taken, edge_rows=20).toPandas()
+    assert len(got) == 10 and not got.duplicated(["variable", "fault"]).any()
+    regions = taken.toPandas()
+    for r in got.itertuples():
+        end = r.start_ts + pd.Timedelta(hours=r.duration)
+        near = regions[regions.station_id == r.station_id]
+        assert not ((r.start_ts < near.region_end) & (end > near.region_start)).any()
+    assert inject.overlapping_specs(spark.createDataFrame(got)).count() == 0
+
+
 def test_islands_merge_over_slice_borders(spark, series):
     df = series({1: range(60)}).withColumn("is_anomaly", F.hour("ts").isin(22, 23, 0, 5).cast("int"))
     got = inject.fault_islands(df, cfg=QCConfig(slice_hours=24)).orderBy("region_start").toPandas()
