@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from gaugeline.config import DEFAULT, VARIABLES, QCConfig
 from gaugeline.operators.slices import (
     HALO,
-    RUN_START,
     SLICE,
     drop_halo,
     finish_runs,
-    run_start,
     slice_window,
     with_lookback,
     with_run_length,
@@ -128,7 +126,7 @@ def residual_columns() -> dict[str, Column]:
 
 
 def _drop_private(df: DataFrame) -> DataFrame:
-    keep = (SLICE, HALO, RUN_START)
+    keep = (SLICE, HALO)
     return df.drop(*[c for c in df.columns if c.startswith("_") and c not in keep])
 
 
@@ -193,10 +191,10 @@ def temporal_features(df: DataFrame, variables=VARIABLES, cfg: QCConfig = DEFAUL
     All of them share one shuffle and one sort of the readings.
     """
     out = with_lookback(df, rows=25, hours=24, carry=list(variables), slice_hours=cfg.slice_hours)
-    out = out.withColumns(_merge(lag_columns(variables), {RUN_START: run_start("temperature")}))
+    out = out.withColumns(lag_columns(variables))
     baselines = _merge(*[time_baseline_columns(v, cfg.baseline_min_rows) for v in variables])
     out = _shape(out, baselines, cfg).withColumns(_merge(*[deviation_columns(v) for v in variables]))
-    return finish_runs(_drop_private(drop_halo(out)))
+    return finish_runs(_drop_private(drop_halo(out)), "temperature")
 
 
 def run_histogram(df: DataFrame) -> DataFrame:

@@ -173,58 +173,66 @@ def with_last_known(
     return placed.withColumn(name, F.coalesce("_known", "_old")).drop("_v", "_known", "_old", SLICE)
 
 
-RUN_START = "_run_start"
-
-
-def run_start(value: str) -> Column:
-    """1 where a value differs from the one before; a null always starts a run."""
-    same = F.coalesce(F.col(value) == F.lag(value).over(slice_window()), F.lit(False))
-    return F.when(same, 0).otherwise(1)
-
+def _local_runs(sliced: DataFrame, value: str) -> DataFrame:
+    """Number the runs of equal values inside each slice from 1; a null is a run of its own."""
+    w = slice_window()
+    same = F.coalesce(F.col(value) == F.lag(value).over(w), F.lit(False))
+    starts = sliced.withColumn("_start", F.when(same, 0).otherwise(1))
+    return starts.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
-def finish_runs(marked: DataFrame, name: str = "repeat_length") -> DataFrame:
-    """Run lengths from a halo-free sliced table whose `_run_start` is set.
 
-    Inside a slice run 0 is the part that continues the run before it. The open
-    ends are added up on the slice summaries, so a run may cross any number of
-    slices.
-    """
-    numbered = marked.withColumn(
-        "_run", F.sum(RUN_START).over(slice_window().rowsBetween(Window.unboundedPreceding, 0))
-    ).drop(RUN_START)
+def _run_ends(numbered: DataFrame, value: str) -> DataFrame:
+    """One row per slice: its first and last run, and whether the first continues the slice before."""
     ends = (
         numbered.groupBy(KEY, SLICE, "_run")
-        .count()
+        .agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias("_v"))
         .groupBy(KEY, SLICE)
         .agg(
             F.max("_run").alias("_last"),
-            F.max_by("count", "_run").alias("_tail"),
-            F.coalesce(F.sum(F.when(F.col("_run") == 0, F.col("count"))), F.lit(0)).alias("_head"),
+            F.max(F.when(F.col("_run") == 1, F.col("_n"))).alias("_head"),
+            F.max_by("_n", "_run").alias("_tail"),
+            F.min_by("_v", "_run").alias("_first_v"),
+            F.max_by("_v", "_run").alias("_last_v"),
         )
     )
-    history = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.col("_last") > 0, 1).otherwise(0)
-    ends = ends.withColumn("_chain", F.sum(opens).over(history))
-    # The last run of a slice opens a chain; first parts of later slices continue it.
-    head = F.struct(F.lit(True).alias("_is_head"), F.col("_head").alias("_len"), (F.col("_chain") - opens).alias("_link"))
-    tail = F.struct(
-        F.lit(False).alias("_is_head"),
-        F.when(F.col("_last") > 0, F.col("_tail")).otherwise(0).cast("bigint").alias("_len"),
-        F.col("_chain").alias("_link"),
-    )
+    follows = F.coalesce(F.col("_first_v") == F.lag("_last_v").over(Window.partitionBy(KEY).orderBy(SLICE)), F.lit(False))
+    return ends.withColumn("_joins", follows.cast("int"))
+
+
+def with_run_length(
+    df: DataFrame, value: str, name: str = "repeat_length", slice_hours: int = DEFAULT.slice_hours
+) -> DataFrame:
+    """Length of the run of equal consecutive values a reading belongs to."""
+    return finish_runs(with_slices(df, slice_hours), value, name)
+
+
+def finish_runs(sliced: DataFrame, value: str, name: str = "repeat_length") -> DataFrame:
+    """Run lengths of a table that is already sliced (and free of halo copies).
+
+    Runs are counted inside the slices. Their open ends are added up on the slice
+    summaries, so a run may cross any number of slices.
+    """
+    numbered = _local_runs(sliced, value)
+    history = Window.partitionBy(KEY).orderBy(SLICE)
+    # A slice opens a chain with its first run, unless that continues the one before, and with its last.
+    opened = 1 - F.col("_joins") + F.when(F.col("_last") > 1, 1).otherwise(0)
+    ends = _run_ends(numbered, value).withColumn("_chain", F.sum(opened).over(history.rowsBetween(Window.unboundedPreceding, 0)))
+    several = F.col("_last") > 1
+    head = F.struct(F.lit(1).alias("_part"), F.col("_head").alias("_len"), (F.col("_chain") - several.cast("int")).alias("_link"))
+    tail = F.struct(F.lit(2).alias("_part"), F.col("_tail").alias("_len"), F.col("_chain").alias("_link"))
     totals = (
-        ends.select(KEY, SLICE, "_last", F.inline(F.array(head, tail)))
+        ends.select(KEY, SLICE, "_last", F.inline(F.when(several, F.array(head, tail)).otherwise(F.array(head))))
         .withColumn("_total", F.sum("_len").over(Window.partitionBy(KEY, "_link")))
         .groupBy(KEY, SLICE)
         .agg(
             F.max("_last").alias("_last"),
-            F.max(F.when(F.col("_is_head"), F.col("_total"))).alias("_head_total"),
-            F.max(F.when(~F.col("_is_head"), F.col("_total"))).alias("_tail_total"),
+            F.max(F.when(F.col("_part") == 1, F.col("_total"))).alias("_head_total"),
+            F.max(F.when(F.col("_part") == 2, F.col("_total"))).alias("_tail_total"),
         )
     )
     local = F.count(F.lit(1)).over(Window.partitionBy(KEY, SLICE, "_run"))
     length = (
-        F.when(F.col("_run") == 0, F.col("_head_total"))
+        F.when(F.col("_run") == 1, F.col("_head_total"))
         .when(F.col("_run") == F.col("_last"), F.col("_tail_total"))
         .otherwise(F.col("_local"))
     )
@@ -236,34 +244,22 @@ def finish_runs(marked: DataFrame, name: str = "repeat_length") -> DataFrame:
     )
 
 
-def with_run_length(
-    df: DataFrame, value: str, name: str = "repeat_length", slice_hours: int = DEFAULT.slice_hours
-) -> DataFrame:
-    """Length of the run of equal consecutive values a reading belongs to."""
-    looked = with_lookback(df, rows=1, carry=[value], slice_hours=slice_hours)
-    return finish_runs(drop_halo(looked.withColumn(RUN_START, run_start(value))), name)
-
-
 def with_running_length(
     df: DataFrame, value: str, name: str = "running_length", slice_hours: int = DEFAULT.slice_hours
 ) -> DataFrame:
     """Length of the run so far, which unlike the full run length never looks ahead."""
-    w = slice_window()
-    looked = with_lookback(df, rows=1, carry=[value], slice_hours=slice_hours)
-    marked = drop_halo(looked.withColumn(RUN_START, run_start(value)))
-    marked = marked.withColumn("_run", F.sum(RUN_START).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_at", F.row_number().over(Window.partitionBy(KEY, SLICE, "_run").orderBy("ts")))
-    ends = marked.groupBy(KEY, SLICE).agg(
-        F.max("_run").alias("_last"), F.max_by("_at", F.struct("_run", "_at")).alias("_len")
-    )
+    numbered = _local_runs(with_slices(df, slice_hours), value)
+    numbered = numbered.withColumn("_at", F.row_number().over(Window.partitionBy(KEY, SLICE, "_run").orderBy("ts")))
     history = Window.partitionBy(KEY).orderBy(SLICE)
-    upto = history.rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("_chain", F.sum(F.when(F.col("_last") > 0, 1).otherwise(0)).over(upto))
+    # A chain starts in every slice whose last run starts in it; later slices only prolong it.
+    starts = F.when((F.col("_last") > 1) | (F.col("_joins") == 0), 1).otherwise(0)
+    ends = _run_ends(numbered, value).withColumn("_chain", F.sum(starts).over(history.rowsBetween(Window.unboundedPreceding, 0)))
     chain = Window.partitionBy(KEY, "_chain").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("_open", F.sum("_len").over(chain)).withColumn("_before", F.lag("_open").over(history))
-    out = marked.join(ends.select(KEY, SLICE, "_before"), [KEY, SLICE], "left")
-    carried = F.when(F.col("_run") == 0, F.coalesce("_before", F.lit(0))).otherwise(0)
-    return out.withColumn(name, (F.col("_at") + carried).cast("bigint")).drop("_run", "_at", "_before", RUN_START, SLICE)
+    ends = ends.withColumn("_open", F.sum("_tail").over(chain))
+    ends = ends.withColumn("_before", F.when(F.col("_joins") == 1, F.lag("_open").over(history)).otherwise(0))
+    out = numbered.join(ends.select(KEY, SLICE, "_before"), [KEY, SLICE], "left")
+    carried = F.when(F.col("_run") == 1, F.col("_before")).otherwise(0)
+    return out.withColumn(name, (F.col("_at") + carried).cast("bigint")).drop("_run", "_at", "_before", SLICE)
 
 
 def interpolate(
