@@ -102,7 +102,7 @@ def threshold_sweep(df: DataFrame, sweeps: dict[str, tuple[Column, Sequence[floa
         ]
     )
     rows = wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(cells))])))
-    return rows.withColumn("percent", F.col("n_hits") / F.col("n_rows") * 100)
+    return rows.withColumn("percent", F.col("n_hits") / F.nullif(F.col("n_rows"), F.lit(0)) * 100)
 
 
 def explanations(df: DataFrame, label: str = "diagnosed_fault") -> DataFrame:

@@ -149,10 +149,10 @@ def fit_iforest(
 ) -> IsolationForest:
     """Fit on the rows of df. A numeric contamination sets the cut at that share of rows."""
     features = check_feature_list(features)
-    medians = exact_quantiles(df.select(*features), [], {c: [0.5] for c in features}, cfg.percentile_group_rows).first()
+    n = df.count()
+    medians = exact_quantiles(df.select(*features), [], {c: [0.5] for c in features}, cfg.percentile_group_rows, n).first()
     filled = tuple(float(medians[f"q_{c}"][0]) if medians[f"q_{c}"] else 0.0 for c in features)
     rows = df.select(*KEYS, *[F.coalesce(F.col(c), F.lit(m)).cast("double").alias(c) for c, m in zip(features, filled)])
-    n = rows.count()
     psi = min(sample_size, n)
     sampled = _hashed_samples(rows, n, psi, trees, seed)
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
@@ -172,7 +172,7 @@ def fit_iforest(
     if contamination == "auto":
         return forest
     scored = stage(forest.score(rows).select("isolation_raw"), "forest-scores")
-    cut = exact_quantiles(scored, [], {"isolation_raw": [1.0 - float(contamination)]}, cfg.percentile_group_rows)
+    cut = exact_quantiles(scored, [], {"isolation_raw": [1.0 - float(contamination)]}, cfg.percentile_group_rows, n)
     return IsolationForest(forest.nodes, forest.features, filled, psi, cut.first()[0][0])
 
 

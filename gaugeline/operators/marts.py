@@ -24,7 +24,7 @@ def monitored(df: DataFrame) -> DataFrame:
 
 def kpi(df: DataFrame) -> DataFrame:
     """One row per station and one for all stations."""
-    percent = F.col("anomalies") / F.col("records") * 100
+    percent = F.coalesce(F.col("anomalies") / F.nullif(F.col("records"), F.lit(0)) * 100, F.lit(0.0))
     status = F.when(F.col("anomalies") == 0, "Normal").when(percent < 5, "Monitoring").otherwise("Elevated")
     out = df.rollup("station_name").agg(
         F.grouping("station_name").alias("_total"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from gaugeline.config import DEFAULT
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="gaugeline-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for hand-off tables: the shared one the cluster names.
 
@@ -23,8 +29,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="gaugeline-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        path = _local_folder()
     return path.rstrip("/")
 
 

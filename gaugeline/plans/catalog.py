@@ -23,7 +23,7 @@ from gaugeline.operators import (
     spatial,
 )
 from gaugeline.operators.quantiles import exact_quantiles
-from gaugeline.operators.slices import interpolate
+from gaugeline.operators.slices import interpolate, with_run_length
 from gaugeline.operators.staging import new_table_path, stage
 from gaugeline.plans import demo
 from gaugeline.plans.shapes import SHAPES, shaped
@@ -242,7 +242,7 @@ def rolling_std_6(spark, sf):
 
 
 def _runs(spark, sf):
-    return features.with_run_length(stage(demo.faulty(spark, sf), "faulty"), "temperature")
+    return with_run_length(stage(demo.faulty(spark, sf), "faulty"), "temperature")
 
 
 @query

@@ -62,6 +62,12 @@ def test_scratch_dir_is_the_session_setting(spark):
     assert staging.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+def test_scratch_dir_without_setting(spark, monkeypatch):
+    monkeypatch.setattr(staging, "CHECKPOINT_CONF", "spark.gaugeline.unset")
+    assert os.path.isdir(staging.scratch_dir(spark))
+    assert staging.scratch_dir(spark) == staging.scratch_dir(spark)
+
+
 def test_describe_matches_pandas(skewed):
     got = profile.describe(skewed, ["x"], (0.25, 0.5, 0.9)).first()
     x = skewed.toPandas()["x"]

@@ -116,3 +116,17 @@ def test_look_back_shares_one_window_shuffle(obs):
 def test_slice_length_fits_load(series):
     assert slices.fit_slice_hours(series({1: range(48)}), target_rows=24) == 24
     assert slices.fit_slice_hours(series({1: range(48)}), target_rows=240) == 240
+
+
+def test_hot_station_is_spread_over_tasks(spark, series):
+    """Two thirds of the rows belong to one station; no task receives them all."""
+    rng = np.random.default_rng(2)
+    hot, cold = rng.normal(size=4000).tolist(), rng.normal(size=200).tolist()
+    df = series({1: hot, **{s: cold for s in range(2, 12)}})
+    cfg = QCConfig(slice_hours=72)
+    out = features.temporal_features(df, cfg=cfg)
+    got = ordered(out)
+    base = ordered(df)
+    same(got.temperature_rolling_std_24h, per_station(base, lambda s: s.shift(1).rolling("24h", min_periods=3).std()))
+    sliced = slices.with_lookback(df, rows=25, hours=24, slice_hours=72).groupBy("station_id", "_slice").count()
+    assert sliced.agg(F.max("count")).first()[0] <= 72 + 25
