@@ -7,11 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat_format, exact_dedup, secret_scan
+from gaugeline.llm import chat_format, exact_dedup, fingerprint, mixing, piece_codec, secret_scan, warc_writer
 from gaugeline.llm.common import table
 from gaugeline.operators.staging import stage
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = piece_model()
+    coded = piece_codec.decode(piece_codec.encode(docs, model, drop_text=True).select("doc_id", "ids"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the source stands for the owner, its texts in one language for a repository
@@ -33,6 +51,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.follow(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
@@ -56,10 +82,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_writer.write_and_read(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_codec": op1_piece_codec,
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_mix_sources": op6_mix_sources,
     "op9_chat_format": op9_chat_format,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {
@@ -68,6 +103,19 @@ ORACLE: dict[str, str] = {
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t""",
+    "op6_mix_sources": """
+        WITH s AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS raw FROM documents GROUP BY source),
+             t AS (SELECT sum(n) AS all_n, sum(raw) AS all_raw FROM s),
+             r AS (SELECT source, CAST(all_n AS DOUBLE) * (raw / all_raw) / n AS rate FROM s, t),
+             -- rates over 256 do not occur with these weights, so one draw is enough
+             k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM r),
+             c AS (SELECT source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+             a AS (SELECT source, list(cdf ORDER BY cdf) AS cdf FROM c GROUP BY source),
+             d AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= CAST(CAST('0x' || md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|1')[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496)) AS n_copies
+                   FROM documents d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+             e AS (SELECT *, unnest(range(0, n_copies)) AS copy_no FROM d)
+        SELECT doc_id, text, lang, source, n_chars, n_copies, copy_no,
+               md5('mix|order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy_no) AS shuffle_key FROM e""",
     "op9_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
