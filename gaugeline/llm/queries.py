@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat_format, exact_dedup, fingerprint, mixing, piece_codec, secret_scan, warc_writer
+from gaugeline.llm import chat_format, exact_dedup, fingerprint, mixing, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
 from gaugeline.llm.common import table
 from gaugeline.operators.staging import stage
 
@@ -59,6 +59,20 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+KEEP_SCORE = 0.3
+
+
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_mil.score(docs, model).drop("text")
+    return scored.select("doc_id", quality_mil.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
@@ -93,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprint": op5_fingerprint,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_mil": op7_quality_mil,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_warc": op10_warc,
 }
