@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat_format, exact_dedup, fingerprint, mixing, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
+from gaugeline.llm import chat_format, exact_dedup, fingerprint, jaccard_join, mixing, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
 from gaugeline.llm.common import table
 from gaugeline.operators.staging import stage
 
@@ -30,6 +30,10 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the source stands for the owner, its texts in one language for a repository
@@ -103,6 +107,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprint": op5_fingerprint,
