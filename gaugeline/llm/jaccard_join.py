@@ -8,17 +8,17 @@ hashes; with fewer words the whole sequence is one shingle. Documents link when
    classes, so copies cost one row each and are never paired.
 2. Screening, exact: two linked sets of sizes n and m have the l smallest of their common shingles, in any
    fixed order, among the first n - ceil(t n) + l of the one and m - ceil(t m) + l of the other. In hash
-   order with l = n/20 (for a partner, at least t n/20) nearly all that is left has a partner, for a third
+   order with l = n/8 (for a partner, at least t n/8) nearly all that is left has a partner, for a third
    of the shingles in one shuffle.
 3. Rare-first order among the classes left: shingles by their number of classes. A shingle of one class
    cannot join and only shifts positions. Prefixes of n - ceil(t n) + 1 shingles are the postings.
 4. Candidates share a posting, and pass the length and positional filters. Each pair is verified once:
    suffix filter first (a bound on the differences from a probe in the middle, twice), then the exact
    intersection of the sorted sets.
-5. Components: a block of postings that thousands of near copies share is not paired out. Star rounds
-   verify each member against one leader per block and merge what links; then only pairs between
-   different components can still matter, and those are generated and verified without limit. A star round is
-   repeated while the pairs left are many; the answer does not depend on how many rounds run.
+5. Components: a block of postings that thousands of near copies share is not paired out. A star round
+   verifies each member against a few leaders of its block and merges what links; then only pairs between
+   different components can still matter, and those are generated and verified without limit, so the answer
+   does not depend on the leaders.
 
 Defined results: null and blank texts have an empty set, are linked with nothing and are their own
 component; rows that repeat an id share its smallest label; null ids are labelled by the smallest other id
@@ -43,7 +43,8 @@ from gaugeline.operators.staging import stage
 
 SHINGLE = 5
 PERCENT = 75
-SCREEN = 20
+SCREEN = 8
+LEADERS = 16
 U64 = np.uint64
 
 
@@ -232,33 +233,33 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint, n int, n2 int, overlap bigint")
 
 
-def star_pairs(posts: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Candidates of each posting with one leader of its block: the member with the smallest hash, anew each turn."""
-    lead = F.struct(F.xxhash64(F.lit(turn), "c").alias("r"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+def star_pairs(posts: DataFrame, labels: DataFrame, percent: int, turn: int, leaders: int = LEADERS) -> DataFrame:
+    """Candidates of each posting with the leaders of its block: the members with the smallest hash, for several hashes."""
+    lead = lambda k: F.struct(F.xxhash64(F.lit(turn * leaders + k), "c").alias("r"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
     members = posts.join(labels, "c")
-    leaders = members.groupBy("h").agg(F.min(lead).alias("l")).select("h", "l.*")
-    found = members.join(leaders, "h").filter("label <> label2").filter(_passes(percent))
+    chosen = members.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *(F.min(lead(k)).alias(f"l{k}") for k in range(leaders))).filter("m > 1")
+    chosen = chosen.select("h", F.explode(F.array_distinct(F.transform(F.array(*(f"l{k}" for k in range(leaders))), lambda x: x.dropFields("r")))).alias("l")).select("h", "l.*")
+    found = members.join(chosen, "h").filter("label <> label2").filter(_passes(percent))
     return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All candidates between different components: blocks are split by component before they are paired."""
+def cross_pairs(posts: DataFrame, labels: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """All candidates between different components, each at its first common posting only.
+
+    Blocks are split by component before they are paired, so members of one component never meet.
+    """
     members = posts.join(labels, "c")
     groups = members.select("h", "label").distinct()
     mixed = groups.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    prefix = items.select("c", F.col("own").alias("o"), F.col("toks").alias("t"))
+    members = members.join(mixed, "h", "left_semi").join(prefix, "c")
+    members = members.select("h", "label", "c", "n", "pos", F.expr("slice(t, 1, pos - o)").alias("before"))
     groups = groups.join(mixed, "h", "left_semi")
     couples = groups.join(groups.withColumnRenamed("label", "label2"), "h").filter("label < label2")
     left = couples.join(members, ["h", "label"])
-    right = members.select("h", F.col("label").alias("label2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    found = left.join(right, ["h", "label2"]).filter(_passes(percent))
-    return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-
-
-def pairs_left(posts: DataFrame, labels: DataFrame) -> int:
-    """How many pairs of postings of different components the blocks hold."""
-    sizes = posts.join(labels, "c").groupBy("h", "label").agg(F.count(F.lit(1)).alias("m"))
-    blocks = sizes.groupBy("h").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return int(blocks.agg(F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("decimal(38,0)"))).first()[0] or 0)
+    right = members.select("h", F.col("label").alias("label2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"))
+    found = left.join(right, ["h", "label2"]).filter(_passes(percent)).filter(~F.arrays_overlap("before", "before2"))
+    return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
 
 
 def _prepared(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -276,23 +277,22 @@ def jaccard_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", s
     """All linked pairs of different sets (a, b, n, n2, overlap), and the membership (doc_id, n, c) of their classes."""
     sets, _, items, posts = _prepared(docs, text, id_col, shingle, percent)
     own = posts.select("c", F.col("c").alias("label")).distinct()
-    return verify(cross_pairs(posts, own, percent), items, percent), sets.select("doc_id", "n", "c")
+    return verify(cross_pairs(posts, own, items, percent), items, percent), sets.select("doc_id", "n", "c")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, star_rounds: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, leaders: int = LEADERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     sets, classes, items, posts = _prepared(docs, text, id_col, shingle, percent)
-    own = stage(posts.select("c").distinct().withColumn("label", F.col("c")), "own-labels")
-    labels, edges, n_posts = own, None, posts.count()
-    for turn in range(star_rounds + 1):
-        last = turn == star_rounds or pairs_left(posts, labels) <= 4 * n_posts
-        pairs = cross_pairs(posts, labels, percent) if last else star_pairs(posts, labels, percent, turn)
-        found = stage(verify(pairs, items, percent).select("a", "b"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        merged = components(edges)
-        labels = stage(own.select("c").join(merged.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("label", "c").alias("label")), "labels")
-        if last:
+    labels = stage(posts.select("c").distinct().withColumn("label", F.col("c")), "labels")
+    own, edges = labels.select("c"), []
+    for find in (lambda: star_pairs(posts, labels, percent, 0, leaders), lambda: cross_pairs(posts, labels, items, percent)):
+        edges.append(stage(verify(find(), items, percent).select("a", "b"), "links"))
+        if len(edges) == 2 and edges[1].isEmpty():
             break
+        # what has merged stays merged: the second time its labels stand for the links
+        old = labels.select(F.col("c").alias("a"), F.col("label").alias("b"))
+        merged = components(edges[-1].unionByName(old)).withColumnRenamed("node", "c")
+        labels = stage(own.join(merged, "c", "left").select("c", F.coalesce("label", "c").alias("label")), "labels")
     named = classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_class = stage(named.join(smallest, "label").select("c", "component_id"), "components")
