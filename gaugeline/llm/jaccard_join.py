@@ -246,19 +246,18 @@ def star_pairs(posts: DataFrame, labels: DataFrame, percent: int, turn: int, lea
 def cross_pairs(posts: DataFrame, labels: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """All candidates between different components, each at its first common posting only.
 
-    Blocks are split by component before they are paired, so members of one component never meet.
+    In each block, the members outside its largest component are paired with the others; members of the
+    largest one never meet among themselves.
     """
     members = posts.join(labels, "c")
-    groups = members.select("h", "label").distinct()
-    mixed = groups.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    sizes = members.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m"))
+    blocks = sizes.groupBy("h").agg(F.max(F.struct("m", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("h", "top")
     prefix = items.select("c", F.col("own").alias("o"), F.col("toks").alias("t"))
-    members = members.join(mixed, "h", "left_semi").join(prefix, "c")
-    members = members.select("h", "label", "c", "n", "pos", F.expr("slice(t, 1, pos - o)").alias("before"))
-    groups = groups.join(mixed, "h", "left_semi")
-    couples = groups.join(groups.withColumnRenamed("label", "label2"), "h").filter("label < label2")
-    left = couples.join(members, ["h", "label"])
-    right = members.select("h", F.col("label").alias("label2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"))
-    found = left.join(right, ["h", "label2"]).filter(_passes(percent)).filter(~F.arrays_overlap("before", "before2"))
+    members = members.join(blocks, "h").join(prefix, "c")
+    members = members.select("h", "top", "label", "c", "n", "pos", F.expr("slice(t, 1, pos - o)").alias("before"))
+    right = members.select("h", *(F.col(k).alias(f"{k}2") for k in ("label", "c", "n", "pos", "before")))
+    once = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("top")) | (F.col("c") < F.col("c2")))
+    found = members.filter("label <> top").join(right, "h").filter(once & _passes(percent) & ~F.arrays_overlap("before", "before2"))
     return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
 
 
