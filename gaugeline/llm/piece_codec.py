@@ -32,7 +32,8 @@ from gaugeline.llm import text as tx
 from gaugeline.llm.common import ship
 
 MARK = "▁"
-WORD_TABLE = 1_000_000
+WORD_TABLE = 500_000
+DECODE_ROWS = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 BPE = 2
 
@@ -352,12 +353,14 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
-        for batch in batches:
-            lists = batch.column(ids)
-            at = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            dead = lists.is_null().to_pylist() if lists.null_count else None
-            texts = [c.decode(values[at[i] : at[i + 1]]) if not (dead and dead[i]) else "" for i in range(batch.num_rows)]
-            yield _with(batch, {out: pa.array(texts, pa.string())})
+        for whole in batches:
+            for first in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(first, DECODE_ROWS)
+                lists = batch.column(ids)
+                at = lists.offsets.to_numpy()
+                values = lists.values.to_numpy(zero_copy_only=False)
+                dead = lists.is_null().to_pylist() if lists.null_count else None
+                texts = [c.decode(values[at[i] : at[i + 1]]) if not (dead and dead[i]) else "" for i in range(batch.num_rows)]
+                yield _with(batch, {out: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, schema)
