@@ -103,10 +103,13 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def train_dictionary(pages: DataFrame, sample_records: int = 2000, sample_bytes: int = 8 << 20, size: int = 64 << 10) -> bytes:
     """A dictionary from the records with the smallest hashed ids, or none (b"") where they are too few or too alike."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).filter(F.octet_length("html") <= sample_bytes // 64)
-    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample_records)
+    fits = F.octet_length("html") <= sample_bytes // 64
+    chosen = pages.filter(fits & F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_records)
+    # at most sample_records ids; an id that many rows have gives one record
+    rows = pages.filter(fits).join(F.broadcast(chosen.distinct()), "page_id").groupBy("page_id").agg(F.min(F.struct("html", "url")).alias("r"))
+    rows = rows.select("page_id", "r.*")
     sample, total = [], 0
-    for r in rows.collect():
+    for r in sorted(rows.collect(), key=lambda r: r.page_id):
         raw = record(r.page_id, r.url or "", r.html.encode(), None, False)
         total += len(raw)
         if total > sample_bytes:
