@@ -131,8 +131,11 @@ def follow(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ranges:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)))
     rows = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
-    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="bucket", handleInvalid="keep")
-    rows = bucket.transform(rows).select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
+    if cuts:
+        rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="bucket", handleInvalid="keep").transform(rows)
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    rows = rows.select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
     # at most one row for each range: its first document, to close the range before
     heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("head"))
     order = Window.orderBy("bucket")
