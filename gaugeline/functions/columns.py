@@ -165,7 +165,7 @@ EXPLAIN_TEXT = {
     "quiet": "No detector evidence of anomaly; reading consistent with recent station history",
     "mixed": "Detectors raised weak/mixed signals but primary diagnosis remains NORMAL; ",
     "suspicious": "Detector evidence without a confident specific fault type",
-    "label": "Primary P3 diagnosis: ",
+    "label": "Primary diagnosis: ",
 }
 INSUFFICIENT = "INSUFFICIENT CONTEXT"
 

@@ -8,7 +8,6 @@ the other readings are never sorted.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import chain
 
 import pandas as pd
@@ -57,55 +56,121 @@ def gauss_hash(*cols: Column, seed: int = 42) -> Column:
 
 
 def spec_hits(df: DataFrame, spec: DataFrame, cfg: QCConfig = DEFAULT) -> DataFrame:
-    """Readings inside a fault span; if spans overlap the latest spec wins."""
+    """One row for each reading and fault span that holds it, numbered along the span (`_i` from 1)."""
     width = BUCKET_HOURS * 3600
     spec = spec.withColumn("end_ts", F.timestamp_add("HOUR", F.col("duration").cast("int"), F.col("start_ts")))
     first, last = F.floor(epoch_seconds("start_ts") / width), F.floor((epoch_seconds("end_ts") - 1) / width)
     spans = spec.filter(F.col("duration") > 0).withColumn("_bucket", F.explode(F.sequence(first, last)))
     readings = df.select("station_id", "ts", *VARIABLES).withColumn("_bucket", F.floor(epoch_seconds() / width))
-    right = F.broadcast(spans) if fits(spec, cfg.broadcast_rows) else spans
+    # the exploded buckets are what is sent, so they are what is counted
+    right = F.broadcast(spans) if fits(spans, cfg.broadcast_rows) else spans
     hits = readings.join(right, ["station_id", "_bucket"]).filter(
         (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))
     )
-    names = ["seq", "variable", "fault", "severity"]
-    return hits.groupBy("station_id", "ts").agg(
-        F.max_by(F.struct(*names), "seq").alias("_spec"), *[F.first(v).alias(v) for v in VARIABLES]
-    ).select("station_id", "ts", *VARIABLES, "_spec.*")
-
-
-def faulty_values(hits: DataFrame, seed: int = 42) -> DataFrame:
-    """New readings of the hit rows: (station_id, ts, new_<variable>..., labels)."""
-    w = Window.partitionBy("station_id", "seq").orderBy("ts")
-    value = reduce(
-        lambda acc, v: acc.when(F.col("variable") == v, F.col(v)),
-        VARIABLES[1:],
-        F.when(F.col("variable") == VARIABLES[0], F.col(VARIABLES[0])),
+    return hits.withColumn("_i", F.row_number().over(Window.partitionBy("station_id", "seq").orderBy("ts")))
+
+
+def _known(amount: Column) -> Column:
+    """The amount, or an error where the spec names an unknown fault, variable or severity."""
+    names = F.concat_ws("/", "variable", "fault", "severity")
+    return F.coalesce(amount, F.raise_error(F.concat(F.lit("fault spec not understood: "), names)))
+
+
+def _op(kind: Column, amount: Column, fault_type: Column) -> Column:
+    """What one spec does to one reading: 'add' an amount, 'set' it, 'hold' the span's first value, or 'blank'."""
+    return F.struct(
+        "seq",
+        "variable",
+        kind.alias("kind"),
+        amount.cast("double").alias("amount"),
+        (F.col("_i") == 1).alias("opens"),
+        fault_type.alias("fault_type"),
+        F.col("severity").alias("fault_severity"),
     )
-    sev = F.col("severity")
-    hits = hits.withColumns({"_value": value, "_i": F.row_number().over(w)})
-    hits = hits.withColumn("_first", F.first("_value").over(w))
+
+
+def _timed_op(seed: int) -> Column:
+    fault, sev = F.col("fault"), F.col("severity")
     signs = F.array(*[F.lit(s) for s in NOISE_SIGNS])
-    sign = F.get(signs, F.pmod(F.col("_i") - 1, F.lit(len(NOISE_SIGNS))))
+    sign = F.get(signs, (F.pmod(F.col("_i") - 1, F.lit(len(NOISE_SIGNS)))).cast("int"))
     u = unit_hash(F.col("station_id"), F.col("seq"), F.col("_i"), seed=seed)
-    fault = F.col("fault")
-    new = (
-        F.when(fault == "spike", F.col("_value") + _by_variable(sev))
-        .when(fault == "drop", F.col("_value") - _by_variable(sev))
-        .when(fault == "frozen", F.col("_first"))
-        .when(fault == "drift", F.col("_value") + F.col("_i") * _lookup(DRIFT_STEP, sev))
-        .when(fault == "noise", F.col("_value") + sign * _by_variable(sev) * (0.4 + 0.6 * u))
-        .when(fault == "multivariate", F.col("_value") + _lookup(MULTIVARIATE_SHIFT, sev))
-    )  # a missing fault leaves null
-    hits = hits.withColumn("_new", new)
-    fault_type = F.when(fault == "multivariate", "multivariate_inconsistency").otherwise(
-        F.concat_ws("_", "variable", "fault")
+    amount = (
+        F.when(~F.col("variable").isin(*VARIABLES), F.lit(None).cast("double"))
+        .when(fault == "spike", _by_variable(sev))
+        .when(fault == "drop", -_by_variable(sev))
+        .when(fault == "drift", F.col("_i") * _lookup(DRIFT_STEP, sev))
+        .when(fault == "noise", sign * _by_variable(sev) * (0.4 + 0.6 * u))
+        .when(fault == "multivariate", _lookup(MULTIVARIATE_SHIFT, sev))
+        .when(fault.isin("frozen", "missing"), 0.0)
+    )
+    kind = F.when(fault == "frozen", "hold").when(fault == "missing", "blank").otherwise("add")
+    named = F.when(fault == "multivariate", "multivariate_inconsistency").otherwise(F.concat_ws("_", "variable", "fault"))
+    return _op(kind, _known(amount), named)
+
+
+def _fold(ops: Column, start: Column) -> Column:
+    """(held, value) after ops in seq order: `value` itself, or to be added to what span `held` holds."""
+    state = lambda held, value: F.struct(held.alias("held"), value.alias("value"))
+    none, blank = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    step = lambda acc, op: (
+        F.when(op["kind"] == "add", state(acc["held"], acc["value"] + op["amount"]))
+        .when(op["kind"] == "set", state(none, op["amount"]))
+        .when(op["kind"] == "hold", state(op["seq"].cast("bigint"), F.lit(0.0)))
+        .otherwise(state(none, blank))
     )
-    return hits.select(
+    return F.aggregate(ops, state(none, start.cast("double")), step)
+
+
+def _held_values(cells: DataFrame, chained: bool) -> DataFrame:
+    """The value each frozen span holds: its variable at the span's first reading, after all earlier specs.
+
+    Where frozen spans may start inside others (`chained`), references are shortened by
+    doubling; they lead to ever smaller seq, so the rounds are the logarithm of the longest chain.
+    """
+    opening = cells.withColumn("op", F.explode(F.filter("ops", lambda o: (o["kind"] == "hold") & o["opens"])))
+    start = F.coalesce(*[F.when(F.col("op.variable") == v, F.col(v)) for v in VARIABLES])
+    earlier = F.filter("ops", lambda o: (o["variable"] == F.col("op.variable")) & (o["seq"] < F.col("op.seq")))
+    starts = opening.select("station_id", F.col("op.seq").cast("bigint").alias("seq"), _fold(earlier, start).alias("at"))
+    starts = starts.select("station_id", "seq", "at.held", "at.value")
+    while chained:
+        starts = stage(starts, "held-values")
+        chained = starts.filter("held IS NOT NULL").limit(1).count() > 0
+        if chained:
+            base = starts.select("station_id", F.col("seq").alias("held"), F.col("held").alias("up"), F.col("value").alias("base"))
+            value = F.when(F.col("held").isNull(), F.col("value")).otherwise(F.col("value") + F.col("base"))
+            starts = starts.join(base, ["station_id", "held"], "left").select("station_id", "seq", F.col("up").alias("held"), value.alias("value"))
+    return starts.select("station_id", F.col("seq").alias("held"), F.col("value").alias("_base"))
+
+
+def _in_order(hits: DataFrame, op: Column, spec: DataFrame, cfg: QCConfig) -> DataFrame:
+    """New values and labels of the hit readings, specs applied one after the other by seq.
+
+    A spec changes its own variable only, on top of what earlier specs left there;
+    the labels are those of the latest spec.
+    """
+    cells = hits.withColumn("_op", op).groupBy("station_id", "ts").agg(
+        *[F.first(v).alias(v) for v in VARIABLES], F.array_sort(F.collect_list("_op")).alias("ops")
+    )
+    frozen = spec.filter("fault = 'frozen'").limit(1).count() > 0
+    per_variable = lambda v: F.filter("ops", lambda o: o["variable"] == v)
+    out = cells.withColumns({f"_{v}": _fold(per_variable(v), F.col(v)) for v in VARIABLES})
+    if frozen:
+        holds = _held_values(cells, True)
+        known = fits(spec, cfg.broadcast_rows)
+        for v in VARIABLES:
+            mine = holds.withColumnRenamed("_base", f"_base_{v}")
+            out = out.withColumn("held", F.col(f"_{v}.held"))
+            out = join_dim(out, mine, ["station_id", "held"], spread="ts", max_rows=0, rows=0 if known else 1).drop("held")
+        new = lambda v: F.when(F.col(f"_{v}.held").isNull(), F.col(f"_{v}.value")).otherwise(F.col(f"_base_{v}") + F.col(f"_{v}.value"))
+    else:
+        new = lambda v: F.col(f"_{v}.value")
+    last = F.element_at("ops", -1)
+    return out.select(
         "station_id",
         "ts",
-        *[F.when(F.col("variable") == v, F.col("_new")).otherwise(F.col(v)).alias(f"new_{v}") for v in VARIABLES],
-        fault_type.alias("fault_type"),
-        F.col("severity").alias("fault_severity"),
+        *[new(v).alias(f"new_{v}") for v in VARIABLES],
+        last["fault_type"].alias("fault_type"),
+        last["fault_severity"].alias("fault_severity"),
     )
 
 
@@ -128,8 +193,11 @@ def _write_faults(df: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def inject_faults(df: DataFrame, spec: DataFrame, seed: int = 42, cfg: QCConfig = DEFAULT) -> DataFrame:
-    """Apply a spec of timed faults and add the ground-truth columns."""
-    return _write_faults(df, faulty_values(spec_hits(df, spec, cfg), seed))
+    """Apply a spec of timed faults in seq order and add the ground-truth columns.
+
+    Unknown faults, variables and severities raise an error.
+    """
+    return _write_faults(df, _in_order(spec_hits(df, spec, cfg), _timed_op(seed), spec, cfg))
 
 
 def inject_at_rows(df: DataFrame, spec: DataFrame, seed: int = 42, cfg: QCConfig = DEFAULT) -> DataFrame:
@@ -144,32 +212,21 @@ def inject_at_rows(df: DataFrame, spec: DataFrame, seed: int = 42, cfg: QCConfig
     cells = spec.filter(F.col("duration") > 0).withColumn(
         "_row", F.explode(F.sequence(F.col("start_row"), F.col("start_row") + F.col("duration") - 1))
     )
-    cells = F.broadcast(cells) if fits(spec, cfg.broadcast_rows) else cells
+    cells = F.broadcast(cells) if fits(cells, cfg.broadcast_rows) else cells
     hits = numbered.select("station_id", "ts", "_row", *VARIABLES).join(cells, ["station_id", "_row"])
-    w = Window.partitionBy("station_id", "seq").orderBy("ts")
-    value = F.coalesce(*[F.when(F.col("variable") == v, F.col(v)) for v in VARIABLES])
     step = F.col("_row") - F.col("start_row")
-    noise = gauss_hash(F.col("station_id"), F.col("seq"), step, seed=seed)
+    hits = hits.withColumn("_i", F.row_number().over(Window.partitionBy("station_id", "seq").orderBy("ts")))
     fault = F.col("fault")
-    hits = hits.withColumn("_value", value).withColumn("_first", F.first("_value").over(w))
-    new = (
-        F.when(fault == "spike", F.col("amount"))
-        .when(fault == "frozen", F.col("_first"))
-        .when(fault == "drift", F.col("_value") + F.col("amount") * step)
-        .when(fault == "noise", F.col("_value") + F.col("amount") * noise)
-    )
-    hits = hits.withColumn("_new", new)
-    changed = hits.groupBy("station_id", "ts").agg(
-        F.max_by(
-            F.struct(
-                *[F.when(F.col("variable") == v, F.col("_new")).otherwise(F.col(v)).alias(f"new_{v}") for v in VARIABLES],
-                F.concat_ws("_", "variable", "fault").alias("fault_type"),
-                F.col("severity").alias("fault_severity"),
-            ),
-            "seq",
-        ).alias("_row")
+    amount = (
+        F.when(~F.col("variable").isin(*VARIABLES), F.lit(None).cast("double"))
+        .when(fault == "spike", F.col("amount"))
+        .when(fault == "drift", F.col("amount") * step)
+        .when(fault == "noise", F.col("amount") * gauss_hash(F.col("station_id"), F.col("seq"), step, seed=seed))
+        .when(fault.isin("frozen", "missing"), 0.0)
     )
-    return _write_faults(df, changed.select("station_id", "ts", "_row.*"))
+    kind = F.when(fault == "spike", "set").when(fault == "frozen", "hold").when(fault == "missing", "blank").otherwise("add")
+    op = _op(kind, _known(amount), F.concat_ws("_", "variable", "fault"))
+    return _write_faults(df, _in_order(hits, op, spec, cfg))
 
 
 def invalid_row_specs(df: DataFrame, spec: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ task, and is summed there.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,9 +281,14 @@ def merge_spatial(df: DataFrame, spatial: DataFrame) -> DataFrame:
     return df.join(spatial.select("ts", "station_id", *SPATIAL_COLUMNS), ["ts", "station_id"], "left")
 
 
-def station_pivot(df: DataFrame, stations: Sequence[int], parameter: str = "temperature") -> DataFrame:
-    """Time by station table for a given list of stations."""
-    return df.groupBy("ts").pivot("station_id", list(stations)).agg(F.avg(parameter))
+def station_pivot(df: DataFrame, parameter: str = "temperature", width: int = 100) -> DataFrame:
+    """Time by station table of all stations, in blocks of `width` columns.
+
+    Column c<k> of block b is station b * width + k, so the width does not grow with the stations.
+    """
+    s = F.col("station_id")
+    placed = df.select("ts", F.floor(s / width).alias("block"), F.concat(F.lit("c"), s % width).alias("_cell"), parameter)
+    return placed.groupBy("block", "ts").pivot("_cell", [f"c{k}" for k in range(width)]).agg(F.avg(parameter))
 
 
 def regional_heat(df: DataFrame, limit: float = 40.0, min_stations: int = 2) -> DataFrame:

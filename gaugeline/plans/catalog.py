@@ -501,8 +501,7 @@ def loo_consistency(spark, sf):
 
 @query
 def station_pivot(spark, sf):
-    wide = spatial.station_pivot(observations(spark, sf), [0, 1])
-    return wide.select("ts", F.col("0").alias("s0"), F.col("1").alias("s1"))
+    return spatial.station_pivot(observations(spark, sf))
 
 
 @query
@@ -650,6 +649,12 @@ for _name in ("spike", "drop", "frozen", "drift", "missing", "multivariate"):
     _inject_query(_name)
 
 
+@query
+def inject_overlap(spark, sf):
+    """Four faults of each station on shared readings, applied in their order."""
+    return inject.inject_faults(observations(spark, sf), demo.overlapping_spec(spark, sf))
+
+
 @query
 def inject_noise(spark, sf):
     """Both noise forms: sign pattern on the timed spans, normal noise on row spans."""
@@ -922,10 +927,10 @@ def live_score(spark, sf):
     obs = stage(observations(spark, sf), "obs")
     newest = profile.latest_per_station(obs)
     history = obs.join(newest.select("station_id", "ts"), ["station_id", "ts"], "left_anti")
-    forest = iforest.fit_iforest(history, FOREST_FEATURES, trees=100)
+    forest = iforest.fit_iforest(history, FOREST_FEATURES, trees=200)
     diag = diagnosis.diagnose(
         stage(detectors.detector_votes(features.temporal_features(history), demo.isolation_stand_in()), "votes")
     )
     fixed = stage(correction.correct_by_rules(diag), "fixed")
-    model = correction.fit_corrector(fixed, trees=20)
+    model = correction.fit_corrector(fixed, trees=200)
     return live.score_readings(newest, history, forest, model)

@@ -40,6 +40,26 @@ def fault_spec(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Fixed values: (variable, fault, hours after the first fault, duration) in the order of application.
+OVERLAPS = (("temperature", "drift", 0, 6), ("humidity", "spike", 1, 3), ("temperature", "frozen", 2, 4), ("temperature", "drop", 3, 2))
+
+
+def overlapping_spec(spark: SparkSession, sf: str) -> DataFrame:
+    """Four faults per station that share readings."""
+    s = F.col("station_id")
+    rows = [F.struct(F.lit(i).alias("i"), *[F.lit(x).alias(n) for n, x in zip(("variable", "fault", "after", "duration"), o)]) for i, o in enumerate(OVERLAPS)]
+    hour = (F.lit(10) + (s * 37) % 80 + F.col("o.after")).cast("int")
+    return station_ids(spark, sf).withColumn("o", F.explode(F.array(*rows))).select(
+        (s * 10 + F.col("o.i")).alias("seq"),
+        "o.variable",
+        "o.fault",
+        "station_id",
+        F.timestamp_add("HOUR", hour, F.lit(SPEC_ORIGIN).cast("timestamp_ntz")).alias("start_ts"),
+        F.col("o.duration").cast("bigint").alias("duration"),
+        F.lit("moderate").alias("severity"),
+    )
+
+
 def row_spec(spark: SparkSession, sf: str, fault: str, amount: float, duration: int) -> DataFrame:
     """One row-position fault per station."""
     s = F.col("station_id")

@@ -229,6 +229,20 @@ mart AS (SELECT * REPLACE (CASE WHEN diagnosed_fault <> 'NORMAL' THEN 1 ELSE 0 E
 )
 
 FAULTY = faulty()
+# overlapping faults, one CTE for each in its order: drift, humidity spike, freeze, drop
+OVERLAPPED = OBS + """,
+p0 AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(10 + (station_id * 37) % 80 AS BIGINT)) AS h, temperature AS t0, humidity AS u0 FROM obs),
+p1 AS (SELECT *, ts >= h AND ts < h + INTERVAL 6 HOUR AS a, ts >= h + INTERVAL 1 HOUR AND ts < h + INTERVAL 4 HOUR AS b,
+              ts >= h + INTERVAL 2 HOUR AND ts < h + INTERVAL 6 HOUR AS c, ts >= h + INTERVAL 3 HOUR AND ts < h + INTERVAL 5 HOUR AS d FROM p0),
+p2 AS (SELECT *, CASE WHEN a THEN t0 + 0.5e0 * row_number() OVER (PARTITION BY station_id, a ORDER BY ts) ELSE t0 END AS t1 FROM p1),
+p3 AS (SELECT *, CASE WHEN c THEN first_value(t1) OVER (PARTITION BY station_id, c ORDER BY ts) ELSE t1 END AS t2 FROM p2),
+faulty AS (
+  SELECT * EXCLUDE (temperature, humidity), CASE WHEN d THEN t2 - 10e0 ELSE t2 END AS temperature, CASE WHEN b THEN u0 + 25e0 ELSE u0 END AS humidity,
+         t0 AS original_temperature, u0 AS original_humidity, pressure AS original_pressure,
+         CASE WHEN a OR b OR c OR d THEN 1 ELSE 0 END AS is_anomaly,
+         CASE WHEN d THEN 'temperature_drop' WHEN c THEN 'temperature_frozen' WHEN b THEN 'humidity_spike' WHEN a THEN 'temperature_drift' ELSE 'normal' END AS fault_type,
+         CASE WHEN a OR b OR c OR d THEN 'moderate' ELSE 'none' END AS fault_severity
+  FROM p3)"""
 FEAT_OBS = OBS + feat("obs")
 FEAT = FAULTY + feat("faulty")
 VOTED = FEAT + VOTES
@@ -456,7 +470,7 @@ cal AS (SELECT station_id, ts, hour(ts) AS h, hour(ts) AS hour, day(ts) AS day,
         WHEN diagnosed_fault = 'NORMAL' AND p = '' THEN 'No detector evidence of anomaly; reading consistent with recent station history'
         WHEN diagnosed_fault = 'NORMAL' THEN 'Detectors raised weak/mixed signals but primary diagnosis remains NORMAL; ' || p
         WHEN diagnosed_fault = 'SUSPICIOUS' THEN 'Detector evidence without a confident specific fault type' || CASE WHEN p = '' THEN '' ELSE ': ' || p END
-        ELSE 'Primary P3 diagnosis: ' || diagnosed_fault || CASE WHEN p = '' THEN '' ELSE '. ' || p END END AS explanation
+        ELSE 'Primary diagnosis: ' || diagnosed_fault || CASE WHEN p = '' THEN '' ELSE '. ' || p END END AS explanation
         FROM (SELECT *, {parts} AS p FROM diag))""")
     # spatial
     near = STATIONS + DIST
@@ -480,7 +494,8 @@ cal AS (SELECT station_id, ts, hour(ts) AS h, hour(ts) AS hour, day(ts) AS day,
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lv FROM votes) l USING (station_id, ts)))"""
     add("spatial_correct", evid, corrected)
     add("loo_consistency", DIAGNOSED + LOO, "loo")
-    add("station_pivot", OBS, "(SELECT ts, avg(CASE WHEN station_id = 0 THEN temperature END) AS s0, avg(CASE WHEN station_id = 1 THEN temperature END) AS s1 FROM obs GROUP BY ts)")
+    cells = ", ".join(f"avg(CASE WHEN station_id % 100 = {k} THEN temperature END) AS c{k}" for k in range(100))
+    add("station_pivot", OBS, f"(SELECT station_id // 100 AS block, ts, {cells} FROM obs GROUP BY 1, 2)")
     boosted = """(SELECT l.station_id, l.ts, l.diagnosed_fault, l.spatial_classification,
         CASE WHEN l.spatial_classification = 'SENSOR_FAULT' AND l.diagnosis_confidence IS NOT NULL THEN least(l.diagnosis_confidence + 0.2e0, 1e0) ELSE l.diagnosis_confidence END AS diagnosis_confidence FROM loo l)"""
     add("spatial_boost", DIAGNOSED + LOO, boosted)
@@ -517,6 +532,7 @@ prob AS (SELECT r.*, CASE WHEN n.n IS NULL THEN 'unknown station' WHEN start_row
            WHEN duration <= 0 THEN 'duration not positive' WHEN start_row + duration > n.n THEN 'span exceeds rows' END AS problem
          FROM rspec r LEFT JOIN n USING (station_id))"""
     add("invalid_specs", bad, "prob", "WHERE problem IS NOT NULL")
+    add("inject_overlap", OVERLAPPED, "faulty")
     shifted = SPEC + """,
 sp AS (SELECT seq, station_id, start_ts, start_ts + to_hours(duration) AS end_ts FROM spec
        UNION ALL SELECT seq + 1000000, station_id, start_ts + INTERVAL 1 HOUR, start_ts + INTERVAL 3 HOUR FROM spec WHERE seq % 3 = 0)"""

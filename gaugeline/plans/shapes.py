@@ -86,7 +86,7 @@ SHAPES: dict[str, str] = {
     "evidence_class": f"{KEYS} evidence_score classification reasons_text",
     "spatial_correct": f"{KEYS} classification ~corrected_value",
     "loo_consistency": f"{KEYS} ~temperature ~neighbor_avg_temperature neighbor_count ~spatial_deviation spatial_classification",
-    "station_pivot": "ts s0 s1",
+    "station_pivot": "block ts " + " ".join(f"~c{k}" for k in range(100)),
     "spatial_boost": f"{KEYS} diagnosed_fault spatial_classification ~diagnosis_confidence",
     "spatial_merge": f"{KEYS} ~neighbor_avg_temperature neighbor_count spatial_classification",
     "regional_heat": "ts station_count ~average_temperature ~max_temperature ~min_temperature",
@@ -108,6 +108,7 @@ SHAPES: dict[str, str] = {
     "inject_missing": _INJECTED,
     "inject_multivariate": _INJECTED,
     "inject_drift_rows": _INJECTED,
+    "inject_overlap": _INJECTED,
     "invalid_specs": "station_id seq start_row duration problem",
     "schedule_overlaps": "seq station_id",
     "fault_islands": "station_id region_start region_end n_rows",

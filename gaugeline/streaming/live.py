@@ -63,10 +63,10 @@ def score_readings(
     placed = stage(place_after_history(asked, last), "placed")
     absent = F.col("temperature").isNull() | F.col("humidity").isNull() | F.col("pressure").isNull()
     short = F.coalesce(F.col("history_rows"), F.lit(0)) < MIN_HISTORY_ROWS
-    why = F.when(absent, "temperature, pressure, and humidity are all required").when(
+    why = F.when(absent, "a reading needs temperature, humidity and pressure").when(
         short,
         F.format_string(
-            f"Station %d has only %d historical rows (need ≥ {MIN_HISTORY_ROWS}) for temporal/diagnosis context",
+            f"station %d: %d earlier readings known, {MIN_HISTORY_ROWS} needed",
             F.col("station_id"),
             F.coalesce(F.col("history_rows"), F.lit(0)),
         ),
@@ -92,7 +92,7 @@ def score_readings(
     final = correction.apply_corrector(fixed, corrector, cfg=cfg).filter(F.col("is_new") == 1)
 
     no_baseline = F.col("previous_6h_median").isNull() | F.col("temperature_zscore_24h").isNull()
-    gap = "Could not compute required temporal baselines for the simulated reading"
+    gap = "no temporal baseline for this reading"
     results = [col.alias(name) for name, col in _result_columns(forest.offset).items()]
     known = final.select("station_id", "ts", "station_name", *results, F.when(no_baseline, gap).alias("problem"))
     ok = known.filter(F.col("problem").isNull()).withColumn("reason", F.col("explanation"))

@@ -86,7 +86,8 @@ class CausalVotes(StatefulProcessor):
     """Keeps the last readings of a station and votes on each new one.
 
     The state is bounded by KEPT_ROWS. Rows at or before the newest kept time are
-    late and dropped, so the result does not depend on batch borders.
+    dropped, whatever the watermark allows: of readings out of order, those that a later
+    micro-batch brings are lost. Feed it in time order; backfills belong to the batch operators.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
