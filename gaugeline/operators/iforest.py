@@ -24,8 +24,6 @@ from gaugeline.operators.staging import stage
 
 KEYS = ("station_id", "ts")
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left_node int, right_node int, path double"
-# Up to this many rows every tree draws from all rows; beyond it trees share none.
-INDEPENDENT_ROWS = 300_000
 
 
 def _unsuccessful_path(n: float) -> float:
@@ -177,23 +175,24 @@ def fit_iforest(
 
 
 def _hashed_samples(rows: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataFrame:
-    """About 3 * psi candidate rows per tree; each tree later keeps its psi lowest draws."""
-    key = [F.col(k) for k in KEYS]
-    space = float(2**52)
-    if n <= INDEPENDENT_ROWS:
-        # every tree draws from all rows, independently
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        drawn = rows.withColumn("tree", tree).withColumn(
-            "_draw", F.pmod(F.xxhash64(*key, F.col("tree"), F.lit(seed)), F.lit(2**52)) / space
-        )
-        share = min(1.0, 3.0 * psi / n)
-    else:
-        # one draw per row decides both whether it is used and by which tree
-        drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(2**52)) / space).withColumn(
-            "tree", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees)).cast("int")
-        )
-        share = min(1.0, 3.0 * psi * trees / n)
-    return drawn.filter(F.col("_draw") < share)
+    """About 3 * psi candidate rows per tree; each tree later keeps its psi lowest draws.
+
+    One rule at every size: hashes of the key say in how many trees a row stands and in which, so a
+    row is copied for those trees alone. It enters each tree with the same chance, and all
+    trees when there are no more than 3 * psi rows. The trees of a row are a start and steps of
+    a length coprime to their number, hence distinct.
+    """
+    draw = lambda *salt: F.xxhash64(*KEYS, *(F.lit(x) if isinstance(x, int) else x for x in salt))
+    below = lambda k, *salt: F.pmod(draw(*salt), F.lit(k))
+    space = 2**52
+    mean = trees * min(1.0, 3.0 * psi / max(n, 1))
+    copies = F.floor(F.lit(mean) + below(space, seed, 1) / float(space)).cast("int")
+    strides = [k for k in range(1, max(2, trees)) if math.gcd(k, trees) == 1]
+    stride = F.element_at(F.array(*map(F.lit, strides)), (below(len(strides), seed, 3) + 1).cast("int"))
+    placed = rows.withColumns({"_copies": copies, "_first": below(trees, seed, 2), "_stride": stride}).filter("_copies > 0")
+    turn = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    placed = placed.withColumn("_turn", turn).withColumn("tree", F.pmod(F.col("_first") + F.col("_turn") * F.col("_stride"), F.lit(trees)).cast("int"))
+    return placed.withColumn("_draw", below(space, F.col("tree"), seed) / float(space)).drop("_copies", "_first", "_stride", "_turn")
 
 
 def isolation_ensemble(

@@ -905,7 +905,7 @@ def stream_dedup(spark, sf):
 @query
 def stream_kpis(spark, sf):
     stream = jobs.station_kpis(_replayed(spark, observations(spark, sf)))
-    return jobs.run_to_end(stream).withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
+    return jobs.run_latest(stream, ["station_id", "window"]).withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
 
 
 @query

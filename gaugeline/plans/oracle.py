@@ -607,7 +607,7 @@ rep AS (SELECT * FROM pc UNION ALL
         "(SELECT *, CASE WHEN is_error AND k % 10 = 0 THEN NULL ELSE value / 5e0 - 10e0 END AS temperature, k * 1.05e0 AS humidity, 940e0 + (event_id * 37) % 160 AS pressure FROM raw))"))
     add("stream_dedup", RAW, "(SELECT DISTINCT station_id, ts FROM raw)")
     add("stream_kpis", OBS, f"""(SELECT station_id, date_trunc('day', ts) AS window_start, count(*) AS n_rows, CAST(sum(qc_flag) AS BIGINT) AS n_flagged, avg(temperature) AS mean_temperature
-        FROM {qc} GROUP BY 1, 2) WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM obs)""")
+        FROM {qc} GROUP BY 1, 2)""")
     live = FEAT_OBS + """,
 live0 AS (
   SELECT *, temperature - row_mean AS dev, (temperature - row_mean) / nullif(row_std, 0) AS z FROM feat),

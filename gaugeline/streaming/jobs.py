@@ -104,3 +104,31 @@ def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | Non
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_latest(stream: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process all that is available in update mode: the newest row of each key, open windows included.
+
+    Each micro-batch writes its changed rows to a folder of its own number, which a retried batch
+    replaces. An empty input gives an empty table.
+    """
+    spark = stream.sparkSession
+    path = path or new_table_path(spark, "stream-updates")
+    checkpoint = checkpoint or new_table_path(spark, "stream-checkpoint")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    done = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = done.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_newest"))
+    return newest.select(*keys, *(F.col("_newest")[c].alias(c) for c in rest)).select(*stream.columns)

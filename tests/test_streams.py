@@ -91,6 +91,22 @@ def test_windows_and_sessions(spark, chunks):
     assert sessions.count() > 2
 
 
+def test_kpis_keep_open_windows(spark, chunks):
+    obs, path = chunks
+    got = jobs.run_latest(jobs.station_kpis(jobs.replay(spark, path, obs.schema, 1)), ["station_id", "window"])
+    got = got.select("station_id", F.col("window.start").cast("timestamp_ntz").alias("ts"), "n_rows")
+    want = obs.groupBy("station_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n_rows"))
+    cols = ["station_id", "ts", "n_rows"]
+    assert rows(got, *cols).equals(rows(want, *cols))
+
+
+def test_kpis_of_nothing(spark, series):
+    df = series({1: range(3)}).limit(0)
+    path = staging.new_table_path(spark, "nothing")
+    df.write.parquet(path)
+    assert jobs.run_latest(jobs.station_kpis(jobs.replay(spark, path, df.schema)), ["station_id", "window"]).count() == 0
+
+
 @pytest.fixture(scope="module")
 def models(spark, sf):
     obs = observations(spark, sf)
@@ -115,7 +131,7 @@ def test_live_scoring(spark, sf, models):
     last = obs.filter("station_id = 1").agg(F.max("ts")).first()[0]
     if got[1].diagnosed_fault != C.INSUFFICIENT:
         assert got[1].ts == last + timedelta(hours=1)
-    assert got[2].reason.startswith("temperature, pressure, and humidity")
+    assert got[2].reason.startswith("a reading needs temperature, humidity and pressure")
     assert got[99].diagnosed_fault == C.INSUFFICIENT and got[99].severity == "Unknown"
 
 

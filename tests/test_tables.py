@@ -245,8 +245,24 @@ def test_forest_survives_saving(cloud, spark):
     np.testing.assert_allclose(a.isolation_raw, b.isolation_raw)
 
 
-def test_forest_disjoint_samples(cloud, monkeypatch):
-    monkeypatch.setattr(iforest, "INDEPENDENT_ROWS", 0)
+@pytest.mark.parametrize("psi", [10, 128, 600, 1000])
+def test_forest_samples_follow_one_rule(cloud, psi):
+    """From few rows of many to all rows: distinct rows for each tree, enough of them, whatever the partitioning."""
+    n, trees = 2000, 12
+    key = F.col("station_id"), F.col("ts"), F.col("tree"), F.col("_draw")
+    got = iforest._hashed_samples(cloud, n, psi, trees, 42).select(*key).toPandas()
+    again = iforest._hashed_samples(cloud.repartition(7), n, psi, trees, 42).select(*key).toPandas()
+    by = ["tree", "station_id", "ts"]
+    pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True), again.sort_values(by, ignore_index=True))
+    assert not got.duplicated(by).any()
+    sizes = got.groupby("tree").size()
+    assert len(sizes) == trees and sizes.min() >= psi
+    expected = min(n, 3 * psi)
+    assert abs(sizes.mean() - expected) <= 0.1 * expected
+    assert psi * 3 < n or (sizes == n).all()
+
+
+def test_forest_with_sparse_samples(cloud):
     forest = iforest.fit_iforest(cloud, FEATURES, trees=8, sample_size=128)
     assert forest.nodes.tree.nunique() == 8
     out = forest.score(cloud).toPandas()
