@@ -888,7 +888,7 @@ def _event_stream(spark, sf):
 
 def _replayed(spark, df):
     path = new_table_path(spark, "history")
-    df.write.parquet(path)
+    jobs.write_in_time_order(df, path)
     return jobs.replay(spark, path, df.schema)
 
 

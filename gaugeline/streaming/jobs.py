@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,27 @@ def replay(
     return reader.format(fmt).load(folder)
 
 
+def write_in_time_order(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """Write a history so that `replay` reads it in time order, whatever the number of files.
+
+    Each file holds a time range of its own, sorted. A stream reads files by their modification
+    time, which follows the end of the writing tasks; so it is set by part number, a second apart.
+    """
+    df.repartitionByRange(F.col(ts)).sortWithinPartitions(ts).write.parquet(path)
+    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(jsc.hadoopConfiguration())
+    numbered = lambda f: tuple(map(int, re.match(r"part-(\d+)-.*?-c(\d+)", f.getPath().getName()).groups()))
+    listed = lambda: sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=numbered)
+    parts = listed()
+    newest = max((f.getModificationTime() for f in parts), default=0)
+    for back, part in enumerate(reversed(parts)):
+        fs.setTimes(part.getPath(), newest - 1000 * back, -1)
+    times = [f.getModificationTime() for f in listed()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"{path} keeps no modification times that are set, so a stream cannot read it in time order")
+
+
 def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str | None = None) -> DataFrame:
     """Add the event time used for watermarks; readings later than `lateness` may be dropped."""
     out = stream.withColumn("event_time", F.col(ts).cast("timestamp"))
