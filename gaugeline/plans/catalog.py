@@ -914,6 +914,17 @@ def stream_causal_votes(spark, sf):
     return jobs.run_to_end(stream, stateful=True).withColumn("ts", F.col("event_time").cast("timestamp_ntz"))
 
 
+@query
+def stream_late_votes(spark, sf):
+    """As stream_causal_votes, with readings that arrive up to an hour late, over several micro-batches."""
+    obs = observations(spark, sf)
+    arriving = obs.withColumn("arrived", F.expr("ts + make_dt_interval(0, pmod(xxhash64(station_id, ts), 2))"))
+    path = new_table_path(spark, "arriving")
+    files = jobs.write_in_time_order(arriving, path, "arrived", files=4)
+    stream = jobs.causal_votes(jobs.replay(spark, path, arriving.schema, -(-files // 4)))
+    return jobs.run_to_end(stream, stateful=True).withColumn("ts", F.col("event_time").cast("timestamp_ntz"))
+
+
 @query
 def stream_health(spark, sf):
     df = demo.faulty(spark, sf).withColumn("fault_type", F.when(F.col("is_anomaly") == 1, F.col("fault_type")))

@@ -619,5 +619,6 @@ live AS (
     CASE WHEN absolute_temperature_change > 6 OR (running_length >= 6 AND temperature_std_6h_live <= 1.0) OR abs(temperature_trend_6h) > 3 THEN 1 ELSE 0 END AS temporal_score
   FROM live0)"""
     add("stream_causal_votes", live, "live")
+    add("stream_late_votes", live, "live")
     add("stream_health", FAULTY + _ledger("faulty", _penalty("fault_type")), "led")
     return out

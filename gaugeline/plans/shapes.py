@@ -147,6 +147,7 @@ SHAPES: dict[str, str] = {
     "stream_dedup": KEYS,
     "stream_kpis": "station_id window_start n_rows n_flagged ~mean_temperature",
     "stream_causal_votes": f"{KEYS} ~temperature_zscore_24h running_length rule_score statistical_score temporal_score",
+    "stream_late_votes": f"{KEYS} ~temperature_zscore_24h running_length rule_score statistical_score temporal_score",
     "stream_health": f"{KEYS} health_score health_status",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gaugeline.config import DEFAULT, QCConfig
 from gaugeline.functions import columns as C
-from gaugeline.operators.staging import new_table_path
+from gaugeline.operators.staging import new_table_path, stage
 from gaugeline.streaming.state import CAUSAL_SCHEMA, LEDGER_SCHEMA, CausalVotes, HealthLedger
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,13 +35,14 @@ def replay(
     return reader.format(fmt).load(folder)
 
 
-def write_in_time_order(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Write a history so that `replay` reads it in time order, whatever the number of files.
+def write_in_time_order(df: DataFrame, path: str, ts: str = "ts", files: int | None = None) -> int:
+    """Write a history so that `replay` reads it in time order, whatever the number of files; returns that number.
 
     Each file holds a time range of its own, sorted. A stream reads files by their modification
     time, which follows the end of the writing tasks; so it is set by part number, a second apart.
     """
-    df.repartitionByRange(F.col(ts)).sortWithinPartitions(ts).write.parquet(path)
+    ranged = df.repartitionByRange(files, F.col(ts)) if files else df.repartitionByRange(F.col(ts))
+    ranged.sortWithinPartitions(ts).write.parquet(path)
     jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(jsc.hadoopConfiguration())
@@ -53,6 +55,7 @@ def write_in_time_order(df: DataFrame, path: str, ts: str = "ts") -> None:
     times = [f.getModificationTime() for f in listed()]
     if any(a >= b for a, b in zip(times, times[1:])):
         raise RuntimeError(f"{path} keeps no modification times that are set, so a stream cannot read it in time order")
+    return len(parts)
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", lateness: str | None = None) -> DataFrame:
@@ -91,10 +94,13 @@ def station_sessions(stream: DataFrame, gap: str = "3 hours", lateness: str = "6
 
 
 def causal_votes(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Past-only features and votes from up to 336 kept readings per station."""
+    """Past-only features and votes from up to 336 kept readings per station, in event-time order.
+
+    A reading is voted on once the watermark has passed it; one behind the watermark is dropped.
+    """
     timed = with_event_time(stream, lateness=lateness)
     return timed.groupBy("station_id").transformWithStateInPandas(
-        statefulProcessor=CausalVotes(), outputStructType=CAUSAL_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=CausalVotes(), outputStructType=CAUSAL_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -104,13 +110,55 @@ def health_stream(stream: DataFrame, fault: str = "fault_type", lateness: str =
     ledger = timed.select("station_id", "event_time", "penalty").groupBy("station_id").transformWithStateInPandas(
         statefulProcessor=HealthLedger(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="None"
     )
+    return _with_status(ledger)
+
+
+def _with_status(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("health_status", C.health_status(F.col("health_score")))
 
 
+def waiting_results(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """Results of the readings that causal_votes or health_stream holds back for the watermark.
+
+    The state stays as it is, so a restarted stream still writes them.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    known = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorProperties").distinct()
+    for operator, properties in known.collect():
+        names = [v["stateName"] for v in json.loads(properties or "{}").get("stateVariables", [])]
+        for kept, (processor, schema, finish) in IN_TIME_ORDER.items():
+            if "waiting" in names and kept in names:
+                return finish(_waiting(spark, checkpoint, operator, kept, processor, schema))
+    return None
+
+
+def _waiting(spark: SparkSession, checkpoint: str, operator: int, kept: str, processor: type, schema: str) -> DataFrame:
+    source = lambda name: (
+        spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(checkpoint)
+    )
+    days = source("waiting").select("key.station_id", "user_map_key.day", "user_map_value.*")
+    before = source(kept).select("key.station_id", "value.*").join(days.select("station_id").distinct(), "station_id", "left_semi")
+
+    def finish(key, days, before):
+        held = [tuple(r)[2:] for r in days.sort_values("day").itertuples(index=False)]
+        return processor.finish(int(key[0]), held, tuple(before.iloc[0])[1:] if len(before) else None)
+
+    return days.groupBy("station_id").cogroup(before.groupBy("station_id")).applyInPandas(finish, schema)
+
+
+#: By the name of what a processor keeps: the processor, its rows, and the columns added to them.
+IN_TIME_ORDER = {
+    "history": (CausalVotes, CAUSAL_SCHEMA, lambda rows: rows),
+}
+
+
 def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | None = None, stateful: bool = False) -> DataFrame:
     """Process all that is available into Parquet, then read the result as a table.
 
-    The file sink and the checkpoint make a restart exactly-once.
+    The file sink and the checkpoint make a restart exactly-once. Readings that still wait for the
+    watermark at the end are in the table but not in the files.
     """
     spark = stream.sparkSession
     path = path or new_table_path(spark, "stream-out")
@@ -126,7 +174,13 @@ def run_to_end(stream: DataFrame, path: str | None = None, checkpoint: str | Non
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    done = spark.read.schema(stream.schema).parquet(path)
+    waiting = waiting_results(spark, checkpoint) if stateful else None
+    if waiting is None:
+        return done
+    if waiting.columns != stream.columns:
+        raise ValueError("run_to_end takes causal_votes and health_stream as they are; change the table that it returns")
+    return done.unionByName(stage(waiting, "waiting"))
 
 
 def run_latest(stream: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:

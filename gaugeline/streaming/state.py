@@ -12,6 +12,9 @@ from gaugeline.config import DEFAULT, QCConfig
 
 # Fixed value: readings of context kept per station (fourteen days of hours).
 KEPT_ROWS = 336
+# Fixed value: readings worked on at a time.
+CHUNK_ROWS = 4096
+DAY = 86_400_000_000
 EPOCH = pd.Timestamp(0)
 READINGS = ("temperature", "humidity", "pressure")
 
@@ -82,51 +85,130 @@ def causal_frame(df: pd.DataFrame, open_run: int, fresh_from: int, cfg: QCConfig
     )
 
 
-class CausalVotes(StatefulProcessor):
-    """Keeps the last readings of a station and votes on each new one.
+class InTimeOrder(StatefulProcessor):
+    """Hands a station's readings on in event-time order, once the watermark has passed them.
 
-    The state is bounded by KEPT_ROWS. Rows at or before the newest kept time are
-    dropped, whatever the watermark allows: of readings out of order, those that a later
-    micro-batch brings are lost. Feed it in time order; backfills belong to the batch operators.
+    Readings newer than the watermark wait in state by day, whichever micro-batch brought them;
+    those behind it are dropped by Spark. A reading without a time has no place and is left out.
+    At most CHUNK_ROWS readings and one day more are in memory at a time.
     """
 
+    fields: tuple[str, ...]
+    field_type: str
+    once = False
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getValueState("history", HISTORY_SCHEMA)
+        self.handle = handle
+        held = ", ".join(f"{v} array<{self.field_type}>" for v in self.fields)
+        self.waiting = handle.getMapState("waiting", "day bigint", f"times array<bigint>, {held}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows).sort_values("event_time", kind="stable").drop_duplicates("event_time")
-        new = new[["event_time", *READINGS]]
-        open_run, kept = 0, new.iloc[:0]
-        if self.history.exists():
-            times, temperature, humidity, pressure, open_run = self.history.get()
-            kept = pd.DataFrame(
-                {
-                    "event_time": pd.to_datetime(list(times), unit="us"),
-                    "temperature": np.array(temperature, dtype=float),
-                    "humidity": np.array(humidity, dtype=float),
-                    "pressure": np.array(pressure, dtype=float),
-                }
-            )
-            new = new[new["event_time"] > kept["event_time"].iloc[-1]]
-        if new.empty:
-            return
-        both = pd.concat([kept, new], ignore_index=True) if len(kept) else new.reset_index(drop=True)
-        out = causal_frame(both, open_run, len(kept))
-        tail = both.tail(KEPT_ROWS)
-        none_for_nan = lambda s: [None if pd.isna(v) else float(v) for v in s]
-        self.history.update(
-            (
-                [int(m) for m in (tail["event_time"] - EPOCH) // pd.Timedelta(microseconds=1)],
-                *[none_for_nan(tail[v]) for v in READINGS],
-                int(out["running_length"].iloc[-1]),
-            )
-        )
-        out.insert(0, "station_id", int(key[0]))
-        yield out
+        first = None
+        for frame in rows:
+            new = frame[["event_time", *self.fields]].dropna(subset=["event_time"])
+            for day, part in new.groupby(_micros(new["event_time"]) // DAY):
+                if self.waiting.containsKey((int(day),)):
+                    part = pd.concat([self.unpack(self.waiting.getValue((int(day),))), part])
+                part = self.ordered(part)
+                self.waiting.updateValue((int(day),), self.pack(part))
+                start = int(_micros(part["event_time"]).iloc[0])
+                first = start if first is None else min(first, start)
+        if first is not None:
+            self._wake_at(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = EPOCH + pd.Timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
+        carried, chunk, changed = self.load(), [], False
+        for day in sorted(k[0] for k in self.waiting.keys()):
+            held = self.unpack(self.waiting.getValue((day,)))
+            ready, rest = held[held["event_time"] <= passed], held[held["event_time"] > passed]
+            if len(ready):
+                chunk.append(ready)
+                if len(rest):
+                    self.waiting.updateValue((day,), self.pack(rest))
+                else:
+                    self.waiting.removeKey((day,))
+            if chunk and (len(rest) or sum(map(len, chunk)) >= CHUNK_ROWS):
+                out, carried = self.advance(int(key[0]), pd.concat(chunk, ignore_index=True), carried)
+                chunk, changed = [], True
+                yield out
+            if len(rest):
+                self._wake_at(int(_micros(rest["event_time"]).iloc[0]))
+                break
+        if chunk:
+            out, carried = self.advance(int(key[0]), pd.concat(chunk, ignore_index=True), carried)
+            changed = True
+            yield out
+        if changed:
+            self.save(carried)
 
     def close(self) -> None:
         pass
 
+    def _wake_at(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    @classmethod
+    def ordered(cls, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("event_time", kind="stable")
+        return df.drop_duplicates("event_time") if cls.once else df
+
+    @classmethod
+    def pack(cls, df: pd.DataFrame) -> tuple:
+        number = int if cls.field_type == "int" else float
+        values = ([None if pd.isna(v) else number(v) for v in df[c]] for c in cls.fields)
+        return ([int(m) for m in _micros(df["event_time"])], *values)
+
+    @classmethod
+    def unpack(cls, held) -> pd.DataFrame:
+        times, *values = held
+        columns = {c: np.array(v, dtype=float) for c, v in zip(cls.fields, values)}
+        return pd.DataFrame({"event_time": pd.to_datetime(list(times), unit="us"), **columns})
+
+    @classmethod
+    def finish(cls, station: int, days: list, kept) -> pd.DataFrame:
+        """The results of readings that still wait, from the state's values."""
+        held = pd.concat([cls.unpack(d) for d in days], ignore_index=True)
+        return cls.advance(station, cls.ordered(held).reset_index(drop=True), cls.restored(kept))[0]
+
+
+def _micros(times: pd.Series) -> pd.Series:
+    return (times - EPOCH) // pd.Timedelta(microseconds=1)
+
+
+class CausalVotes(InTimeOrder):
+    """Keeps the last KEPT_ROWS readings of a station and votes on each new one.
+
+    Of several readings at one time the first counts.
+    """
+
+    fields, field_type, once = READINGS, "double", True
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.history = handle.getValueState("history", HISTORY_SCHEMA)
+
+    @classmethod
+    def restored(cls, kept):
+        return (cls.unpack(kept[:-1]), int(kept[-1])) if kept is not None else (None, 0)
+
+    def load(self):
+        return self.restored(self.history.get() if self.history.exists() else None)
+
+    def save(self, carried) -> None:
+        tail, run = carried
+        self.history.update((*self.pack(tail), run))
+
+    @classmethod
+    def advance(cls, station: int, new: pd.DataFrame, carried):
+        kept, open_run = carried
+        both = new if kept is None else pd.concat([kept, new], ignore_index=True)
+        out = causal_frame(both, open_run, len(both) - len(new))
+        run = int(out["running_length"].iloc[-1])
+        out.insert(0, "station_id", station)
+        return out, (both.tail(KEPT_ROWS), run)
+
 
 LEDGER_SCHEMA = "station_id bigint, event_time timestamp, penalty int, health_score bigint"
 

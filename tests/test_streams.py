@@ -66,6 +66,48 @@ def test_causal_votes_over_batches(spark, chunks):
     pd.testing.assert_frame_equal(rows(got, *cols), rows(want, *cols), check_dtype=False, atol=1e-5)
 
 
+@pytest.fixture(scope="module")
+def late(spark, series):
+    """A file with hours 0 to 9 but 8, one with 8, 10 and 11 (hour 8 is late, within 2 hours), one with 1 (too late) and 30."""
+    df = staging.stage(series({1: [10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, *[None] * 18, 22]}), "late")
+    path = staging.new_table_path(spark, "late")
+    hour = F.hour("ts") + 24 * (F.dayofmonth("ts") - 1)
+    again = df.filter(hour == 1).withColumn("temperature", F.lit(-40.0))
+    files = [df.filter((hour < 10) & (hour != 8)), df.filter(hour.isin(8, 10, 11)), again.unionByName(df.filter(hour == 30))]
+    whole = staging.new_table_path(spark, "late-parts")
+    for k, part in enumerate(files):
+        part.coalesce(1).write.mode("append").parquet(f"{whole}/{k}")
+        spark.read.schema(df.schema).parquet(f"{whole}/{k}").coalesce(1).write.mode("append").parquet(path)
+    return df.filter((hour < 12) | (hour == 30)), path
+
+
+def test_causal_votes_take_late_readings_in_order(spark, late):
+    df, path = late
+    got = jobs.run_to_end(jobs.causal_votes(jobs.replay(spark, path, df.schema, 1)), stateful=True)
+    got = got.orderBy("event_time").collect()
+    assert [r.temperature for r in got] == [*range(10, 22), 22]
+    assert [r.temperature_change for r in got[1:]] == [1.0] * 12
+
+
+def test_late_votes_equal_votes_in_order(spark, sf):
+    from gaugeline.plans import catalog
+
+    cols = ["station_id", "ts", "running_length", "statistical_score", "temporal_score"]
+    got, want = (rows(catalog.QUERIES[q](spark, sf), *cols) for q in ("stream_late_votes", "stream_causal_votes"))
+    assert len(got) == observations(spark, sf).count() and got.equals(want)
+
+
+def test_causal_votes_of_nothing_and_restart(spark, late):
+    df, path = late
+    empty = staging.new_table_path(spark, "nothing")
+    df.limit(0).write.parquet(empty)
+    assert jobs.run_to_end(jobs.causal_votes(jobs.replay(spark, empty, df.schema)), stateful=True).count() == 0
+    out, checkpoint = (staging.new_table_path(spark, x) for x in ("out", "checkpoint"))
+    for _ in range(2):
+        stream = jobs.causal_votes(jobs.replay(spark, path, df.schema, 1))
+        assert jobs.run_to_end(stream, out, checkpoint, stateful=True).count() == 13
+
+
 def test_health_stream(spark, chunks):
     obs, path = chunks
     fault = F.when(F.col("humidity") > 95, "humidity_spike")
