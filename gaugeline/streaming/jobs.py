@@ -105,10 +105,10 @@ def causal_votes(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 
 def health_stream(stream: DataFrame, fault: str = "fault_type", lateness: str = "2 hours") -> DataFrame:
-    """Health after each reading, kept across micro-batches."""
+    """Health after each reading in event-time order, kept across micro-batches."""
     timed = with_event_time(stream.withColumn("penalty", C.penalty(F.col(fault))), lateness=lateness)
     ledger = timed.select("station_id", "event_time", "penalty").groupBy("station_id").transformWithStateInPandas(
-        statefulProcessor=HealthLedger(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=HealthLedger(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
     return _with_status(ledger)
 
@@ -151,6 +151,7 @@ def _waiting(spark: SparkSession, checkpoint: str, operator: int, kept: str, pro
 #: By the name of what a processor keeps: the processor, its rows, and the columns added to them.
 IN_TIME_ORDER = {
     "history": (CausalVotes, CAUSAL_SCHEMA, lambda rows: rows),
+    "score": (HealthLedger, LEDGER_SCHEMA, _with_status),
 }
 
 

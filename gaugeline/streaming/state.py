@@ -211,28 +211,38 @@ class CausalVotes(InTimeOrder):
 
 
 LEDGER_SCHEMA = "station_id bigint, event_time timestamp, penalty int, health_score bigint"
+SCORE_SCHEMA = "score bigint"
 
 
-class HealthLedger(StatefulProcessor):
+class HealthLedger(InTimeOrder):
     """Running health of a station: points fall by each penalty and stop at zero."""
 
+    fields, field_type = ("penalty",), "int"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.score = handle.getValueState("score", "score bigint")
+        super().init(handle)
+        self.score = handle.getValueState("score", SCORE_SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows).sort_values("event_time", kind="stable")
-        score = int(self.score.get()[0]) if self.score.exists() else 100
+    @classmethod
+    def restored(cls, kept):
+        return int(kept[0]) if kept is not None else 100
+
+    def load(self):
+        return self.restored(self.score.get() if self.score.exists() else None)
+
+    def save(self, carried) -> None:
+        self.score.update((carried,))
+
+    @classmethod
+    def advance(cls, station: int, new: pd.DataFrame, carried):
         # penalties are never negative, so one running sum and one stop at zero suffice
-        after = np.maximum(0, score - new["penalty"].cumsum())
-        self.score.update((int(after.iloc[-1]),))
-        yield pd.DataFrame(
+        after = np.maximum(0, carried - new["penalty"].astype("int64").cumsum())
+        out = pd.DataFrame(
             {
-                "station_id": int(key[0]),
+                "station_id": station,
                 "event_time": new["event_time"],
                 "penalty": new["penalty"].astype("int32"),
                 "health_score": after.astype("int64"),
             }
         )
-
-    def close(self) -> None:
-        pass
+        return out, int(after.iloc[-1])

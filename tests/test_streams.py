@@ -119,6 +119,64 @@ def test_health_stream(spark, chunks):
     assert rows(got, *cols).equals(rows(want, *cols))
 
 
+def test_health_takes_late_readings_in_order(spark, late):
+    df, path = late
+    fault = F.when(F.col("temperature").isin(13, 18), "humidity_spike")
+    stream = jobs.replay(spark, path, df.schema, 1).withColumn("fault_type", fault)
+    got = jobs.run_to_end(jobs.health_stream(stream), stateful=True).withColumn("ts", F.col("event_time").cast("timestamp_ntz"))
+    cols = ["station_id", "ts", "health_score", "health_status"]
+    assert rows(got, *cols).equals(rows(health.health_ledger(df, fault), *cols))
+
+
+class Kept(dict):
+    """State in memory."""
+
+    exists = lambda self: "value" in self
+    get = lambda self: self["value"]
+    containsKey = dict.__contains__
+    getValue = dict.__getitem__
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+    def update(self, value):
+        self["value"] = value
+
+    def getMapState(self, *_):
+        return Kept()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self["timer"] = at
+
+
+@pytest.mark.parametrize("name", ["CausalVotes", "HealthLedger"])
+def test_long_histories_are_worked_on_in_parts(name, monkeypatch):
+    import pandas as pd
+
+    from gaugeline.streaming import state
+
+    monkeypatch.setattr(state, "CHUNK_ROWS", 48, raising=False)
+    n = 24 * 10
+    df = pd.DataFrame({"event_time": pd.date_range("2024-01-01", periods=n, freq="h"), "penalty": [1, 0] * (n // 2)})
+    df = df.assign(temperature=range(n), humidity=50.0, pressure=1000.0)
+
+    class Time:
+        getCurrentWatermarkInMs = staticmethod(lambda: int(df.event_time[n - 5].timestamp() * 1000))
+
+    made = getattr(state, name)()
+    made.init(handle := Kept())
+    parts = list(made.handleInputRows((1,), (df.iloc[i::7] for i in range(7)), Time))
+    parts += made.handleExpiredTimer((1,), Time, None)
+    assert max(map(len, parts)) <= 48
+    out = pd.concat(parts, ignore_index=True)
+    assert list(out.event_time) == list(df.event_time[: n - 4]) and handle["timer"] == df.event_time[n - 4].timestamp() * 1000
+    if name == "HealthLedger":
+        assert list(out.health_score) == list((100 - df.penalty.cumsum()).clip(lower=0)[: n - 4])
+    else:
+        assert list(out.temperature_change[1:]) == [1.0] * (n - 5)
+
+
 def test_windows_and_sessions(spark, chunks):
     obs, path = chunks
     got = jobs.run_to_end(jobs.station_kpis(jobs.replay(spark, path, obs.schema, 1), "1 day", "12 hours"))
