@@ -6,6 +6,7 @@ order, and paragraphs are inserted or deleted by adding or subtracting their vec
 costs only the paragraphs it touches. Equal multisets have equal fingerprints. Since the lanes are
 signs, inner products of two fingerprints estimate how many paragraphs they share: the likeness
 2ab / (aa + bb) is 1 for equal fingerprints and about 0 (within some 1/sqrt(LANES)) for unrelated.
+It is taken from the sums before they are reduced, as a text that repeats a paragraph often wraps its lanes.
 
 Defined results: a null or blank text is the empty multiset, the zero vector; two empty ones have
 likeness 1. Documents follow one another by id (null first), rows of equal id by text, repeated rows
@@ -48,28 +49,29 @@ def pieces(text: str) -> list[int]:
 
 
 def sums(groups: list[list[int]]) -> np.ndarray:
-    """One row of LANES 16-bit lanes for each group of paragraph hashes."""
+    """One row of LANES lanes, not yet reduced modulo 2**16, for each group of paragraph hashes."""
     out = np.zeros((len(groups), LANES), np.int32)
     size = np.array([len(g) for g in groups], np.int64)
     if not size.sum():
-        return out.astype(np.uint16)
+        return out
     flat = np.fromiter((h for g in groups for h in g), dtype=np.uint64, count=int(size.sum()))
     wide = tx.mix(flat[:, None] + _SEEDS[None, :]).view(np.uint8)
     full = np.flatnonzero(size)
     starts = (np.cumsum(size) - size)[full]
     out[full] = 2 * np.add.reduceat(np.unpackbits(wide, axis=1), starts, axis=0, dtype=np.int32) - size[full, None]
-    return out.astype(np.uint16)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """0 to 1 for each pair of rows."""
-    x, y = a.view(np.int16).astype(np.float64), b.view(np.int16).astype(np.float64)
+    """0 to 1 for each pair of rows of `sums`, whose lanes have not wrapped."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
     both = (x * x).sum(1) + (y * y).sum(1)
     got = np.where(both > 0, 2 * (x * y).sum(1) / np.where(both > 0, both, 1), 1.0)
     return np.clip(got, 0.0, 1.0)
 
 
 def hexed(rows: np.ndarray) -> list[str]:
+    """The fingerprints: each lane modulo 2**16."""
     return [r.astype(">u2").tobytes().hex() for r in rows]
 
 

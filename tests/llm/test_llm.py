@@ -197,6 +197,15 @@ def test_fingerprints(spark, docs):
         assert r.near_edited == pytest.approx(fingerprint.likeness(a[None], b[None])[0]) and r.near_next == pytest.approx(fingerprint.likeness(a[None], c[None])[0])
 
 
+def test_likeness_of_often_repeated_paragraphs(spark):
+    line = "one paragraph of some words\n"
+    a, b = fingerprint.sums([fingerprint.pieces(line * n) for n in (40_000, 30_000)])
+    assert fingerprint.likeness(a[None], b[None])[0] == pytest.approx(0.96)
+    df = spark.createDataFrame([(1, line * 40_000), (2, line * 30_000)], DOCS)
+    got = {r.doc_id: r for r in fingerprint.follow(df).collect()}
+    assert got[1].near_next == pytest.approx(0.96) and got[1].near_edited > 0.9
+
+
 def test_mixing_reaches_the_targets(spark):
     df = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 10 < 7, 'a', IF(id % 10 < 9, 'b', NULL)) AS source", "id AS copy_no")
     out = mixing.mix(df, weights={"a": 1.0, "b": 1.0}).cache()
