@@ -6,8 +6,8 @@ attention network, learned from document labels only, weighs the passages, and t
 passage representation gives the score. Language, source and id are never inputs.
 
 The model is fitted on a bounded sample: the `max_fit_docs` labelled rows with the smallest hashed
-ids outside the held-out fold, with at most FIT_PASSAGES evenly spaced passages each. Only their
-features reach the driver. Scoring reads every passage of every document.
+ids outside the held-out fold, with all their passages. Only their features reach the driver; where
+texts are very long, fewer rows (`max_fit_docs`) bound its memory. Scoring reads every passage of every document.
 
 Defined results: a null or blank text is one empty passage and has a score; labels that are null or not
 0/1 are ignored, repeated labels of an id are averaged and cut at one half; without labels, or with
@@ -30,7 +30,6 @@ from gaugeline.llm import text as tx
 from gaugeline.llm.common import ship
 
 PASSAGE_WORDS = 48
-FIT_PASSAGES = 512
 PAIRS = 64
 _CLASSES = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "bang": b"!?", "bar": b"|", "mark": b"#%&*$@^~=+<>\\/_{}[]", "stop": b".,;:", "quote": b"'\"()-", "wide": range(128, 256)}
 
@@ -163,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         for batch in batches:
             for part in tx.slices(batch, "t"):
                 x, bounds = passages(*tx.utf8(part.column("t")))
-                bags = [x[a:b] if b - a <= FIT_PASSAGES else x[np.linspace(a, b - 1, FIT_PASSAGES).astype(int)] for a, b in zip(bounds, bounds[1:])]
+                bags = [x[a:b] for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), pa.array([b.astype(np.float32).tobytes() for b in bags], pa.binary())], names=["k", "y", "x"])
 
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])

@@ -239,6 +239,15 @@ def test_quality_gradient_and_accuracy(spark, sf):
     assert (held.predicted == held.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_quality_fits_on_all_passages(spark, monkeypatch):
+    words = quality_mil.PASSAGE_WORDS * 600
+    df = spark.createDataFrame([(i, "word " * words) for i in range(12)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality_mil.Attention, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
+    quality_mil.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"))
+    assert seen and set(seen) == {600}
+
+
 def test_quality_without_labels(spark):
     df = spark.createDataFrame(ODD, DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int")
