@@ -1,8 +1,9 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by window hashes under minimiser prefixes, in place of suffix trees.
 
 Removes each word that lies in a window of `window` words whose word sequence also starts anywhere
-else, in this document or another. The trees are sparse: suffixes are taken at anchors only, the
-smallest `PREFIX`-word gram of some window, so every window has an anchor inside it and equal
+else, in this document or another. Suffixes are taken at anchors only, the
+smallest `PREFIX`-word gram of some window, and no suffixes are ordered: hashes of windows stand
+for the nodes at that depth. So every window has an anchor inside it and equal
 windows have equal anchors at equal places.
 
 1. Anchors: all texts give their anchors' grams; those that occur twice or more are the prefixes
