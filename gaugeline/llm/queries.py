@@ -37,15 +37,16 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the source stands for the owner, its texts in one language for a repository
-    found = secret_scan.scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
-    count = lambda c, k: F.size(F.filter(c, k)).cast("long")
+    found = secret_scan.scan(docs, repo=F.to_json(F.struct("source", "lang")), owner=F.col("source"))
+    count = lambda field, value: F.size(F.filter("spans", secret_scan.having(field, value))).cast("long")
     return found.select(
         "doc_id",
-        *(count("base", lambda s, i=i: s["kind"] == i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])),
-        F.sha2(secret_scan.text_of(F.col("base")), 256).alias("base_sha256"),
+        *(count("kind", i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])),
+        F.sha2(secret_scan.text_of(secret_scan.base_of(F.col("spans"))), 256).alias("base_sha256"),
         secret_scan.text_of(F.col("spans")).alias("spans"),
-        count("spans", lambda s: s["status"] == "live").alias("n_live"),
-        count("spans", lambda s: s["status"] == "copied").alias("n_copied"),
+        count("status", "live").alias("n_live"),
+        count("status", "copied").alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repos"])), F.lit(0).cast("long")).alias("most_repos"),
     )
 
 
@@ -119,6 +120,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_secret_scan": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source AS owner, source IS NULL AS no_owner, lang FROM documents),
+             m AS (SELECT r, 0 AS kind, unnest(range(0, len(regexp_extract_all(t, '{assign}')))) AS i, unnest(regexp_extract_all(t, '{assign}')) AS m,
+                          unnest(regexp_extract_all(t, '{assign}', 2)) AS v, unnest(string_split_regex(t, '{assign}')[:-2]) AS p FROM d WHERE regexp_matches(t, '{assign}')
+                   {others}),
+             s AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY r, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+                          regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10 AS random FROM m),
+             c AS (SELECT r, kind, stop - length(m) AS start, stop, sha256(v) AS v, random FROM s WHERE kind <> 0 OR length(v) >= 6),
+             e AS (SELECT * FROM c WHERE kind < 3
+                   UNION ALL SELECT * FROM c AS x WHERE kind = 3 AND random
+                     AND NOT EXISTS (SELECT 1 FROM c AS b WHERE b.r = x.r AND b.kind < 3 AND b.start < x.stop AND x.start < b.stop)),
+             o AS (SELECT v, count(DISTINCT coalesce(d.owner, chr(1))) AS n_owners, count(DISTINCT coalesce(d.owner, chr(1)) || chr(2) || coalesce(d.lang, chr(1))) AS n_repos
+                   FROM e JOIN d USING (r) GROUP BY v),
+             j AS (SELECT e.*, n_repos, CASE WHEN n_owners >= 3 OR (n_owners > 1 AND n_repos >= 6) THEN 'copied' WHEN n_owners = 1 AND random THEN 'live' ELSE 'shared' END AS status,
+                          CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || start || ':' || stop AS line
+                   FROM e JOIN o USING (v)),
+             g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                          string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(line, ',' ORDER BY start, kind) AS spans,
+                          count(*) FILTER (status = 'live') AS n_live, count(*) FILTER (status = 'copied') AS n_copied, max(n_repos) AS most_repos
+                   FROM j WHERE kind < 3 OR status = 'live' GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_repos, 0) AS most_repos
+        FROM d LEFT JOIN g USING (r)""".replace(
+        "{others}",
+        " ".join(
+            f"UNION ALL SELECT r, {k}, unnest(range(0, len(regexp_extract_all(t, '{p}')))), unnest(regexp_extract_all(t, '{p}')), unnest(regexp_extract_all(t, '{p}')), "
+            f"unnest(string_split_regex(t, '{p}')[:-2]) FROM d WHERE regexp_matches(t, '{p}')"
+            for k, p in ((1, secret_scan.ACCESS), (2, secret_scan.HEX), (3, secret_scan.BARE))
+        ),
+    ).replace("{assign}", secret_scan.ASSIGN.replace("'", "''")),
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -156,8 +156,7 @@ def test_secret_base_spans_and_ownership(spark, docs):
     got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
-        assert [(s.start, s.kind, s.stop) for s in got[i].base] == secrets_brute(t)
-        assert {(s.start, s.kind, s.stop) for s in got[i].base} <= {(s.start, s.kind, s.stop) for s in got[i].spans}
+        assert [(s.start, s.kind, s.stop) for s in got[i].spans if s.kind < secret_scan.OWNED] == secrets_brute(t)
     assert [(s.start, s.kind, s.status) for s in got[901].spans] == [(4, 3, "live")]
     assert {s.status for s in got[911].spans} == {"copied"}
 
