@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat_format, exact_dedup, fingerprint, jaccard_join, mixing, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
+from gaugeline.llm import chat_format, exact_dedup, fingerprint, jaccard_join, mixing, periodic_runs, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
 from gaugeline.llm.common import table
 from gaugeline.operators.staging import stage
 
@@ -106,6 +106,36 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as op11 is asked to read them: the tail of every tenth text, by hash, repeats its first p words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"), F.floor(h / 10).alias("g"))
+    sized = split.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cycle = sized.withColumn("left", F.col("n") - F.col("a")).withColumn("p", 1 + F.floor(F.col("left") / (3 + F.col("g") % 8)))
+    whole = lambda c: F.col(c).cast("int")
+    block = F.slice("words", whole("a") + 1, whole("p"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(F.col("left") / F.col("p")).cast("int"))), F.lit(1), whole("left"))
+    looped = F.array_join(F.concat(F.slice("words", F.lit(1), whole("a")), tail), " ")
+    return cycle.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(with_loops(table(spark, sf_dir, "documents")))
+    # lengths times periods stay far under 2**52, so different ratios are different doubles
+    ratio = lambda r: F.struct((-r["length"] / r["period"]).alias("ratio"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    best = F.array_min(F.transform("runs", ratio))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_jaccard_join": op2_jaccard_join,
@@ -117,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {

@@ -125,5 +125,24 @@ def inside(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1][doc] + offset, doc
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """For each document, its words under the mask `keep`, joined by one space."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[keep]
+    begin, size = starts[keep], (ends - starts)[keep] + 1
+    out = np.full(int(size.sum()), 0x20, np.uint8)
+    head = np.cumsum(size) - size
+    move = np.repeat(begin - head, size - 1)
+    place = np.flatnonzero(np.bincount(head + size - 1, minlength=len(out)) == 0) if len(out) else head
+    out[place] = data[place + move]
+    # the space after a document's last word is not its own
+    stop = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=len(first) - 1).astype(np.int64))])
+    own = np.ones(len(out), bool)
+    own[stop[1:][np.diff(stop) > 0] - 1] = False
+    lengths = np.diff(stop) - (np.diff(stop) > 0)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out[own].tobytes())]
+    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, buffers).cast(pa.string())
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

@@ -4,16 +4,19 @@ import hashlib
 import random
 import sys
 import time
+import zlib
+from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from gaugeline.llm import queries, secret_scan
-from test_llm import secrets_brute
+from gaugeline.llm import periodic_runs, queries, secret_scan
+from test_llm import secrets_brute, words
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 SCHEMAS = {
@@ -30,7 +33,7 @@ def folder(spark, tmp_path):
     def build(extra="", **tables):
         for name, rows in tables.items():
             df = spark.createDataFrame(rows, SCHEMAS[name])
-            df = df.selectExpr("*", *([extra] if extra else []))
+            df = df.selectExpr("*", *filter(None, extra.split("; ")))
             df.coalesce(2).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
         return str(tmp_path)
 
@@ -86,3 +89,75 @@ def test_secret_scan_of_a_long_log(spark, folder):
     start = time.time()
     r = run(spark, "op3_secret_scan", folder(documents=[doc(1, log), doc(2, "token: abcdef")])).orderBy("doc_id").first()
     assert r.n_hex == 200_000 and time.time() - start < 60
+
+
+def looped(i, w):
+    h = zlib.crc32(str(i).encode()) if i is not None else 1
+    n, g = len(w), h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+
+
+def runs_brute(w, least=6, times=4):
+    """Every maximal stretch of each period; of equal stretches the smallest period."""
+    n, best = len(w), {}
+    for p in range(1, n // times + 1):
+        i = p
+        while i < n:
+            if w[i] != w[i - p]:
+                i += 1
+                continue
+            j = i
+            while j < n and w[j] == w[j - p]:
+                j += 1
+            if j - i + p >= max(least, times * p):
+                best.setdefault((i - p, j - i + p), p)
+            i = j
+    return sorted((s, m, p) for (s, m), p in best.items())
+
+
+def periodic_row(i, t):
+    w = looped(i, words(t))
+    runs = runs_brute(w)
+    gone = {k for s, m, p in runs for k in range(s + p, s + m)}
+    top = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    best = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    return (i, len(runs), *best, sha("".join(f"{s},{m},{p}\n" for s, m, p in runs)), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
+
+
+def test_periodic_runs(spark, folder, sf):
+    random.seed(8)
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    made = []
+    for k in range(400):
+        parts = []
+        for _ in range(random.randint(1, 5)):
+            block = random.choices("ab" if k % 2 else "abcdefgh", k=random.randint(1, 12))
+            parts += block * random.randint(1, 9) + random.choices("abc", k=random.randint(0, 6))
+        made.append((20_000 + k, "\n ".join(parts)))
+    fib = ["a", "ab"]
+    while len(fib[-1]) < 900:
+        fib.append(fib[-1] + fib[-2])
+    nested = (["x"] * 7 + ["y"]) * 9
+    fixed = [(30_000, " ".join(fib[-1])), (30_001, "w " * 5), (30_002, "w " * 6), (30_003, " ".join((nested + ["z"]) * 5)), (30_004, "é 日 " * 4), (30_005, "long-" * 40 + " ")]
+    rows = [*(doc(i, t) for i, t in [(i, t) for i, t in texts if len(t or "") < 9000] + made + fixed), *ODD_DOCS]
+    got = run(spark, "op11_periodic_runs", folder("1 AS runs; 'x' AS words; 2 AS n_words", documents=rows)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = [(r.doc_id, r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) for r in got]
+    assert sorted(got, key=key) == sorted((periodic_row(r[0], r[1]) for r in rows), key=key)
+    assert sum(r[1] > 0 for r in got) > 300
+    assert run(spark, "op11_periodic_runs", folder(documents=[])).count() == 0
+
+
+@pytest.mark.parametrize(("least", "times"), [(6, 4), (1, 4), (20, 5), (9, 8)])
+def test_periodic_runs_at_other_limits(least, times):
+    random.seed(9)
+    texts = [random.choices("ab", k=random.randint(0, 60)) + random.choices("abc", k=3) * random.randint(0, 20) for _ in range(300)]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in texts])])
+    h = np.array([ord(c) for w in texts for c in w], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    runs, owner = periodic_runs.find(h, first, least, times)
+    for k, w in enumerate(texts):
+        assert [(int(s - first[k]), int(m), int(p)) for s, m, p in runs[owner == k]] == runs_brute(w, least, times)
