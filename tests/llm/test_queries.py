@@ -9,13 +9,15 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from gaugeline.llm import periodic_runs, queries, secret_scan
+from gaugeline.llm import hard_negatives, periodic_runs, queries, secret_scan
 from test_llm import secrets_brute, words
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -161,3 +163,76 @@ def test_periodic_runs_at_other_limits(least, times):
     runs, owner = periodic_runs.find(h, first, least, times)
     for k, w in enumerate(texts):
         assert [(int(s - first[k]), int(m), int(p)) for s, m, p in runs[owner == k]] == runs_brute(w, least, times)
+
+
+def mined_brute(rows):
+    """Over rows (id, vector, label) as the query reads them."""
+    v = []
+    for i, x, y in rows:
+        if i is None or y is None or x is None or any(c is None or not np.isfinite(c) for c in x):
+            continue
+        v.append((i, [int(np.floor(256 * float(np.float32(c)))) for c in x], (y + 1) % 10 if i % 7 == 0 else y))
+    out = []
+    for a, (i, x, y) in enumerate(v):
+        if i % 100:
+            continue
+        others = sorted((-sum(p * q for p, q in zip(x, z)), j, w == y) for b, (j, z, w) in enumerate(v) if b != a and len(z) == len(x))
+        for ps, j, _ in [o for o in others if o[2]][:5]:
+            fit = [(s, k) for s, k, same in others if not same and 80 * -ps <= 100 * -s <= 100 * -ps][:5]
+            out += [(i, j, r + 1, k, -ps, -s) for r, (s, k) in enumerate(fit)]
+    return sorted(out)
+
+
+def vectors(n, seed, dim=6, spread=1.0):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(10, dim))
+    y = rng.integers(0, 10, n)
+    x = (centres[y] + rng.normal(size=(n, dim))) * np.exp(rng.normal(size=n) * spread)[:, None]
+    return [(i, [float(np.float32(c)) for c in x[i]], int(y[i])) for i in range(n)]
+
+
+def mined(df):
+    return sorted(tuple(r) for r in df.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+
+
+def test_hard_negatives(spark, folder):
+    nan, inf = float("nan"), float("inf")
+    odd = [(700, None, 1), (701, [1.0] * 6, None), (None, [1.0] * 6, 2), (800, [1.0, None] * 3, 1), (900, [nan] * 6, 1), (1000, [inf] * 6, 1), (1100, [], 3), (1101, [], 3), (1102, [], 4), (1200, [0.0] * 6, 1)]
+    same = [(5000 + k, [0.5, 0.25, 0.0, -0.5, 1.0, 0.0], k % 3) for k in range(250)]
+    few = [(6000, [1.0, 2.0], 5), (6001, [1.0, 1.5], 5), (6002, [1.0, 1.25], 6)]
+    rows = vectors(600, 1) + odd + same + few + [(100, [0.5] * 6, 4), (100, [0.5] * 6, 4)]
+    got = mined(run(spark, "op12_hard_negatives", folder("1 AS row; 2 AS a; 'x' AS len", embeddings=rows)))
+    assert got == mined_brute(rows) and len(got) > 100
+    assert run(spark, "op12_hard_negatives", folder(embeddings=[])).count() == 0
+
+
+@pytest.mark.parametrize(("bucket_rows", "block", "dim"), [(40, 3, 4), (64, 100, 12), (4000, 1, 3)])
+def test_hard_negatives_in_small_buckets_and_blocks(spark, bucket_rows, block, dim):
+    rows = [(i, [float(int(c * 50)) for c in x], y) for i, x, y in vectors(1500, dim, dim, 0.7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = mined(hard_negatives.mine(df, F.expr("vec_id % 100 = 0"), bucket_rows=bucket_rows, block=block))
+    # the brute force scales and shifts labels: undo both
+    assert got == sorted((a, p, r, n, s // 65536, t // 65536) for a, p, r, n, s, t in mined_brute([(i, x, (y - 1) % 10 if i % 7 == 0 else y) for i, x, y in rows]))
+
+
+def test_hard_negatives_of_long_vectors_and_pruning():
+    """Scores beyond 2**53 are exact, and the candidates hold all that reach a threshold while leaving most out."""
+    rng = np.random.default_rng(3)
+    whole = (rng.normal(size=(5000, 8)) * np.array([9, 6, 3, 1, 1, 1, 1, 1]) * 1000).astype(np.int64)
+    whole[:10] *= 10_000
+    length = np.sqrt((whole.astype(float) ** 2).sum(1))
+    order = np.argsort(-length)
+    table = pa.table({"row": order, "id": order, "label": np.zeros(5000, np.int64), "len": length[order], "v": list(whole[order])})
+    seen = 0
+    for batch in table.to_batches(max_chunksize=500):
+        for _, b in hard_negatives.Bucket.of(batch):
+            for k in (0, 20, 40):
+                a = hard_negatives.Anchor(0, k, 0, float(length[k]), whole[k].tolist())
+                want = [int(sum(int(p) * int(q) for p, q in zip(whole[k], whole[r]))) for r in b.row]
+                assert b.scores(a, None).tolist() == want
+                t = 0.9 * float(length[k]) * float(np.median(length))
+                found = b.candidates(a, t)
+                if found is not None:
+                    assert set(np.flatnonzero(np.array(want, float) >= t)) <= set(found.tolist())
+                    seen += len(found) < 250
+    assert seen > 5
