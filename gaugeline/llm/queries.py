@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat_format, exact_dedup, fingerprint, hard_negatives, jaccard_join, mixing, periodic_runs, piece_codec, quality_mil, secret_scan, substring_dedup, warc_writer
+from gaugeline.llm import chat_format, exact_dedup, fingerprint, hard_negatives, jaccard_join, mixing, periodic_runs, piece_codec, quality_mil, secret_scan, substring_dedup, toxic_crf, warc_writer
 from gaugeline.llm.common import table
 from gaugeline.operators.staging import stage
 
@@ -145,6 +145,22 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+TOXIC_SCORE = 0.5
+
+
+def op13_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_crf.fit(docs, table(spark, sf_dir, "labels"))
+    tagged = toxic_crf.tag(docs, model).drop("text")
+    return tagged.select(
+        "doc_id",
+        toxic_crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"),
+        F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias("toxic_spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_jaccard_join": op2_jaccard_join,
@@ -158,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxic_crf": op13_toxic_crf,
 }
 
 ORACLE: dict[str, str] = {
