@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.config import DEFAULT, NORMAL, QCConfig
@@ -17,6 +17,7 @@ from gaugeline.operators.slices import interpolate
 
 ACTIONABLE = ("MISSING", "SPIKE", "FROZEN", "NOISE", "DRIFT")
 ML_LABELS = ("FROZEN", "DRIFT", "NOISE")
+# What the regression forest reads.
 ML_FEATURES = (
     "hour",
     "day_of_year",
@@ -36,31 +37,39 @@ def correct_by_rules(df: DataFrame, cfg: QCConfig = DEFAULT) -> DataFrame:
     already repaired; noise and drift take past medians. A correction whose
     baseline is null gives null and counts as applied.
     """
-    label = F.col("diagnosed_fault")
     filled = interpolate(df, F.col("temperature"), "_filled", cfg.slice_hours)
-    repaired = (
-        F.when(label == "MISSING", F.col("_filled"))
+    filled = filled.withColumn("_repaired", repaired_value(F.col("_filled")))
+    blanked = F.when(F.col("diagnosed_fault") != "FROZEN", F.col("_repaired"))
+    bridged = interpolate(filled, blanked, "_bridged", cfg.slice_hours)
+    return bridged.withColumns(rule_columns(F.col("_repaired"), F.col("_bridged"), cfg)).drop("_filled", "_repaired", "_bridged")
+
+
+def repaired_value(filled: Column) -> Column:
+    """Missing readings take `filled`, spikes the past median."""
+    label = F.col("diagnosed_fault")
+    return (
+        F.when(label == "MISSING", filled)
         .when(label == "SPIKE", F.coalesce("previous_6h_median", "previous_12h_median"))
         .otherwise(F.col("temperature"))
     )
-    filled = filled.withColumn("_repaired", repaired)
-    blanked = F.when(label != "FROZEN", F.col("_repaired"))
-    bridged = interpolate(filled, blanked, "_bridged", cfg.slice_hours)
+
+
+def rule_columns(repaired: Column, bridged: Column, cfg: QCConfig = DEFAULT) -> dict[str, Column]:
+    """The corrected value of a diagnosed reading, given its repaired value and the one that bridges a frozen stretch."""
+    label = F.col("diagnosed_fault")
     fix = (
-        F.when(label == "FROZEN", F.col("_bridged"))
+        F.when(label == "FROZEN", bridged)
         .when(label == "NOISE", F.col("previous_6h_median"))
         .when(label == "DRIFT", F.col("previous_12h_median"))
-        .otherwise(F.col("_repaired"))
+        .otherwise(repaired)
     )
     sure = F.coalesce(F.col("diagnosis_confidence") >= cfg.min_confidence, F.lit(False))
     apply = label.isin(*ACTIONABLE) & (sure | (label == "MISSING"))
-    return bridged.withColumns(
-        {
-            "temperature_original": F.col("temperature"),
-            "temperature_corrected": F.when(apply, fix).otherwise(F.col("temperature")),
-            "correction_applied": F.when(apply, 1).otherwise(0),
-        }
-    ).drop("_filled", "_repaired", "_bridged")
+    return {
+        "temperature_original": F.col("temperature"),
+        "temperature_corrected": F.when(apply, fix).otherwise(F.col("temperature")),
+        "correction_applied": F.when(apply, 1).otherwise(0),
+    }
 
 
 def with_ml_features(df: DataFrame) -> DataFrame:
@@ -106,19 +115,29 @@ def apply_corrector(
     """Let the model replace the rule value for shapes it reconstructs better."""
     features = check_feature_list(features)
     base = with_ml_features(df)
-    target = F.col("diagnosed_fault").isin(*labels) & (F.col("diagnosis_confidence") >= cfg.min_confidence)
-    predicted = model.transform(impute_median(base, features, cfg).filter(target).select("station_id", "ts", *features))
-    out = base.join(predicted.select("station_id", "ts", "_predicted"), ["station_id", "ts"], "left")
-    hit = F.col("_predicted").isNotNull()
+    target = F.coalesce(ml_target(labels, cfg), F.lit(False))
+    own = [F.col(f).alias(f"_own_{f}") for f in features]
+    asked = impute_median(base.select("*", *own), features, cfg).filter(target)
+    predicted = model.transform(asked).select(*(F.col(f"_own_{c}" if c in features else c).alias(c) for c in base.columns), "_predicted")
+    # rows that are not asked pass by: no join brings the predictions back
+    rest = base.filter(~target).withColumn("_predicted", F.lit(None).cast("double"))
+    out = predicted.unionByName(rest)
+    return out.withColumns(method_columns(F.col("_predicted"))).drop("_predicted")
+
+
+def ml_target(labels: Sequence[str] = ML_LABELS, cfg: QCConfig = DEFAULT) -> Column:
+    """Whether a reading's shape is one that the model reconstructs, diagnosed with enough confidence."""
+    return F.col("diagnosed_fault").isin(*labels) & (F.col("diagnosis_confidence") >= cfg.min_confidence)
+
+
+def method_columns(predicted: Column) -> dict[str, Column]:
+    """The model's value, if there is one, over the rule's."""
+    hit = predicted.isNotNull()
     method = F.when(hit, "ml_model").when(F.col("correction_applied") == 1, "rule_based").otherwise("none")
-    # a row without a correction keeps the method "none" even if the model had a value
-    method = F.when(F.col("correction_applied") == 0, "none").otherwise(method)
-    return out.withColumns(
-        {
-            "temperature_corrected_rule_only": F.col("temperature_corrected"),
-            "temperature_corrected_ml": F.col("_predicted"),
-            "correction_method": method,
-        }
-    ).withColumn("temperature_corrected", F.when(hit, F.col("_predicted")).otherwise(F.col("temperature_corrected"))).drop(
-        "_predicted"
-    )
+    return {
+        "temperature_corrected_rule_only": F.col("temperature_corrected"),
+        "temperature_corrected_ml": predicted,
+        # a row without a correction keeps the method "none" even if the model had a value
+        "correction_method": F.when(F.col("correction_applied") == 0, "none").otherwise(method),
+        "temperature_corrected": F.when(hit, predicted).otherwise(F.col("temperature_corrected")),
+    }

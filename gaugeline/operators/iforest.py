@@ -8,11 +8,15 @@ partitioning or task order. The fitted forest is a small table of nodes.
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,7 @@ from gaugeline.config import DEFAULT, QCConfig
 from gaugeline.operators.detectors import check_feature_list
 from gaugeline.operators.quantiles import exact_quantiles
 from gaugeline.operators.staging import stage
+from gaugeline.shipping import ship
 
 KEYS = ("station_id", "ts")
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left_node int, right_node int, path double"
@@ -87,34 +92,70 @@ class IsolationForest:
         Nulls take the medians of the training rows. The node arrays are broadcast
         once; rows are scored in Arrow batches, all rows of a batch per tree.
         """
-        arrays = df.sparkSession.sparkContext.broadcast(_packed(self.nodes))
+        ship(df.sparkSession)
+        arrays = df.sparkSession.sparkContext.broadcast(self.packed())
         norm = _unsuccessful_path(self.sample_size)
 
         def score_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            trees = arrays.value
             for cols in batches:
-                x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-                total = np.zeros(len(x))
-                pick = np.arange(len(x))
-                for feature, cut, left, right, path, depth in trees:
-                    at = np.zeros(len(x), dtype=np.int64)
-                    for _ in range(depth):
-                        f = feature[at]
-                        inner = f >= 0
-                        down = np.where(x[pick, np.maximum(f, 0)] <= cut[at], left[at], right[at])
-                        at = np.where(inner, down, at)
-                    total += path[at]
-                yield pd.Series(np.power(2.0, -(total / len(trees)) / norm))
+                yield pd.Series(isolation_scores(arrays.value, np.column_stack([c.to_numpy(dtype=float) for c in cols]), norm))
 
         udf = F.pandas_udf(score_batches, T.DoubleType())
         filled = [F.coalesce(F.col(f), F.lit(m)).cast("double") for f, m in zip(self.features, self.medians)]
         return df.withColumn(name, udf(*filled))
 
+    def packed(self) -> list[tuple]:
+        """The trees as arrays, for `isolation_scores`."""
+        return _packed(self.nodes)
+
+    def voter(self, spark: SparkSession) -> ForestVoter:
+        """For stateful processors: their code must stay small, so the trees go to the executors as a file."""
+        columns = {c: self.nodes[c].to_numpy() for c in ("tree", "node", "feature", "threshold", "left_node", "right_node", "path")}
+        folder = Path(tempfile.mkdtemp(prefix="gaugeline-forest-"))
+        name = f"forest-{uuid.uuid4().hex}.npz"
+        np.savez_compressed(folder / name, **columns)
+        spark.sparkContext.addFile(str(folder / name))
+        return ForestVoter(name, self.features, self.medians, _unsuccessful_path(self.sample_size), self.offset)
+
     def flag(self, df: DataFrame, name: str = "isolation_score") -> DataFrame:
         """Score and flag rows beyond the cut."""
         return self.score(df).withColumn(name, F.when(F.col("isolation_raw") > self.offset, 1).otherwise(0))
 
 
+def isolation_scores(trees: list[tuple], x: np.ndarray, norm: float) -> np.ndarray:
+    """Scores of the rows of x, all rows per tree and level."""
+    total, pick = np.zeros(len(x)), np.arange(len(x))
+    for feature, cut, left, right, path, depth in trees:
+        at = np.zeros(len(x), dtype=np.int64)
+        for _ in range(depth):
+            f = feature[at]
+            down = np.where(x[pick, np.maximum(f, 0)] <= cut[at], left[at], right[at])
+            at = np.where(f >= 0, down, at)
+        total += path[at]
+    return np.power(2.0, -(total / len(trees)) / norm)
+
+
+@dataclass(frozen=True)
+class ForestVoter:
+    """What a task needs to vote on single readings given by feature name; the trees are read at the first one."""
+
+    file: str
+    features: tuple[str, ...]
+    medians: tuple[float, ...]
+    norm: float
+    offset: float
+
+    def fires(self, reading: dict[str, float]) -> bool:
+        if self.file not in _LOADED:
+            with np.load(SparkFiles.get(self.file)) as columns:
+                _LOADED[self.file] = _packed(pd.DataFrame(dict(columns)))
+        x = [m if np.isnan(v := reading[f]) else v for f, m in zip(self.features, self.medians)]
+        return bool(isolation_scores(_LOADED[self.file], np.array([x]), self.norm)[0] > self.offset)
+
+
+_LOADED: dict[str, list[tuple]] = {}
+
+
 def _packed(nodes: pd.DataFrame) -> list[tuple]:
     out = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
@@ -163,6 +204,7 @@ def fit_iforest(
         out.insert(0, "tree", tree)
         return out
 
+    ship(df.sparkSession)
     # A fixed number of tasks: the samples are small, growing the trees is the work.
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
     nodes = sampled.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA)

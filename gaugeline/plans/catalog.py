@@ -938,10 +938,20 @@ def live_score(spark, sf):
     obs = stage(observations(spark, sf), "obs")
     newest = profile.latest_per_station(obs)
     history = obs.join(newest.select("station_id", "ts"), ["station_id", "ts"], "left_anti")
+    return live.score_readings(newest, history, *_live_models(history))
+
+
+def _live_models(history):
+    """The forest and the corrector, learned from stored readings."""
     forest = iforest.fit_iforest(history, FOREST_FEATURES, trees=200)
-    diag = diagnosis.diagnose(
-        stage(detectors.detector_votes(features.temporal_features(history), demo.isolation_stand_in()), "votes")
-    )
-    fixed = stage(correction.correct_by_rules(diag), "fixed")
-    model = correction.fit_corrector(fixed, trees=200)
-    return live.score_readings(newest, history, forest, model)
+    votes = detectors.detector_votes(features.temporal_features(history), demo.isolation_stand_in())
+    fixed = stage(correction.correct_by_rules(diagnosis.diagnose(stage(votes, "votes"))), "fixed")
+    return forest, correction.fit_corrector(fixed, trees=200)
+
+
+@query
+def stream_live_score(spark, sf):
+    """Every reading scored as it arrives, in time order, against its station's last readings in state."""
+    obs = stage(observations(spark, sf), "obs")
+    models = _live_models(obs)
+    return jobs.run_to_end(live.live_stream(_replayed(spark, obs), *models), stateful=True)

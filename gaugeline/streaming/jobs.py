@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeline.config import DEFAULT, QCConfig
 from gaugeline.functions import columns as C
 from gaugeline.operators.staging import new_table_path, stage
+from gaugeline.shipping import ship
 from gaugeline.streaming.state import CAUSAL_SCHEMA, LEDGER_SCHEMA, CausalVotes, HealthLedger
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -98,6 +99,7 @@ def causal_votes(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
     A reading is voted on once the watermark has passed it; one behind the watermark is dropped.
     """
+    ship(stream.sparkSession)
     timed = with_event_time(stream, lateness=lateness)
     return timed.groupBy("station_id").transformWithStateInPandas(
         statefulProcessor=CausalVotes(), outputStructType=CAUSAL_SCHEMA, outputMode="Append", timeMode="EventTime"
@@ -106,6 +108,7 @@ def causal_votes(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 def health_stream(stream: DataFrame, fault: str = "fault_type", lateness: str = "2 hours") -> DataFrame:
     """Health after each reading in event-time order, kept across micro-batches."""
+    ship(stream.sparkSession)
     timed = with_event_time(stream.withColumn("penalty", C.penalty(F.col(fault))), lateness=lateness)
     ledger = timed.select("station_id", "event_time", "penalty").groupBy("station_id").transformWithStateInPandas(
         statefulProcessor=HealthLedger(), outputStructType=LEDGER_SCHEMA, outputMode="Append", timeMode="EventTime"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +15,8 @@ from gaugeline.operators import correction, diagnosis, features
 from gaugeline.operators.iforest import IsolationForest
 from gaugeline.operators.slices import with_running_length
 from gaugeline.operators.staging import stage
+from gaugeline.shipping import ship
+from gaugeline.streaming.ring import CONTEXT_SCHEMA, LiveContext
 from gaugeline.streaming.state import KEPT_ROWS
 
 # Fixed value: readings a station needs before it is scored.
@@ -61,17 +63,7 @@ def score_readings(
     )
     asked = new.select("station_id", "ts", "temperature", "humidity", "pressure")
     placed = stage(place_after_history(asked, last), "placed")
-    absent = F.col("temperature").isNull() | F.col("humidity").isNull() | F.col("pressure").isNull()
-    short = F.coalesce(F.col("history_rows"), F.lit(0)) < MIN_HISTORY_ROWS
-    why = F.when(absent, "a reading needs temperature, humidity and pressure").when(
-        short,
-        F.format_string(
-            f"station %d: %d earlier readings known, {MIN_HISTORY_ROWS} needed",
-            F.col("station_id"),
-            F.coalesce(F.col("history_rows"), F.lit(0)),
-        ),
-    )
-    placed = placed.withColumn("problem", why)
+    placed = placed.withColumn("problem", _refusal())
     ready = placed.filter(F.col("problem").isNull())
 
     window = context.join(ready.select("station_id").distinct(), "station_id", "left_semi").withColumn("is_new", F.lit(0))
@@ -91,10 +83,8 @@ def score_readings(
     fixed = stage(correction.correct_by_rules(diagnosis.diagnose(scored, cfg=cfg), cfg), "live-corrected")
     final = correction.apply_corrector(fixed, corrector, cfg=cfg).filter(F.col("is_new") == 1)
 
-    no_baseline = F.col("previous_6h_median").isNull() | F.col("temperature_zscore_24h").isNull()
-    gap = "no temporal baseline for this reading"
     results = [col.alias(name) for name, col in _result_columns(forest.offset).items()]
-    known = final.select("station_id", "ts", "station_name", *results, F.when(no_baseline, gap).alias("problem"))
+    known = final.select("station_id", "ts", "station_name", *results, _no_baseline().alias("problem"))
     ok = known.filter(F.col("problem").isNull()).withColumn("reason", F.col("explanation"))
     failed = known.filter(F.col("problem").isNotNull()).select("station_id", "ts", "temperature_original", "problem")
     rejected = placed.filter(F.col("problem").isNotNull()).select(
@@ -103,6 +93,19 @@ def score_readings(
     return ok.drop("problem").unionByName(_insufficient(failed.unionByName(rejected)), allowMissingColumns=True)
 
 
+def _refusal() -> Column:
+    """Why a reading is not scored at all, or null."""
+    absent = F.col("temperature").isNull() | F.col("humidity").isNull() | F.col("pressure").isNull()
+    rows = F.coalesce(F.col("history_rows"), F.lit(0))
+    short = F.format_string(f"station %d: %d earlier readings known, {MIN_HISTORY_ROWS} needed", F.col("station_id"), rows)
+    return F.when(absent, "a reading needs temperature, humidity and pressure").when(rows < MIN_HISTORY_ROWS, short)
+
+
+def _no_baseline() -> Column:
+    missing = F.col("previous_6h_median").isNull() | F.col("temperature_zscore_24h").isNull()
+    return F.when(missing, "no temporal baseline for this reading")
+
+
 def _result_columns(cut: float) -> dict[str, Column]:
     label = F.col("diagnosed_fault")
     ml = C.sigmoid(F.col("isolation_raw") - F.lit(cut))
@@ -136,74 +139,95 @@ def _result_columns(cut: float) -> dict[str, Column]:
     }
 
 
-def _insufficient(df: DataFrame) -> DataFrame:
+def _insufficient_columns(problem: Column) -> dict[str, Column]:
     skipped = F.lit("skipped")
-    return df.select(
-        "station_id",
-        "ts",
-        "temperature_original",
-        F.lit(False).alias("anomaly_detected"),
-        F.lit(C.INSUFFICIENT).alias("diagnosed_fault"),
-        F.lit("none").alias("correction_method"),
-        F.lit(0).alias("correction_applied"),
-        F.lit("Unknown").alias("severity"),
-        F.col("problem").alias("explanation"),
-        F.col("problem").alias("reason"),
-        F.struct(
+    return {
+        "anomaly_detected": F.lit(False),
+        "diagnosed_fault": F.lit(C.INSUFFICIENT),
+        "correction_method": F.lit("none"),
+        "correction_applied": F.lit(0),
+        "severity": F.lit("Unknown"),
+        "explanation": problem,
+        "stages": F.struct(
             skipped.alias("quality_check"),
             skipped.alias("anomaly_detection"),
             F.lit(C.INSUFFICIENT).alias("diagnosis"),
             skipped.alias("correction"),
             skipped.alias("sensor_health"),
-        ).alias("stages"),
-    )
+        ),
+        "reason": problem,
+    }
 
 
-def _new_history(todo: DataFrame, history: DataFrame) -> DataFrame:
-    """Arrived readings newer than the stored ones, with the station's known attributes."""
-    last = history.groupBy("station_id").agg(
-        F.max("ts").alias("_last"), F.max_by("station_name", "ts").alias("_name"), F.max_by("wind_speed", "ts").alias("_wind")
+def _insufficient(df: DataFrame) -> DataFrame:
+    told = [c.alias(n) for n, c in _insufficient_columns(F.col("problem")).items()]
+    return df.select("station_id", "ts", "temperature_original", *told)
+
+
+def live_stream(
+    stream: DataFrame,
+    forest: IsolationForest,
+    corrector: PipelineModel,
+    history: DataFrame | None = None,
+    cfg: QCConfig = DEFAULT,
+) -> DataFrame:
+    """Score every arriving reading against its station's last 336 readings, kept in state.
+
+    The columns are those of `score_readings`, which gives the same rows for the same context. `history` (LIVE_COLUMNS) is read
+    once, at the start of the first micro-batch; from then on nothing stored is read again. Several readings of a
+    station in one micro-batch each have those before them as context. The null column `previous_12h_median` of
+    a reading that the model corrects takes the median over the reading's own context.
+    """
+    ship(stream.sparkSession)
+    known = set(stream.columns)
+    name, wind = (F.col(c) if c in known else F.lit(None).cast(t) for c, t in (("station_name", "string"), ("wind_speed", "double")))
+    readings = [F.col(v).cast("double").alias(v) for v in ("temperature", "humidity", "pressure")]
+    arriving = stream.select("station_id", "ts", name.alias("station_name"), *readings, wind.cast("double").alias("wind_speed"))
+    start = None if history is None else recent_history(history).groupBy("station_id")
+    context = arriving.groupBy("station_id").transformWithStateInPandas(
+        statefulProcessor=LiveContext(KEPT_ROWS, MIN_HISTORY_ROWS, forest.voter(stream.sparkSession), cfg),
+        outputStructType=CONTEXT_SCHEMA,
+        outputMode="Append",
+        timeMode="None",
+        initialState=start,
+    )
+    votes = forest.flag(context).withColumns(
+        {"rule_score": C.qc_flag_columns(cfg)["qc_flag"], "statistical_score": C.statistical_vote(cfg), "temporal_score": C.temporal_vote(cfg)}
     )
-    known = {"station_name": "_name", "wind_speed": "_wind"}
-    out = todo.join(last, "station_id", "left").filter(F.col("_last").isNull() | (F.col("ts") > F.col("_last")))
-    for column, fallback in known.items():
-        own = F.coalesce(column, fallback) if column in todo.columns else F.col(fallback)
-        out = out.withColumn(column, own)
-    return out.dropDuplicates(["station_id", "ts"]).select(*LIVE_COLUMNS, "_turn")
+    labelled = votes.withColumn("anomaly_score", C.vote_total()).withColumns(diagnosis.label_columns(cfg))
+    fixed = labelled.withColumns(correction.rule_columns(correction.repaired_value(F.col("temperature")), F.col("bridged"), cfg))
+    # the model is asked for every row, as a branch and a join would run the state twice; most answers are not used
+    own = {f: F.col(f) for f in correction.ML_FEATURES if f in fixed.columns}
+    asked = correction.with_ml_features(fixed.withColumns({f"_own_{f}": c for f, c in own.items()}))
+    filled = {f: F.coalesce(F.col(f), F.col("median_12h") if f == "previous_12h_median" else F.lit(None), F.lit(0.0)) for f in own}
+    predicted = corrector.transform(asked.withColumns(filled))
+    predicted = predicted.withColumns({f: F.col(f"_own_{f}") for f in own})
+    wanted = F.when(correction.ml_target(cfg=cfg), F.col("_predicted"))
+    done = predicted.withColumn("_predicted", wanted).withColumns(correction.method_columns(F.col("_predicted")))
+    done = done.withColumn("_refused", _refusal()).withColumn("_problem", F.coalesce(F.col("_refused"), _no_baseline()))
+
+    told = _insufficient_columns(F.col("_problem"))
+    results = _result_columns(forest.offset) | {"station_name": F.col("station_name")}
+    results["reason"] = results["explanation"]
+    fine = F.col("_problem").isNull()
+    columns = {n: F.when(fine, c).otherwise(told[n]) if n in told else F.when(fine, c) for n, c in results.items()}
+    columns["temperature_original"] = F.col("temperature")
+    columns["ts"] = F.when(F.col("_refused").isNotNull(), F.coalesce("asked_ts", "ts")).otherwise(F.col("ts"))
+    order = ["ts", "station_name", *(n for n in results if n != "station_name")]
+    return done.select("station_id", *(columns[n].alias(n) for n in order))
 
 
 def start_live_scoring(
     stream: DataFrame,
-    history_path: str,
     result_path: str,
     checkpoint: str,
     forest: IsolationForest,
     corrector: PipelineModel,
+    history: DataFrame | None = None,
     cfg: QCConfig = DEFAULT,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Score arriving readings and extend the stored history.
-
-    History and results are foldered by batch number and a batch reads only
-    history of earlier batches, so a repeated batch rewrites the same folders.
-    Several readings of a station in one batch are scored one after the other,
-    each with those before it as history; late ones do not enter the history.
-    For backfills use the batch operators.
-    """
-
-    def score_batch(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        order = Window.partitionBy("station_id").orderBy("ts")
-        todo = stage(batch.withColumn("_turn", F.row_number().over(order)), "arrived")
-        turns = todo.agg(F.max("_turn")).first()[0] or 0
-        history = spark.read.parquet(history_path).filter(F.col("batch") < batch_id).select(*LIVE_COLUMNS)
-        fresh = stage(_new_history(todo, history), "fresh")
-        for turn in range(1, turns + 1):
-            now = todo.filter(F.col("_turn") == turn).drop("_turn")
-            seen = history.unionByName(fresh.filter(F.col("_turn") < turn).select(*LIVE_COLUMNS))
-            scored = score_readings(now, seen, forest, corrector, cfg)
-            scored.write.mode("overwrite").parquet(f"{result_path}/batch={batch_id}/turn={turn}")
-        fresh.select(*LIVE_COLUMNS).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
+    """Score arriving readings into Parquet files, exactly once; the session needs a RocksDB state store (`jobs.STATE_PROVIDER`)."""
+    scored = live_stream(stream, forest, corrector, history, cfg)
+    writer = scored.writeStream.format("parquet").option("path", result_path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

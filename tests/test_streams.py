@@ -269,22 +269,97 @@ def test_live_scoring(spark, sf, models):
     assert got[99].diagnosed_fault == C.INSUFFICIENT and got[99].severity == "Unknown"
 
 
-def test_live_stream(spark, sf, models):
+def wavy(n, seed):
+    """Readings with faults of every shape, and some equal and missing ones."""
+    import random
+
+    rng = random.Random(seed)
+    out = [10 + 5 * ((i % 24) / 24) + rng.random() for i in range(n)]
+    for i in range(60, n, 37):
+        out[i] += 25
+    for i in range(90, n, 61):
+        out[i : i + 9] = [out[i]] * len(out[i : i + 9])
+    for i in range(130, n, 97):
+        out[i : i + 8] = [v + 4 * (-1) ** k * k for k, v in enumerate(out[i : i + 8])]
+    for i in range(150, n, 83):
+        out[i : i + 10] = [v + 2 * k for k, v in enumerate(out[i : i + 10])]
+    for i in range(70, n, 89):
+        out[i] = None
+    out[n // 2 : n // 2 + 30] = [7.0] * 30
+    out[n // 2 + 5] = 60.5
+    return out[:n]
+
+
+LIVE_EXACT = ["station_id", "ts", "anomaly_detected", "anomaly_score", "diagnosed_fault", "correction_method", "correction_applied", "severity", "explanation", "sensor_health_score"]
+LIVE_NEAR = ["station_id", "ts", "temperature_original", "diagnosis_confidence", "temperature_corrected", "ml_anomaly_score"]
+
+
+def scored_one_by_one(spark, df, models, keep=336):
+    """The batch twin: each reading as a station of its own, with the readings before it."""
+    from pyspark.sql import Window
+
+    placed = staging.stage(df.withColumn("k", F.row_number().over(Window.partitionBy("station_id").orderBy("ts"))), "placed")
+    before = placed.alias("n").join(placed.alias("o"), F.expr(f"n.station_id = o.station_id AND o.k BETWEEN n.k - {keep} AND n.k - 1"))
+    names = [c for c in df.columns if c != "station_id"]
+    history = before.select(F.expr("n.station_id * 100000 + n.k").alias("station_id"), *(f"o.{c}" for c in names))
+    fresh = placed.select(F.expr("station_id * 100000 + k").alias("station_id"), *names)
+    history = staging.stage(history.selectExpr("*", "'n' AS station_name", "cast(3.0 AS double) AS wind_speed"), "twin-history")
+    got = live.score_readings(staging.stage(fresh, "twin-new"), history, *models)
+    return got.withColumn("station_id", F.expr("station_id div 100000"))
+
+
+def test_live_stream_equals_scoring_one_by_one(spark, series, models):
+    import pandas as pd
+
+    df = staging.stage(series({1: wavy(430, 1), 2: wavy(120, 2), 3: [5.0] * 60}), "live")
+    path = staging.new_table_path(spark, "live-in")
+    files = jobs.write_in_time_order(df.selectExpr("*", "'n' AS station_name", "cast(3.0 AS double) AS wind_speed"), path, files=5)
+    stream = jobs.replay(spark, path, spark.read.parquet(path).schema, 2)
+    got = jobs.run_to_end(live.live_stream(stream, *models), stateful=True)
+    got, want = staging.stage(got, "live-out"), staging.stage(scored_one_by_one(spark, df, models), "twin-out")
+    assert files == 5 and got.count() == want.count() == df.count()
+    labels = {r[0] for r in got.select("diagnosed_fault").distinct().collect()}
+    assert {"SPIKE", "FROZEN", "NORMAL", C.INSUFFICIENT} <= labels and len(labels) >= 5
+    assert got.filter("correction_method = 'ml_model'").count() > 10
+    scored = F.col("diagnosed_fault") != C.INSUFFICIENT
+    assert got.filter(scored).count() == want.filter(scored).count()
+    pd.testing.assert_frame_equal(rows(got.filter(scored), *LIVE_EXACT), rows(want.filter(scored), *LIVE_EXACT), check_dtype=False)
+    pd.testing.assert_frame_equal(rows(got.filter(scored), *LIVE_NEAR), rows(want.filter(scored), *LIVE_NEAR), check_dtype=False, atol=1e-6)
+    told = ["station_id", "ts", "diagnosed_fault", "severity", "anomaly_detected", "temperature_original"]
+    pd.testing.assert_frame_equal(rows(got.filter(~scored), *told), rows(want.filter(~scored), *told), check_dtype=False)
+    assert sorted(got.columns) == sorted(want.columns)
+
+
+def test_live_stream_from_stored_history(spark, sf, models):
+    """History enters once as state; late, repeated, incomplete and unknown readings; a restart goes on from the state."""
     obs = staging.stage(observations(spark, sf), "obs")
-    history = staging.new_table_path(spark, "live-history")
-    obs.select(*live.LIVE_COLUMNS).write.parquet(f"{history}/batch=-1")
     arriving = staging.new_table_path(spark, "arriving")
     at = datetime(2024, 3, 1)
-    new = spark.createDataFrame(
-        [(0, at, 12.0, 50.0, 1000.0), (0, at + timedelta(hours=1), 80.0, 50.0, 1000.0)],
-        "station_id long, ts timestamp_ntz, temperature double, humidity double, pressure double",
-    )
-    new.coalesce(1).write.parquet(arriving)
-    out = staging.new_table_path(spark, "live-results")
-    stream = jobs.replay(spark, arriving, new.schema)
-    query = live.start_live_scoring(stream, history, out, staging.new_table_path(spark, "live-checkpoint"), *models, available_now=True)
-    query.awaitTermination()
-    got = spark.read.parquet(f"{out}/batch=0").orderBy("ts").collect()
-    assert [r.turn for r in got] == [1, 2]
-    assert got[1].diagnosed_fault == "SPIKE"
-    assert spark.read.parquet(history).filter("batch = 0").count() == 2
+    cols = "station_id long, ts timestamp_ntz, temperature double, humidity double, pressure double"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(arriving)
+
+    one, two = ([(s, at + timedelta(hours=h), v, 50.0, p) for s, h, v, p in part] for part in (
+        [(0, 0, 12.0, 1000.0), (0, 1, 80.0, 1000.0), (0, 1, 12.0, 1000.0), (1, -9000, 0.0, 1000.0), (2, 0, 1.0, None), (99, 0, 1.0, 1000.0)],
+        [(0, 2, 12.5, 1000.0), (99, 1, 2.0, 1000.0)],
+    ))
+    out, checkpoint = staging.new_table_path(spark, "live-results"), staging.new_table_path(spark, "live-checkpoint")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_PROVIDER)
+    for part in (one, two):
+        arrive(part)
+        stream = jobs.replay(spark, arriving, spark.read.schema(cols).parquet(arriving).schema)
+        live.start_live_scoring(stream, out, checkpoint, *models, history=obs, available_now=True).awaitTermination()
+    got = spark.read.parquet(out).toPandas().sort_values(["station_id", "ts", "temperature_original"]).reset_index(drop=True)
+    assert len(got) == 8
+    zero = got[got.station_id == 0]
+    assert list(zero.ts) == [at, at + timedelta(hours=1), at + timedelta(hours=2), at + timedelta(hours=2)]
+    assert list(zero.temperature_original) == [12.0, 80.0, 12.0, 12.5] and zero.diagnosed_fault.iloc[1] == "SPIKE"
+    assert set(zero.station_name) == {"ST0"}
+    last = obs.filter("station_id = 1").agg(F.max("ts")).first()[0]
+    assert got[got.station_id == 1].ts.iloc[0] in (last + timedelta(hours=1), at - timedelta(hours=9000))
+    assert got[got.station_id == 2].reason.iloc[0].startswith("a reading needs")
+    assert list(got[got.station_id == 99].reason) == [f"station 99: {n} earlier readings known, 48 needed" for n in (0, 1)]
+    state = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    sizes = state.select(F.length("value.times").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 336 * 8
