@@ -2,7 +2,8 @@
 
 A station may hold a large share of all rows, so no window here is partitioned
 by station alone over the readings. Each history is cut into time slices; a
-slice gets copies ("halo") of the earlier readings its windows look back on,
+slice gets copies ("halo") of the earlier readings its windows look back on (those
+of the slice before it, or of blocks of slices where that one has too few),
 and sums that run over the whole history are finished from one summary row per
 slice. The number of slices per station depends on the time span only.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugeline.config import DEFAULT
+from gaugeline.operators.staging import stage
 
 SLICE = "_slice"
 HALO = "_halo"
@@ -78,27 +80,49 @@ def with_lookback(
     else:
         own = sliced.withColumn(HALO, F.lit(False))
 
-    # Last `rows` readings of each slice; the rank limit is applied before the shuffle.
-    newest = Window.partitionBy(KEY, SLICE).orderBy(F.col("ts").desc())
-    tails = (
-        sliced.select(KEY, SLICE, "ts", *carry)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= rows)
-        .groupBy(KEY, SLICE)
-        .agg(F.sort_array(F.collect_list(F.struct("ts", *carry))).alias("_tail"))
-    )
-    # `rows` earlier slices always hold the last `rows` readings, as none is empty.
-    before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(-rows, -1)
-    older = (
-        tails.withColumn("_past", F.flatten(F.collect_list("_tail").over(before)))
-        .withColumn("_past", F.expr(f"slice(_past, greatest(size(_past) - {rows - 1}, 1), {rows})"))
-        .select(KEY, SLICE, F.inline("_past"))
-        .filter(epoch_seconds() < F.col(SLICE) * width - hours * 3600)
-        .withColumn(HALO, F.lit(True))
-    )
+    tails = stage(_tails(sliced.select(KEY, SLICE, "ts", *carry), [KEY, SLICE], rows), "tails")
+    older = tails.filter(F.size("_tail") == rows).select(KEY, (F.col(SLICE) + 1).alias(SLICE), F.inline("_tail"))
+    deeper = _beyond_short_slices(tails, carry, rows)
+    if deeper is not None:
+        older = older.unionByName(deeper)
+    older = older.filter(epoch_seconds() < F.col(SLICE) * width - hours * 3600).withColumn(HALO, F.lit(True))
     return own.unionByName(older, allowMissingColumns=True)
 
 
+def _tails(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The last `rows` readings of each group as one array `_tail`; the rank limit is applied before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
+    kept = df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= rows)
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("_tail"))
+
+
+def _beyond_short_slices(tails: DataFrame, carry: Sequence[str], rows: int) -> DataFrame | None:
+    """The last `rows` readings before each slice that follows a slice with fewer readings (or none), or nothing if no slice does.
+
+    The slices before one are a union of aligned blocks of 1, 2, 4, ... slices, one for each bit of its number. The last
+    readings of all blocks are taken from the tails at once, each slice meets its few blocks and keeps the last of theirs.
+    So no group holds a station's history, whatever the gaps in it.
+    """
+    first = tails.groupBy(KEY).agg(F.min(SLICE).alias("_first"))
+    fed = tails.filter(F.size("_tail") == rows).select(KEY, (F.col(SLICE) + 1).alias(SLICE))
+    asking = tails.select(KEY, SLICE).join(fed, [KEY, SLICE], "left_anti").join(first, KEY).filter(F.col(SLICE) > F.col("_first"))
+    asking = stage(asking, "after-short-slices")
+    if asking.isEmpty():
+        return None
+    base, last = tails.agg(F.min(SLICE), F.max(SLICE)).first()
+    levels = F.sequence(F.lit(0), F.lit((last - base).bit_length()))
+    place = F.col(SLICE) - F.lit(base)
+    block = lambda c: F.expr(f"shiftright({c}, _level)")
+    wanted = asking.select(KEY, SLICE, place.alias("_place"), F.explode(levels).alias("_level"))
+    wanted = wanted.filter(block("_place") % 2 == 1).select(KEY, SLICE, "_level", (block("_place") - 1).alias("_block"))
+    each = tails.join(asking.select(KEY).distinct(), KEY, "left_semi").select(KEY, place.alias("_place"), F.inline("_tail"))
+    each = each.withColumn("_level", F.explode(levels)).withColumn("_block", block("_place")).filter("_block % 2 = 0").drop("_place")
+    blocks = _tails(each, [KEY, "_level", "_block"], rows)
+    met = wanted.join(blocks, [KEY, "_level", "_block"]).select(KEY, SLICE, F.inline("_tail"))
+    return _tails(met, [KEY, SLICE], rows).select(KEY, SLICE, F.inline("_tail")).select(KEY, SLICE, "ts", *carry)
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HALO)
 

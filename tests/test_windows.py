@@ -1,5 +1,8 @@
 """Sliced windows must equal plain per-station pandas, whatever the slice length."""
 
+import re
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -75,6 +78,27 @@ def test_look_back_crosses_long_gaps(series):
     assert got.previous_6h_median.tolist()[3:] == [2.0, 3.0, 4.0, 6.0]
 
 
+@pytest.mark.parametrize("hours", [24, 100])
+def test_look_back_over_gaps_of_any_length(spark, series, hours):
+    """Dense stretches, single readings and silent months, for several stations, one of them with a third of the rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for sid in range(9):
+        at = datetime(2023, 1, 1) + timedelta(hours=int(rng.integers(0, 5000)))
+        for _ in range(900 if sid == 0 else 200):
+            at += timedelta(hours=int(rng.choice([1, 1, 1, 5, 30, 400, 3000], p=[0.3, 0.3, 0.2, 0.1, 0.06, 0.03, 0.01])))
+            rows.append((sid, at, None if rng.random() < 0.1 else float(rng.normal()), 50.0, 1000.0))
+    df = spark.createDataFrame(rows, series({1: [1]}).schema)
+    base, cfg = ordered(df), QCConfig(slice_hours=hours)
+    got = ordered(features.baseline_rows(df, ["temperature"], cfg=cfg))
+    same(got.temperature_rolling_mean_24h, per_station(base, lambda s: s.shift(1).rolling(24, min_periods=3).mean()))
+    got = ordered(features.temporal_features(df, cfg=cfg))
+    same(got.temperature_rolling_mean_24h, per_station(base, lambda s: s.shift(1).rolling("24h", min_periods=3).mean()))
+    same(got.previous_12h_median, per_station(base, lambda s: s.shift(1).rolling(12, min_periods=6).median()))
+    same(got.temperature_std_6h, per_station(base, lambda s: s.rolling(6, min_periods=6).std()))
+    same(got.cum_change_6h, per_station(base, lambda s: s.diff().fillna(0).rolling(6, min_periods=1).sum()))
+
+
 def test_runs_cross_slices(series):
     values = [5, 5, None, None, 5] + [7] * 100 + [8]
     got = ordered(slices.with_run_length(series({1: values, 2: [3] * 60}), "temperature", slice_hours=24))
@@ -110,7 +134,8 @@ def test_look_back_shares_one_window_shuffle(obs):
     """Baselines and shapes sit on one sort: readings are not shuffled again per feature."""
     plan = features.baseline_24h(obs)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
-    assert "WindowGroupLimit" in plan
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", plan)
+    assert windows and all("_slice" in w for w in windows)
 
 
 def test_slice_length_fits_load(series):
