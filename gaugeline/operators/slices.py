@@ -104,19 +104,26 @@ def _beyond_short_slices(tails: DataFrame, carry: Sequence[str], rows: int) -> D
     readings of all blocks are taken from the tails at once, each slice meets its few blocks and keeps the last of theirs.
     So no group holds a station's history, whatever the gaps in it.
     """
-    first = tails.groupBy(KEY).agg(F.min(SLICE).alias("_first"))
-    fed = tails.filter(F.size("_tail") == rows).select(KEY, (F.col(SLICE) + 1).alias(SLICE))
-    asking = tails.select(KEY, SLICE).join(fed, [KEY, SLICE], "left_anti").join(first, KEY).filter(F.col(SLICE) > F.col("_first"))
-    asking = stage(asking, "after-short-slices")
-    if asking.isEmpty():
+    short = F.when(F.size("_tail") < rows, 1).otherwise(0)
+    span = tails.groupBy(KEY).agg(
+        F.min(SLICE).alias("_first"),
+        (F.max(SLICE) - F.min(SLICE) + 1 - F.count(F.lit(1))).alias("_gaps"),
+        (F.sum(short) - F.max_by(short, SLICE)).alias("_short"),
+    )
+    # stations without gaps whose slices but the last are full need nothing more
+    gappy = span.filter("_gaps > 0 OR _short > 0").select(KEY, "_first")
+    if gappy.isEmpty():
         return None
+    tails = stage(tails.join(gappy, KEY), "tails-with-gaps")
+    fed = tails.filter(F.size("_tail") == rows).select(KEY, (F.col(SLICE) + 1).alias(SLICE))
+    asking = tails.filter(F.col(SLICE) > F.col("_first")).select(KEY, SLICE).join(fed, [KEY, SLICE], "left_anti")
     base, last = tails.agg(F.min(SLICE), F.max(SLICE)).first()
     levels = F.sequence(F.lit(0), F.lit((last - base).bit_length()))
     place = F.col(SLICE) - F.lit(base)
     block = lambda c: F.expr(f"shiftright({c}, _level)")
     wanted = asking.select(KEY, SLICE, place.alias("_place"), F.explode(levels).alias("_level"))
     wanted = wanted.filter(block("_place") % 2 == 1).select(KEY, SLICE, "_level", (block("_place") - 1).alias("_block"))
-    each = tails.join(asking.select(KEY).distinct(), KEY, "left_semi").select(KEY, place.alias("_place"), F.inline("_tail"))
+    each = tails.select(KEY, place.alias("_place"), F.inline("_tail"))
     each = each.withColumn("_level", F.explode(levels)).withColumn("_block", block("_place")).filter("_block % 2 = 0").drop("_place")
     blocks = _tails(each, [KEY, "_level", "_block"], rows)
     met = wanted.join(blocks, [KEY, "_level", "_block"]).select(KEY, SLICE, F.inline("_tail"))
