@@ -284,10 +284,13 @@ def merge_spatial(df: DataFrame, spatial: DataFrame) -> DataFrame:
 def station_pivot(df: DataFrame, parameter: str = "temperature", width: int = 100) -> DataFrame:
     """Time by station table of all stations, in blocks of `width` columns.
 
-    Column c<k> of block b is station b * width + k, so the width does not grow with the stations.
+    Column c<k> of block b is station b * width + k, so the width does not grow with the stations; negative
+    numbers have negative blocks. A reading without a station has no place and raises an error.
     """
     s = F.col("station_id")
-    placed = df.select("ts", F.floor(s / width).alias("block"), F.concat(F.lit("c"), s % width).alias("_cell"), parameter)
+    cell = F.when(s.isNull(), F.raise_error(F.lit("station_pivot: a reading has no station_id")).cast("string"))
+    cell = cell.otherwise(F.concat(F.lit("c"), F.pmod(s, F.lit(width))))
+    placed = df.select("ts", F.floor(s / width).alias("block"), cell.alias("_cell"), parameter)
     return placed.groupBy("block", "ts").pivot("_cell", [f"c{k}" for k in range(width)]).agg(F.avg(parameter))
 
 

@@ -434,7 +434,8 @@ def explanations(spark, sf):
 
 
 @query
-def station_distances(spark, sf):
+def station_pairs_500km(spark, sf):
+    """Pairs within a radius, which `station_pairs` always asks for."""
     return spatial.station_pairs(demo.stations(spark, sf), max_km=500.0)
 
 
@@ -534,6 +535,15 @@ def spatial_batch(spark, sf):
     return spatial.spatial_batch(df, listed, demo.stations(spark, sf), flag_col="predicted")
 
 
+@query
+def unknown_keys(spark, sf):
+    """Listed observations (every third of them half an hour off) that match no reading."""
+    obs = observations(spark, sf)
+    hot = obs.filter(F.col("temperature") > 5).select("station_id", "ts")
+    off = F.when((F.col("station_id") + F.hour("ts")) % 3 == 0, F.expr("ts + INTERVAL 30 MINUTES")).otherwise(F.col("ts"))
+    return spatial.unknown_observations(obs, hot.withColumn("ts", off))
+
+
 # --- diagnosis and correction -----------------------------------------------------
 
 
@@ -637,6 +647,18 @@ def inject_drift_rows(spark, sf):
     return inject.inject_at_rows(obs, demo.row_spec(spark, sf, "drift", 1.0, 6))
 
 
+@query
+def inject_frozen_rows(spark, sf):
+    obs = observations(spark, sf)
+    return inject.inject_at_rows(obs, demo.row_spec(spark, sf, "frozen", 0.0, 6))
+
+
+@query
+def inject_missing_rows(spark, sf):
+    obs = observations(spark, sf)
+    return inject.inject_at_rows(obs, demo.row_spec(spark, sf, "missing", 0.0, 4))
+
+
 def _inject_query(fault: str) -> Query:
     def run(spark, sf):
         return demo.faulty(spark, sf, (fault,))
@@ -908,6 +930,13 @@ def stream_kpis(spark, sf):
     return jobs.run_latest(stream, ["station_id", "window"]).withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
 
 
+@query
+def stream_sliding(spark, sf):
+    """Daily windows every twelve hours, those still open at the end too."""
+    stream = jobs.station_kpis(_replayed(spark, observations(spark, sf)), "1 day", "12 hours")
+    return jobs.run_latest(stream, ["station_id", "window"]).withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
+
+
 @query
 def stream_causal_votes(spark, sf):
     stream = jobs.causal_votes(_replayed(spark, observations(spark, sf)))

@@ -474,7 +474,7 @@ cal AS (SELECT station_id, ts, hour(ts) AS h, hour(ts) AS hour, day(ts) AS day,
         FROM (SELECT *, {parts} AS p FROM diag))""")
     # spatial
     near = STATIONS + DIST
-    add("station_distances", near, "dist", "WHERE km <= 500")
+    add("station_pairs_500km", near, "dist", "WHERE km <= 500")
     add("neighbors_100km", near, "near")
     add("knn_neighbors", near, "(SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) AS rank FROM dist) q", "WHERE rank <= 3")
     add("latest_spatial_check", OBS, """(SELECT a AS station_id, ts, temperature, count(*) AS n_neighbors, avg(t) AS neighbor_average, temperature - avg(t) AS spatial_difference
@@ -495,6 +495,7 @@ cal AS (SELECT station_id, ts, hour(ts) AS h, hour(ts) AS hour, day(ts) AS day,
     add("spatial_correct", evid, corrected)
     add("loo_consistency", DIAGNOSED + LOO, "loo")
     cells = ", ".join(f"avg(CASE WHEN station_id % 100 = {k} THEN temperature END) AS c{k}" for k in range(100))
+    add("unknown_keys", OBS, "(SELECT station_id, ts + INTERVAL 30 MINUTE AS ts FROM obs WHERE temperature > 5 AND (station_id + hour(ts)) % 3 = 0)")
     add("station_pivot", OBS, f"(SELECT station_id // 100 AS block, ts, {cells} FROM obs GROUP BY 1, 2)")
     boosted = """(SELECT l.station_id, l.ts, l.diagnosed_fault, l.spatial_classification,
         CASE WHEN l.spatial_classification = 'SENSOR_FAULT' AND l.diagnosis_confidence IS NOT NULL THEN least(l.diagnosis_confidence + 0.2e0, 1e0) ELSE l.diagnosis_confidence END AS diagnosis_confidence FROM loo l)"""
@@ -521,6 +522,8 @@ evf AS (
     # injection
     add("inject_spike_abs", row_faulty("55e0", "spike", 1), "faulty")
     add("inject_drift_rows", row_faulty("temperature + 1e0 * step", "drift", 6), "faulty")
+    add("inject_frozen_rows", row_faulty("first_value(temperature) OVER (PARTITION BY station_id, hit ORDER BY rn)", "frozen", 6), "faulty")
+    add("inject_missing_rows", row_faulty("CAST(NULL AS DOUBLE)", "missing", 4), "faulty")
     for f in ("spike", "drop", "frozen", "drift", "missing", "multivariate"):
         add(f"inject_{f}", faulty(f"s.fault = '{f}'"), "faulty")
     bad = SPEC + """,
@@ -608,6 +611,8 @@ rep AS (SELECT * FROM pc UNION ALL
     add("stream_dedup", RAW, "(SELECT DISTINCT station_id, ts FROM raw)")
     add("stream_kpis", OBS, f"""(SELECT station_id, date_trunc('day', ts) AS window_start, count(*) AS n_rows, CAST(sum(qc_flag) AS BIGINT) AS n_flagged, avg(temperature) AS mean_temperature
         FROM {qc} GROUP BY 1, 2)""")
+    add("stream_sliding", OBS, f"""(SELECT station_id, window_start, count(*) AS n_rows, CAST(sum(qc_flag) AS BIGINT) AS n_flagged, avg(temperature) AS mean_temperature
+        FROM (SELECT *, unnest([date_trunc('day', ts) + to_hours(CAST(hour(ts) // 12 * 12 AS INTEGER)), date_trunc('day', ts) + to_hours(CAST(hour(ts) // 12 * 12 - 12 AS INTEGER))]) AS window_start FROM {qc}) GROUP BY 1, 2)""")
     live = FEAT_OBS + """,
 live0 AS (
   SELECT *, temperature - row_mean AS dev, (temperature - row_mean) / nullif(row_std, 0) AS z FROM feat),

@@ -77,7 +77,8 @@ SHAPES: dict[str, str] = {
     "threshold_sweep": "measure threshold n_hits n_rows ~percent",
     "explanations": f"{KEYS} diagnosed_fault explanation",
     # spatial
-    "station_distances": "a b ~km",
+    "station_pairs_500km": "a b ~km",
+    "unknown_keys": KEYS,
     "neighbors_100km": "a b ~km",
     "knn_neighbors": "a b ~km rank",
     "latest_spatial_check": f"{KEYS} temperature n_neighbors ~neighbor_average ~spatial_difference",
@@ -108,6 +109,8 @@ SHAPES: dict[str, str] = {
     "inject_missing": _INJECTED,
     "inject_multivariate": _INJECTED,
     "inject_drift_rows": _INJECTED,
+    "inject_frozen_rows": _INJECTED,
+    "inject_missing_rows": _INJECTED,
     "inject_overlap": _INJECTED,
     "invalid_specs": "station_id seq start_row duration problem",
     "schedule_overlaps": "seq station_id",
@@ -145,6 +148,7 @@ SHAPES: dict[str, str] = {
     # streams, read to the end
     "stream_qc": f"{KEYS} temperature_rule_flag humidity_rule_flag pressure_rule_flag qc_flag statistical_anomaly",
     "stream_dedup": KEYS,
+    "stream_sliding": "station_id window_start n_rows n_flagged ~mean_temperature",
     "stream_kpis": "station_id window_start n_rows n_flagged ~mean_temperature",
     "stream_causal_votes": f"{KEYS} ~temperature_zscore_24h running_length rule_score statistical_score temporal_score",
     "stream_late_votes": f"{KEYS} ~temperature_zscore_24h running_length rule_score statistical_score temporal_score",

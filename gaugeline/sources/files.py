@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.functions.columns import finite_or_null
-from gaugeline.operators.staging import join_dim
+from gaugeline.operators.staging import join_dim, stage
 from gaugeline.schema import OBSERVATION, require_columns
 
 # Field names of the weather provider and their canonical names.
@@ -73,20 +73,49 @@ def union_feeds(feeds: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
 
 
-def write_stage(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "parquet", day_folders: bool = False) -> None:
+def write_stage(
+    df: DataFrame,
+    path: str,
+    columns: Sequence[str],
+    fmt: str = "parquet",
+    day_folders: bool = False,
+    rows_per_file: int = 5_000_000,
+) -> None:
     """Write the agreed columns of a stage.
 
-    Parquet may be foldered by day, so that time filters prune folders. Folders by
-    station would give one writer a third of the rows when one station has them.
+    The files may be foldered by day, so that time filters prune folders. Folders by
+    station would give one writer a third of the rows when one station has them. A day gets as many files as
+    its counted rows need and no more, whatever the number of tasks; `read_manifest` tells rows and files of each day. df is read
+    twice: pass a stored stage.
     """
     require_columns(df, columns)
     out = df.select(*columns)
-    writer = out.write
-    if day_folders:
-        writer = out.withColumn("day", F.to_date("ts")).write.partitionBy("day")
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    if not day_folders:
+        _format(out.write, fmt).save(path)
+        return
+    dated = out.withColumn("day", F.to_date("ts"))
+    per_day = stage(dated.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows")), "days")
+    per_day = per_day.withColumn("n_files", F.ceil(F.col("n_rows") / rows_per_file))
+    # rows without a time have a folder of their own
+    key = F.coalesce("day", F.lit("0001-01-01").cast("date"))
+    files = per_day.select(key.alias("_day"), "n_files")
+    placed = join_dim(dated.withColumn("_day", key), files, ["_day"], spread="ts")
+    placed = placed.withColumn("_file", F.pmod(F.xxhash64(*columns), F.col("n_files"))).repartition("_day", "_file")
+    _format(placed.drop("_day", "_file", "n_files").write.partitionBy("day"), fmt).save(path)
+    per_day.coalesce(1).write.parquet(f"{path}/{MANIFEST}")
+
+
+# readers of the folder skip names with an underscore
+MANIFEST = "_manifest"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(day, n_rows, n_files) of a stage in day folders; a day may have fewer files than told."""
+    return spark.read.parquet(f"{path}/{MANIFEST}")
+
+
+def _format(writer: DataFrameWriter, fmt: str) -> DataFrameWriter:
+    return (writer.option("header", True) if fmt == "csv" else writer).format(fmt)
 
 
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:

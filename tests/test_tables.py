@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.config import QCConfig
-from gaugeline.operators import correction, evaluate, iforest, inject, profile, quantiles, staging
+from gaugeline.operators import correction, evaluate, iforest, inject, profile, quantiles, spatial, staging
 from gaugeline.plans import demo
 from gaugeline.sources import files
 from gaugeline.sources.events import observations
@@ -284,3 +284,27 @@ def test_corrections_only_where_flagged(spark, sf):
     by_model = out.filter(F.col("correction_method") == "ml_model")
     assert by_model.filter(~F.col("diagnosed_fault").isin("FROZEN", "DRIFT", "NOISE")).count() == 0
     assert by_model.filter(F.col("temperature_corrected") != F.col("temperature_corrected_ml")).count() == 0
+
+
+def test_day_folders_have_as_many_files_as_their_rows_need(spark, series):
+    path = staging.new_table_path(spark, "days")
+    df = series({s: range(60) for s in range(20)}).repartition(16)
+    files.write_stage(df, path, ["station_id", "ts", "temperature"], day_folders=True, rows_per_file=200)
+    told = {str(r.day): (r.n_rows, r.n_files) for r in files.read_manifest(spark, path).collect()}
+    assert told == {"2025-01-01": (480, 3), "2025-01-02": (480, 3), "2025-01-03": (240, 2)}
+    for day, (n, most) in told.items():
+        part = spark.read.parquet(f"{path}/day={day}")
+        assert part.count() == n and 1 <= len(part.inputFiles()) <= most
+    assert files.read_stage(spark, path).count() == 1200
+    nothing = staging.new_table_path(spark, "days")
+    files.write_stage(df.limit(0), nothing, ["station_id", "ts"], day_folders=True)
+    assert files.read_manifest(spark, nothing).count() == 0
+
+
+def test_pivot_places_negative_stations_and_refuses_none(spark, series):
+    df = series({-5: [1.0], -100: [2.0], 7: [3.0], 205: [4.0]})
+    got = {r.block: r for r in spatial.station_pivot(df).collect()}
+    assert (got[-1].c95, got[-1].c0, got[0].c7, got[2].c5) == (1.0, 2.0, 3.0, 4.0)
+    lost = df.limit(1).withColumn("station_id", F.lit(None).cast("long"))
+    with pytest.raises(Exception, match="no station_id"):
+        spatial.station_pivot(lost).collect()
