@@ -5,7 +5,7 @@ A text is normalised by longest-prefix matches in the model's compiled character
 normalised byte keeps the source byte it came from, and every piece is projected back to a
 source span. Merging (BPE) works on words: no piece of a supported vocabulary has a space
 mark after another character, so words cannot influence each other, and each distinct word
-is merged once per worker. Word results live in flat arrays; a slice of documents is
+is merged once per worker, all new words of a slice together. Word results live in flat arrays; a slice of documents is
 assembled from them by numpy indexing.
 
 Supported: BPE models with byte fallback; others are refused. Defined results: a null text is
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ WORD_TABLE = 500_000
 DECODE_ROWS = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 BPE = 2
+# symbols of longer pieces follow those of single characters
+PIECE = 0x110000
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -90,6 +93,14 @@ class CharMap:
         return self.strings[start : self.strings.index(b"\0", start)], found[1]
 
 
+class Numbered(dict):
+    """Words and their numbers; a word that is asked for the first time gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class Codec:
     def __init__(self, model: bytes):
         pieces, trainer, norm = [], {}, {}
@@ -113,6 +124,8 @@ class Codec:
         self.unknown = {i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN}
         surface = trainer[44].decode() if 44 in trainer else " \u2047 "
         self.out = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else (surface if t == UNKNOWN else p.replace(MARK, " ")).encode() for p, _, t in pieces]
+        self.strings = [p for p, _, _ in pieces]
+        self.pairs = self._pairs()
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.by_word else re.compile("(?s).+")
         self._clear()
@@ -120,54 +133,125 @@ class Codec:
     # words and their pieces
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat_ids, self.flat_size, self.used = np.zeros(4096, np.int32), np.zeros(4096, np.int32), 0
 
-    def _learn(self, word: str) -> int:
-        ids, sizes = self.merged(word)
-        k, n = len(self.words), self.used + len(ids)
-        if k == len(self.first):
+    def _learn(self, new: list[str]) -> None:
+        """Merge new words, which already have the next numbers, and file their pieces."""
+        short = [w for w in new if len(w) <= 400]
+        ids, sizes, counts = self._merge_all(short)
+        if len(short) < len(new):
+            parts, stop = [], np.concatenate([[0], np.cumsum(counts)])
+            at = iter(range(len(short)))
+            for w in new:
+                if len(w) <= 400:
+                    k = next(at)
+                    parts.append((ids[stop[k] : stop[k + 1]], sizes[stop[k] : stop[k + 1]]))
+                else:
+                    parts.append(tuple(map(np.array, self.merged(w))))
+            ids, sizes = (np.concatenate(x) for x in zip(*parts))
+            counts = np.array([len(p[0]) for p in parts])
+        first, n, used = len(self.words) - len(new), len(self.words), self.used + len(ids)
+        while n > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        while n > len(self.flat_ids):
+        while used > len(self.flat_ids):
             self.flat_ids, self.flat_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flat_ids, self.flat_size))
-        self.first[k], self.count[k] = self.used, len(ids)
-        self.flat_ids[self.used : n], self.flat_size[self.used : n] = ids, sizes
-        self.used = n
-        self.words[word] = k
-        return k
+        self.first[first:n], self.count[first:n] = self.used + np.cumsum(counts) - counts, counts
+        self.flat_ids[self.used : used], self.flat_size[self.used : used] = ids, sizes
+        self.used = used
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every pair of symbols that makes a piece: sorted keys, the piece's symbol and its rank by score (equal scores, equal ranks).
+
+        A symbol is a character's code point, or PIECE plus the id of a longer piece.
+        """
+        symbol = lambda p: ord(p) if len(p) == 1 else PIECE + self.ids[p] if p in self.ids else -1
+        place = {x: k for k, x in enumerate(sorted({-x for x in self.score.values()}))}
+        rows = []
+        for p in self.ids:
+            for cut in range(1, len(p)):
+                left, right = symbol(p[:cut]), symbol(p[cut:])
+                if left >= 0 and right >= 0:
+                    rows.append(((left << 21) | right, symbol(p), place[-self.score[p]]))
+        keys, made, rank = (np.array(x, np.int64) for x in zip(*sorted(rows))) if rows else [np.zeros(0, np.int64)] * 3
+        return keys, made, rank
+
+    def _merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """merged() for many words at once: ids and sizes end to end, and the number of ids of each word.
+
+        All words' symbols lie in one array; each round makes the best merge of every word, the leftmost of equals.
+        """
+        none = np.iinfo(np.int64).max
+        keys, made, rank = self.pairs
+
+        def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = (left << 21) | right
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            return np.where(hit, rank[at], none) if len(keys) else np.full(len(key), none), made[at] if len(keys) else key
+
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        done_word, done = [], []
+        best = np.full(len(chars), none)
+        both = np.zeros(len(chars), np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1]) if len(word) else np.zeros(0, np.int64)
+        best[inner], both[inner] = look(chars[inner], chars[inner + 1])
+        while len(chars):
+            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(best, heads)
+            size = np.diff(np.append(heads, len(chars)))
+            live = np.repeat(least < none, size)
+            if not live.all():
+                done_word.append(word[~live])
+                done.append(chars[~live])
+                chars, word, best, both = chars[live], word[live], best[live], both[live]
+                size, least = size[least < none], least[least < none]
+                if not len(chars):
+                    break
+            hits = np.flatnonzero(best == np.repeat(least, size))
+            hits = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            chars[hits] = both[hits]
+            keep = np.ones(len(chars), bool)
+            keep[hits + 1] = False
+            hits = hits - np.arange(len(hits))
+            chars, word, best, both = chars[keep], word[keep], best[keep], both[keep]
+            # the merged symbol has new pairs with the one after it and the one before it
+            joined = np.append(word[1:] == word[:-1], False)
+            best[hits[~joined[hits]]] = none
+            left = np.concatenate([hits, hits[hits > 0] - 1])
+            left = left[joined[left]]
+            best[left], both[left] = look(chars[left], chars[left + 1])
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word, symbols = np.concatenate(done_word), np.concatenate(done)
+        order = np.argsort(word, kind="stable")
+        word, symbols = word[order], symbols[order]
+        kinds, which = np.unique(symbols, return_inverse=True)
+        ids, sizes = zip(*(self._spelled(self.strings[k - PIECE] if k >= PIECE else chr(k)) for k in kinds.tolist()))
+        length = np.array([len(x) for x in ids])
+        start = np.cumsum(length) - length
+        flat_ids, flat_sizes = (np.array([y for x in xs for y in x], np.int64) for xs in (ids, sizes))
+        count = length[which]
+        total = np.cumsum(count)
+        pick = np.repeat(start[which] - (total - count), count) + np.arange(total[-1])
+        return flat_ids[pick], flat_sizes[pick], np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
+
+    def _spelled(self, part: str) -> tuple[list[int], list[int]]:
+        """Ids of a part that nothing merges further, and the normalised bytes each covers; of byte pieces the last covers all."""
+        raw = part.encode()
+        if (i := self.ids.get(part)) is not None:
+            return [i], [len(raw)]
+        return [self.byte_id[b] for b in raw], [0] * (len(raw) - 1) + [len(raw)]
 
     def merged(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised word and the normalised bytes that each covers; of byte pieces the last one covers the character."""
-        parts = self._merge_few(word) if len(word) <= 400 else self._merge_many(word)
-        ids, sizes = [], []
-        for p in parts:
-            raw = p.encode()
-            if (i := self.ids.get(p)) is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            else:
-                ids += [self.byte_id[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-        return ids, sizes
-
-    def _merge_few(self, word: str) -> list[str]:
-        """Merge the best pair, the leftmost of equals, until none is a piece."""
-        none, score = -np.inf, self.score.get
-        parts = list(word)
-        ranks = [score(a + b, none) for a, b in zip(parts, parts[1:])]
-        while ranks and (best := max(ranks)) != none:
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = score(parts[i] + parts[i + 1], none)
-            if i:
-                ranks[i - 1] = score(parts[i - 1] + parts[i], none)
-        return parts
+        """Ids of a normalised word and the normalised bytes that each covers."""
+        spelled = [self._spelled(p) for p in self._merge_many(word)]
+        return [i for ids, _ in spelled for i in ids], [n for _, sizes in spelled for n in sizes]
 
     def _merge_many(self, word: str) -> list[str]:
-        """The same with a heap and linked neighbours, for long words."""
+        """Merge the best pair, the leftmost of equals, until none is a piece; with a heap and linked neighbours, for a long word."""
         parts: list[str] = list(word)
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         heap: list[tuple[float, int, int, str]] = []
@@ -252,13 +336,13 @@ class Codec:
             normal, source = [n for n, _ in pairs], np.concatenate([s for _, s in pairs]) if pairs else np.zeros(0, np.int32)
         else:
             normal, source = self._plain(*tx.utf8(column), texts)
-        known, learn, find = self.words.get, self._learn, self.chunks.findall
+        before, find = len(self.words), self.chunks.findall
         codes, ends = [], [0]
         for t in normal:
-            for w in find(t):
-                k = known(w)
-                codes.append(learn(w) if k is None else k)
+            codes += map(self.words.__getitem__, find(t))
             ends.append(len(codes))
+        if len(self.words) > before:
+            self._learn(list(itertools.islice(self.words, before, None)))
         codes = np.array(codes, np.int64)
         count = self.count[codes].astype(np.int64)
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
@@ -343,6 +427,34 @@ def encode(df: DataFrame, model_path: str, text: str = "text", drop_text: bool =
     return df.mapInArrow(run, schema)
 
 
+def recode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """df, without the text, with ids, their decoded text and the SHA-256 of their spans, in one pass.
+
+    spans_sha256 is over the begins and then the ends as little-endian 32-bit numbers.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    with open(model_path, "rb") as f:
+        model = spark.sparkContext.broadcast(f.read())
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType()), T.StructField("spans_sha256", T.StringType())]
+    names = tuple(f.name for f in new)
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in names and f.name != text), *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model.value)
+        for batch in batches:
+            for part in tx.slices(batch, text):
+                docs, *columns = c.encode(part.column(text))
+                ids, begins, ends = (v.astype("<i4") for v in columns)
+                bounds = list(zip(docs[:-1].tolist(), docs[1:].tolist()))
+                lists = pa.ListArray.from_arrays(pa.array(docs.astype(np.int32)), pa.array(ids))
+                texts = pa.array([c.decode(ids[a:b]) for a, b in bounds], pa.string())
+                spans = pa.array([hashlib.sha256(begins[a:b].tobytes() + ends[a:b].tobytes()).hexdigest() for a, b in bounds], pa.string())
+                yield _with(part, dict(zip(names, (lists, texts, spans))), (text,))
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of its ids; null ids give an empty text."""
     spark = df.sparkSession

@@ -20,13 +20,13 @@ def piece_model() -> str:
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = piece_model()
-    coded = piece_codec.decode(piece_codec.encode(docs, model, drop_text=True).select("doc_id", "ids"), model)
+    coded = piece_codec.recode(docs, piece_model())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "spans_sha256",
     )
 
 
