@@ -19,7 +19,7 @@ sort on the hash, which is uniform whatever the sources are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import fresh
@@ -61,6 +61,23 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     return both.select("source", "n", weight.alias("weight"), (F.col("all_n") * weight / F.col("n")).alias("rate"))
 
 
+def order_key(id_col: str, copy_no: Column, seed: str = "mix") -> Column:
+    """Where a copy stands in the global order: a hash of the id and the copy's number."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), copy_no.cast("string")))
+
+
+def restore_order(copies: DataFrame, id_col: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
+    """A mixed table that has lost copy_no, shuffle_key and its order (readers pack files by size): all three again.
+
+    A document's copies are alike, so which of them gets which number does not matter. Rows of one id and text are counted on
+    together, so copies of repeated rows get numbers of their own.
+    """
+    key = fresh(copies, "_text_hash")
+    alike = Window.partitionBy(id_col, key).orderBy(key)
+    numbered = copies.withColumn(key, F.xxhash64(text)).withColumn("copy_no", F.row_number().over(alike) - 1).drop(key)
+    return numbered.withColumn("shuffle_key", order_key(id_col, F.col("copy_no"), seed)).orderBy("shuffle_key", "copy_no")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, power: float = 0.5, seed: str = "mix") -> DataFrame:
     """docs repeated to the target weights, in one global hashed order, with n_copies, copy_no (from 0) and shuffle_key."""
     names = [c for c in docs.columns if c not in ("n_copies", "copy_no", "shuffle_key")]
@@ -75,5 +92,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
     count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, part: acc + draw(part))
     counted = rows.withColumn("n_copies", count).filter("n_copies > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
+    keyed = copies.withColumn("shuffle_key", order_key(id_col, F.col("copy_no"), seed))
     return keyed.select(*names, "n_copies", "copy_no", "shuffle_key").orderBy("shuffle_key", "copy_no")

@@ -323,3 +323,17 @@ def test_pipeline_against_brute_force(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     mixed = corpus_pipeline.mix_sources(spark, left, sf).groupBy("doc_id").count()
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {r.doc_id: r["count"] for r in mixed.collect()}
+    want = [(r.shuffle_key, r.doc_id, r.copy_no) for r in mixing.mix(left).collect()]
+    assert [(r.shuffle_key, r.doc_id, r.copy_no) for r in out.select("shuffle_key", "doc_id", "copy_no").collect()] == want
+
+
+def test_order_of_a_mix_is_restored(spark):
+    df = spark.range(300).selectExpr("id % 290 AS doc_id", "IF(id % 7 = 0, NULL, concat('t', id % 290)) AS text", "IF(id < 30, 'rare', 'common') AS source", "'x' AS _text_hash", "1 AS copy_no")
+    mixed = mixing.mix(df, weights={"rare": 0.5, "common": 0.5})
+    lost = mixed.select("doc_id", "text", "source", "_text_hash").repartition(7, "source")
+    got = [r.shuffle_key for r in mixing.restore_order(lost).collect()]
+    assert got == sorted(got) and len(got) == mixed.count()
+    once = mixing.mix(df.filter("doc_id >= 10"))
+    back = mixing.restore_order(once.select("doc_id", "text", "source").repartition(5))
+    assert [(r.doc_id, r.copy_no) for r in back.collect()] == [(r.doc_id, r.copy_no) for r in once.collect()]
+    assert mixing.restore_order(df.limit(0)).count() == 0
