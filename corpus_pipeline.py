@@ -41,9 +41,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids with the byte span of each piece."""
-    coded = piece_codec.encode(docs.select("doc_id", "source", "text"), piece_model(), drop_text=True)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends")
+    """SentencePiece ids with the byte span of each piece, in the order of the mix: its files come in that of shuffle_key."""
+    ordered = mixing.restore_order(docs.select("doc_id", "source", "text"))
+    coded = piece_codec.encode(ordered, piece_model(), drop_text=True)
+    return coded.select("shuffle_key", "copy_no", "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends")
 
 
 STAGES = [
