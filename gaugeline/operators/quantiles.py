@@ -1,14 +1,16 @@
 """Exact quantiles per group that do not need a whole group in one place.
 
-Linear interpolation between order statistics at p * (n - 1), as pandas does.
-Groups of a counted, moderate size use Spark's `percentile` aggregate in one
-pass. Beyond that a mergeable sketch brackets each rank, and only the values
-inside the bracket are ranked.
+Linear interpolation between order statistics at p * (n - 1), as pandas does. An order statistic is found by
+selection: a bracket of values that holds its rank is cut at points of a mergeable sketch, the rows of each piece are counted exactly,
+and the piece that holds the rank is the next bracket, until it has few enough rows to rank (or one value).
+The sketch only proposes where to cut, so the result is exact whatever its error. Groups that are small enough
+from the start need no cut: Spark's `percentile` ranks them in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from gaugeline.config import DEFAULT
 from gaugeline.operators.staging import join_dim, stage
 
-SKETCH_ACCURACY = 10_000
+PIECES = 64
+SKETCH_ACCURACY = 2_000
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -44,92 +47,82 @@ def exact_quantiles(
             F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"q_{c}") for c, ps in probs.items()
         ]
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    return _bracketed(df, keys, probs)
-
-
-def _bracketed(df: DataFrame, keys: list[str], probs: dict[str, Sequence[float]]) -> DataFrame:
-    spark = df.sparkSession
-    # 1. sketch: two values around every rank, with a margin of twice the sketch error
-    margin = 2.0 / SKETCH_ACCURACY
-    sketch_aggs: list[Column] = []
-    for c, ps in probs.items():
-        lows = [max(0.0, p - margin) for p in ps]
-        highs = [min(1.0, p + margin) for p in ps]
-        sketch_aggs += [
-            F.count(c).alias(f"n_{c}"),
-            F.percentile_approx(c, lows, SKETCH_ACCURACY).alias(f"lo_{c}"),
-            F.percentile_approx(c, highs, SKETCH_ACCURACY).alias(f"hi_{c}"),
-            F.min(c).alias(f"min_{c}"),
-            F.max(c).alias(f"max_{c}"),
-        ]
+    return _selected(df, keys, probs, max_group_rows)
+
+
+def _selected(df: DataFrame, keys: list[str], probs: dict[str, Sequence[float]], limit: int) -> DataFrame:
+    """exact_quantiles for groups of any size; no task ranks more than `limit` rows of a group."""
     group = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    base = base.select(*group, *probs)
-    bounds = stage(base.groupBy(*group).agg(*sketch_aggs), "quantile-bounds")
-
-    # 2. long form: one bracket per (group, column, probability)
-    brackets = []
-    for c, ps in probs.items():
-        for i, p in enumerate(ps):
-            target = F.lit(float(p)) * (F.col(f"n_{c}") - 1)
-            low = F.col(f"min_{c}") if p <= margin else F.get(f"lo_{c}", F.lit(i))
-            high = F.col(f"max_{c}") if p >= 1 - margin else F.get(f"hi_{c}", F.lit(i))
-            brackets.append(
-                F.struct(
-                    F.lit(c).alias("_column"),
-                    F.lit(i).alias("_i"),
-                    low.alias("_low"),
-                    high.alias("_high"),
-                    target.alias("_target"),
-                )
-            )
-    bracket_table = bounds.select(*group, F.inline(F.array(*brackets)))
-    per_group = bracket_table.groupBy(*group).agg(
-        F.collect_list(F.struct("_column", "_i", "_low", "_high", "_target")).alias("_brackets")
-    )
+    base = (df if keys else df.withColumn("_all", F.lit(0))).select(*group, *probs)
+    values = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in probs]
+    long = base.select(*group, F.inline(F.array(*values))).filter(F.col("_x").isNotNull())
+    one, each = [*group, "_column"], [*group, "_column", "_k"]
+
+    spans = long.groupBy(*one).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    asked = F.create_map(*[x for c, ps in probs.items() for x in (F.lit(c), F.array(*[F.lit(float(p)) for p in ps]))])
+    asked = spans.select("*", F.posexplode(asked[F.col("_column")]).alias("_i", "_p"))
+    asked = stage(asked.withColumn("_target", F.col("_p") * (F.col("_n") - 1)), "quantile-ranks")
+    # the ranks to find, each with the bracket that holds it and the number of values below that
+    ranks = asked.withColumn("_k", F.explode(F.array(F.floor("_target"), F.ceil("_target"))))
+    open_ = ranks.select(*each, "_low", "_high", F.lit(0).cast("bigint").alias("_below"), "_n").distinct()
+    small = (F.col("_n") <= limit) | (F.col("_low") == F.col("_high"))
+    closed = []
+    while True:
+        open_ = stage(open_, "brackets")
+        closed.append(open_.filter(small))
+        open_ = open_.filter(~small)
+        if open_.isEmpty():
+            break
+        open_ = _narrowed(long, open_, one, each)
+
+    brackets = reduce(DataFrame.unionAll, closed)
+    counts = _inside(long, brackets, one).groupBy(*each, "_below", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    found = _holding(counts, each, "_x").select(*each, "_x")
+    at = lambda side: found.withColumnsRenamed({"_k": f"_{side}", "_x": f"_at_{side}"})
+    placed = asked.withColumns({"_floor": F.floor("_target"), "_ceil": F.ceil("_target")})
+    placed = placed.join(at("floor"), [*one, "_floor"]).join(at("ceil"), [*one, "_ceil"])
+    above = F.col("_target") - F.col("_floor")
+    value = F.when(above == 0, F.col("_at_floor")).otherwise((1 - above) * F.col("_at_floor") + above * F.col("_at_ceil"))
+    pair = F.struct("_i", value.alias("_value"))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col("_column") == c, pair))), lambda s: s["_value"])
+    arrays = placed.groupBy(*group).agg(*[listed(c).alias(f"q_{c}") for c in probs])
+    out = base.select(*group).distinct().join(arrays, group, "left")
+    # a column without values has no quantiles
+    out = out.withColumns({f"q_{c}": F.when(F.size(f"q_{c}") > 0, F.col(f"q_{c}")) for c in probs})
+    return out if keys else out.drop("_all")
 
-    # 3. one pass: count what lies below each bracket, keep value counts inside it
-    long = base.select(
-        *group, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in probs]))
-    ).filter(F.col("_x").isNotNull())
-    joined = join_dim(long, per_group, group, how="inner", spread="_x")
-    hits = joined.withColumn(
-        "_b", F.explode(F.filter("_brackets", lambda b: (b["_column"] == F.col("_column")) & (F.col("_x") <= b["_high"])))
-    )
-    below = F.col("_x") < F.col("_b._low")
-    counts = hits.groupBy(
-        *group, "_column", F.col("_b._i").alias("_i"), F.when(~below, F.col("_x")).alias("_x")
-    ).agg(F.count(F.lit(1)).alias("_n"), F.max("_b._target").alias("_target"))
-
-    # 4. rank the bracket's distinct values; the row with null _x holds the count below
-    w = Window.partitionBy(*group, "_column", "_i").orderBy(F.col("_x").asc_nulls_first())
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = ranked.filter(F.col("_x").isNotNull())
-    floor, ceil = F.floor("_target"), F.ceil("_target")
-    start = F.col("_upto") - F.col("_n")
-    picked = inside.groupBy(*group, "_column", "_i").agg(
-        F.max("_target").alias("_target"),
-        F.max(F.when((start <= floor) & (floor < F.col("_upto")), F.col("_x"))).alias("_a"),
-        F.max(F.when((start <= ceil) & (ceil < F.col("_upto")), F.col("_x"))).alias("_b"),
-    )
-    found = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_target") - floor)
-    picked = picked.withColumn(
-        "_value", F.when(found, value).otherwise(F.raise_error(F.lit("quantile rank outside its sketch bracket")).cast("double"))
-    )
-    arrays = picked.groupBy(*group).agg(
-        *[
-            F.transform(
-                F.sort_array(F.collect_list(F.when(F.col("_column") == c, F.struct("_i", "_value")))),
-                lambda s: s["_value"],
-            ).alias(f"q_{c}")
-            for c in probs
-        ]
+
+def _inside(long: DataFrame, brackets: DataFrame, one: list[str]) -> DataFrame:
+    """The values within each bracket, with its other columns."""
+    rest = [c for c in brackets.columns if c not in (*one, "_n")]
+    per_group = brackets.groupBy(*one).agg(F.collect_list(F.struct(*rest)).alias("_brackets"))
+    met = join_dim(long, per_group, one, how="inner", spread="_x")
+    fits_in = lambda b: (F.col("_x") >= b["_low"]) & (F.col("_x") <= b["_high"])
+    return met.withColumn("_b", F.explode(F.filter("_brackets", fits_in))).select(*one, "_x", "_b.*")
+
+
+def _holding(counts: DataFrame, each: list[str], order: str) -> DataFrame:
+    """Of the counted pieces of each bracket, the one that holds its rank, with the number of values below it."""
+    upto = Window.partitionBy(*each).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_end", F.col("_below") + F.sum("_n").over(upto))
+    return placed.filter((F.col("_end") - F.col("_n") <= F.col("_k")) & (F.col("_k") < F.col("_end"))).withColumn("_below", F.col("_end") - F.col("_n"))
+
+
+def _narrowed(long: DataFrame, brackets: DataFrame, one: list[str], each: list[str]) -> DataFrame:
+    """Each bracket cut into pieces by value; what remains is the piece that holds the rank.
+
+    The highest value and the middle are always among the cuts, so a bracket of two values or more gets smaller.
+    """
+    shares = [(k + 1) / PIECES for k in range(PIECES - 1)]
+    sketch = _inside(long, brackets, one).groupBy(*each, "_low", "_high", "_below").agg(F.percentile_approx("_x", shares, SKETCH_ACCURACY).alias("_cuts"))
+    middle = F.col("_low") / 2 + F.col("_high") / 2
+    cuts = F.array_sort(F.array_distinct(F.concat("_cuts", F.array(middle, F.col("_high")))))
+    cut = stage(sketch.withColumn("_cuts", cuts), "cuts")
+    piece = F.size(F.filter("_cuts", lambda c: c <= F.col("_x")))
+    counts = _inside(long, cut, one).groupBy(*each, "_below", piece.alias("_piece")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
     )
-    out = bounds.select(*group).join(arrays, group, "left")
-    empty = F.array().cast("array<double>")
-    out = out.withColumns({f"q_{c}": F.when(F.coalesce(F.col(f"q_{c}"), empty) != empty, F.col(f"q_{c}")) for c in probs})
-    return out if keys else out.drop("_all")
+    return _holding(counts, each, "_piece").select(*each, "_low", "_high", "_below", "_n")
 
 
 def quantile_column(name: str, index: int = 0) -> Column:

@@ -36,6 +36,28 @@ def test_quantile_paths_agree(skewed, keys):
         np.testing.assert_allclose(np.stack(a[c]), np.stack(b[c]), rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("limit", [0, 1, 40])
+def test_selection_is_exact_whatever_the_values(spark, limit):
+    """Few distinct values, huge ranges, long tails, groups of one row; the sketch's error never shows."""
+    rng = np.random.default_rng(11)
+    columns = {
+        "a": rng.integers(0, 3, 3000).astype(float),
+        "b": rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000),
+        "c": np.where(rng.random(3000) < 0.9, 1.5, rng.random(3000)),
+        "d": np.where(rng.random(3000) < 0.3, np.nan, rng.exponential(size=3000)),
+    }
+    pdf = pd.DataFrame(columns | {"k": np.where(np.arange(3000) == 0, 9, rng.integers(0, 2, 3000) * 5)})
+    df = staging.stage(spark.createDataFrame(pdf).withColumn("d", F.nanvl("d", F.lit(None).cast("double"))).repartition(5), "values")
+    ps = [0.0, 0.1, 0.5, 0.987, 1.0]
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], {c: ps for c in columns}, limit).collect()}
+    for k, one in pdf.groupby("k"):
+        for c in columns:
+            want = one[c].dropna().quantile(ps)
+            assert got[k][f"q_{c}"] == (pytest.approx(list(want)) if len(one[c].dropna()) else None)
+    whole = quantiles.exact_quantiles(df, [], {"b": [0.5]}, limit).first()
+    assert whole.q_b == pytest.approx([pdf.b.quantile(0.5)])
+
+
 def test_quantile_of_empty_column_is_null(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 3.0)], "k int, x double")
     for limit in (10, 0):
