@@ -24,10 +24,8 @@ CAUSAL_SCHEMA = (
     "temperature_std_6h double, temperature_trend_6h double, previous_6h_median double, "
     "previous_12h_median double, running_length bigint, rule_score int, statistical_score int, temporal_score int"
 )
-HISTORY_SCHEMA = (
-    "times array<bigint>, temperature array<double>, humidity array<double>, pressure array<double>, "
-    "run_length bigint"
-)
+# readings are kept as the bytes of their arrays, so that no value is handled on its own
+HISTORY_SCHEMA = "times binary, temperature binary, humidity binary, pressure binary, run_length bigint"
 
 
 def causal_frame(df: pd.DataFrame, open_run: int, fresh_from: int, cfg: QCConfig = DEFAULT) -> pd.DataFrame:
@@ -44,11 +42,10 @@ def causal_frame(df: pd.DataFrame, open_run: int, fresh_from: int, cfg: QCConfig
     weights = (np.arange(6) - 2.5) / 17.5
     trend = sum(w * t.shift(5 - i) for i, w in enumerate(weights))
     same = (t == prev).to_numpy()
-    running = np.ones(len(df), dtype=np.int64)
-    run = open_run
-    for i in range(fresh_from, len(df)):
-        run = run + 1 if same[i] else 1
-        running[i] = run
+    place = np.arange(len(df))
+    # a run goes on from the last reading that differs from the one before it, or from the open run
+    start = np.maximum.accumulate(np.where(same | (place < fresh_from), -1, place))
+    running = np.where(start >= 0, place - start + 1, open_run + place - fresh_from + 1)
     out = pd.DataFrame(
         {
             "event_time": df["event_time"],
@@ -94,13 +91,12 @@ class InTimeOrder(StatefulProcessor):
     """
 
     fields: tuple[str, ...]
-    field_type: str
     once = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        held = ", ".join(f"{v} array<{self.field_type}>" for v in self.fields)
-        self.waiting = handle.getMapState("waiting", "day bigint", f"times array<bigint>, {held}")
+        held = ", ".join(f"{v} binary" for v in self.fields)
+        self.waiting = handle.getMapState("waiting", "day bigint", f"times binary, {held}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -156,15 +152,14 @@ class InTimeOrder(StatefulProcessor):
 
     @classmethod
     def pack(cls, df: pd.DataFrame) -> tuple:
-        number = int if cls.field_type == "int" else float
-        values = ([None if pd.isna(v) else number(v) for v in df[c]] for c in cls.fields)
-        return ([int(m) for m in _micros(df["event_time"])], *values)
+        values = (df[c].to_numpy(dtype=float, na_value=np.nan).tobytes() for c in cls.fields)
+        return (_micros(df["event_time"]).to_numpy(np.int64).tobytes(), *values)
 
     @classmethod
     def unpack(cls, held) -> pd.DataFrame:
         times, *values = held
-        columns = {c: np.array(v, dtype=float) for c, v in zip(cls.fields, values)}
-        return pd.DataFrame({"event_time": pd.to_datetime(list(times), unit="us"), **columns})
+        columns = {c: np.frombuffer(v, float) for c, v in zip(cls.fields, values)}
+        return pd.DataFrame({"event_time": pd.to_datetime(np.frombuffer(times, np.int64), unit="us"), **columns})
 
     @classmethod
     def finish(cls, station: int, days: list, kept) -> pd.DataFrame:
@@ -183,7 +178,7 @@ class CausalVotes(InTimeOrder):
     Of several readings at one time the first counts.
     """
 
-    fields, field_type, once = READINGS, "double", True
+    fields, once = READINGS, True
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -217,7 +212,7 @@ SCORE_SCHEMA = "score bigint"
 class HealthLedger(InTimeOrder):
     """Running health of a station: points fall by each penalty and stop at zero."""
 
-    fields, field_type = ("penalty",), "int"
+    fields = ("penalty",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
