@@ -2,35 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-import gaugeline
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    import tempfile
-
-    root = Path(gaugeline.__file__).resolve().parent
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.writestr(str(p.relative_to(root.parent)), p.read_bytes())
-    # addPyFile takes a file of the driver and serves it to the executors
-    folder = Path(tempfile.mkdtemp(prefix="gaugeline-ship-"))
-    (folder / "gaugeline_pkg.zip").write_bytes(blob.getvalue())
-    spark.sparkContext.addPyFile(str(folder / "gaugeline_pkg.zip"))
-    _SHIPPED.add(app)
+from gaugeline.shipping import ship as ship  # the operators of this package take it from here
 
 
 def fresh(df: DataFrame | Iterable[str], name: str) -> str:
