@@ -70,6 +70,7 @@ TRUTH_COLUMNS = (
 class QCConfig:
     """Thresholds of all operators, and the sizes that steer the physical plan."""
 
+    # The published thresholds, down to confidence_boost.
     # plausibility limits: a null reading is flagged
     temperature_limits: tuple[float, float] = (-50.0, 60.0)
     humidity_limits: tuple[float, float] = (0.0, 100.0)

@@ -310,6 +310,7 @@ def temporal_vote(spark, sf):
     )
 
 
+# What the two published forests read.
 FOREST_FEATURES = ["temperature", "pressure", "humidity"]
 FOREST_SHAPE_FEATURES = [
     "temperature",
