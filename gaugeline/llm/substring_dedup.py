@@ -1,26 +1,28 @@
-"""Substring dedup by window hashes under minimiser prefixes, in place of suffix trees.
+"""Substring dedup by prefix-partitioned suffix trees.
 
 Removes each word that lies in a window of `window` words whose word sequence also starts anywhere
-else, in this document or another. Suffixes are taken at anchors only, the
-smallest `PREFIX`-word gram of some window, and no suffixes are ordered: hashes of windows stand
-for the nodes at that depth. So every window has an anchor inside it and equal
-windows have equal anchors at equal places.
-
-1. Anchors: all texts give their anchors' grams; those that occur twice or more are the prefixes
-   under which anything can repeat. They go into a bounded filter.
-2. Suffix groups: texts give, for each anchor that passes, the windows that hang on it. The key
-   is the prefix: PREFIX words, or the whole window for the prefixes that more than GROUP anchors share
-   (variable length, so that groups fit in memory). Within a group, windows are paths of the
-   subtree; a path of full depth with two leaves or more is a deep internal node, a repeat.
-   A slice of documents finds its own repeats first and sends each distinct path once, so a
-   passage in a third of all documents is one row per slice.
-3. Repeats become word ranges of the documents that have them, and the ranges are cut out.
-
-Grams, windows and documents are known by 64, 64+64 and 128 bits of hash; nothing else is assumed. A
-document is named by the hash of its word sequence, so repeated rows and texts that differ only
+else, in this document or another: a word below an internal node of depth `window` or more of the suffix
+tree of all documents. The tree is never built whole; it is cut into subtrees by prefixes of variable length.
+
+1. Prefixes: a suffix that starts a window is filed under the window's anchor, its smallest `PREFIX`-word gram, so that
+   neighbouring suffixes share a prefix and travel as one row. Equal windows have equal anchors at equal places. Prefixes that
+   more than `group` suffixes have are drawn out by the first 16, then 24 words of the suffix, then by the whole window, one
+   counting job for each length, until groups fit in memory. Prefixes that occur once end no deep node and are dropped. Both
+   sets, repeated and too frequent, are Bloom filters of bounded size; a false positive gives a longer prefix or a row too
+   many, alike for all suffixes of that prefix, never another result.
+2. Subtrees: the rows of a prefix hold the words of their suffixes. Within a group, suffixes are ordered by prefix doubling (the
+   ranks of k words at two places give the rank of 2k words), and neighbours in that order whose first `window` words have
+   one rank hang under one node of that depth: a deep internal node if it has two leaves or more. A slice of documents finds its
+   own repeats first and sends one leaf for each distinct window, so a passage in a third of all documents is one row per slice.
+3. Maximal repeats: the leaves of deep nodes that follow each other in a document are one repeat, from its first word to its
+   last, across the borders of groups; `maximal_repeats` gives them with their true length, and `removed` cuts them out.
+
+Words, grams and prefixes are known by 64 bits of hash and documents by 128 bits; windows are compared word by word in a
+subtree, and by 64 bits within a slice. A document is named by the hash of its word sequence, so repeated rows and texts that differ only
 in white space share their ranges. Defined results: null, empty and blank texts have no words and keep
-none; documents shorter than the window lose nothing; ties do not arise; an empty table gives an
-empty one; extra columns are ignored by `removed` unless asked for.
+none; documents shorter than the window lose nothing; very long texts are a slice of their own, whose rows leave in
+pieces; ties do not arise; an empty table gives an empty one; extra columns are ignored by `removed` unless asked for. A
+window shorter than PREFIX words is refused.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ from gaugeline.operators.staging import stage
 
 WINDOW = 35
 PREFIX = 8
+LONGER = (16, 24)
 GROUP = 50_000
-MAX_LONG = 100_000
+PIECE_ROWS = 20_000
 U64 = np.uint64
 
 
@@ -103,122 +106,267 @@ def runs(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.concatenate([heads, [len(at)]]))
 
 
-def anchor_counts(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(gram, n): the anchor grams that occur at two places or more."""
+class Prefixes:
+    """How many words of a suffix its prefix takes: more for each filter of too frequent prefixes that it meets."""
+
+    def __init__(self, window: int, longer: tuple[int, ...] = LONGER):
+        self.window = window
+        self.lengths = [*(n for n in longer if PREFIX < n < window), window]
+        self.frequent: list[Bloom] = []
+
+    @property
+    def whole(self) -> bool:
+        """The longest prefixes counted so far are whole windows."""
+        return len(self.frequent) == len(self.lengths)
+
+    def keys(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix of each window of the slice, and which of them have the longest kind."""
+        key, open_ = s.least.copy(), np.arange(len(s.start))
+        for bloom, n in zip(self.frequent, self.lengths):
+            names, back = np.unique(key[open_], return_inverse=True)
+            open_ = open_[bloom.has(names)[back]]
+            key[open_] = tx.mix(key[open_] ^ tx.windows(s.h, n)[s.start[open_]])
+        return key, open_
+
+
+def prefix_counts(docs: DataFrame, text: str, prefixes: Prefixes) -> DataFrame:
+    """(prefix, n): the prefixes of the longest kind that two suffixes or more have."""
+    known = docs.sparkSession.sparkContext.broadcast(prefixes)  # filters of at most 32 MB each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = known.value
         for batch in batches:
             for part in tx.slices(batch, text):
-                grams, n = np.unique(Slice(part, text, window).anchors(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([tx.signed(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                s = Slice(part, text, kinds.window)
+                if not kinds.frequent:
+                    found = s.anchors()
+                elif len(s.start):
+                    key, longest = kinds.keys(s)
+                    found = key[longest]
+                else:
+                    continue
+                names, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([tx.signed(names), pa.array(n.astype(np.int64))], names=["prefix", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    return stage(counts.filter("n > 1"), "prefixes")
 
-    counts = docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return stage(counts.filter("n > 1"), "anchor-grams")
 
+LEAVES = "key bigint, d1 bigint, d2 bigint, place int, size int, words binary, told boolean"
+FOUND = "d1 bigint, d2 bigint, place int, size int"
 
-SUFFIXES = "key bigint, d1 bigint, d2 bigint, place int, size int, paths binary"
 
+def _rows(key, digest, place, size, words, told) -> pa.RecordBatch:
+    whole = lambda x: tx.signed(np.ascontiguousarray(x))
+    columns = [whole(key), whole(digest[:, 0]), whole(digest[:, 1]), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), words, pa.array(told)]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in LEAVES.split(", ")])
 
-def suffix_groups(docs: DataFrame, text: str, window: int, repeated: Bloom, long: np.ndarray) -> DataFrame:
-    """Rows of SUFFIXES: `size` windows from word `place` of a document on, with their paths under the prefix `key`.
 
-    Rows without paths are repeats that a slice found by itself.
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... for size[0] values, then the same for the others."""
+    return np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _blobs(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The values as one binary for each row of so many values."""
+    ends = np.concatenate([[0], np.cumsum(size) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def suffix_groups(docs: DataFrame, text: str, prefixes: Prefixes, repeated: Bloom) -> DataFrame:
+    """Rows of LEAVES: the suffixes at `size` places of a document from word `place` on, under the prefix `key`.
+
+    `words` are the hashes of the words of all their windows. Rows without words are repeats that a slice found by itself.
     """
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((repeated, np.sort(long)))
+    known = docs.sparkSession.sparkContext.broadcast((repeated, prefixes))
+    window = prefixes.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, heavy = known.value
+        bloom, kinds = known.value
         for batch in batches:
             for part in tx.slices(batch, text):
                 s = Slice(part, text, window)
                 if not len(s.start):
                     continue
-                grams, back = np.unique(s.least, return_inverse=True)
-                passes = bloom.has(grams)[back]
-                start, doc, gram = s.start[passes], s.doc[passes], s.least[passes]
+                key, _ = kinds.keys(s)
+                names, back = np.unique(key, return_inverse=True)
+                passes = bloom.has(names)[back]
+                start, doc, key = s.start[passes], s.doc[passes], key[passes]
                 if not len(start):
                     continue
-                path = tx.windows(s.h, window)[start]
                 digest = s.digests()
                 # repeats within the slice: all their places are known, one of them goes on
-                _, first, back, count = np.unique(path, return_index=True, return_inverse=True, return_counts=True)
+                _, first, back, count = np.unique(tx.windows(s.h, window)[start], return_index=True, return_inverse=True, return_counts=True)
                 place = start - s.first[doc]
                 own = count[back] > 1
                 heads, size = runs(doc[own], place[own])
-                rows = [(digest[doc[own][heads], 0], digest[doc[own][heads]], place[own][heads], size, None)]
+                yield _rows(digest[doc[own][heads], 0], digest[doc[own][heads]], place[own][heads], size, pa.nulls(len(heads), pa.binary()), np.ones(len(heads), bool))
                 sent = np.zeros(len(start), bool)
                 sent[first] = True
-                doc, place, gram, path = doc[sent], place[sent], gram[sent], path[sent]
-                is_long = np.isin(gram, heavy)
-                key = np.where(is_long, tx.mix(gram ^ path), gram)
-                # windows in a row under one prefix travel together
+                start, doc, place, key = start[sent], doc[sent], place[sent], key[sent]
+                # suffixes in a row under one prefix travel together
                 group = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (key[1:] != key[:-1])]))
                 heads, size = runs(group, place)
-                rows.append((key[heads], digest[doc[heads]], place[heads], size, np.split(path, heads[1:])))
-                for k, d, p, n, paths in rows:
-                    blobs = pa.nulls(len(k), pa.binary()) if paths is None else pa.array([x.tobytes() for x in paths], pa.binary())
-                    yield pa.RecordBatch.from_arrays([tx.signed(np.ascontiguousarray(k)), tx.signed(np.ascontiguousarray(d[:, 0])), tx.signed(np.ascontiguousarray(d[:, 1])), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), blobs], names=[f.split()[0] for f in SUFFIXES.split(", ")])
+                for i in range(0, len(heads), PIECE_ROWS):
+                    at, n = heads[i : i + PIECE_ROWS], size[i : i + PIECE_ROWS]
+                    words = _blobs(s.h[_spread(start[at], n + window - 1)], n + window - 1)
+                    yield _rows(key[at], digest[doc[at]], place[at], n, words, np.zeros(len(at), bool))
 
-    return docs.select(text).mapInArrow(run, SUFFIXES)
+    return docs.select(text).mapInArrow(run, LEAVES)
 
 
-def deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SUFFIXES sorted by key to ranges (d1, d2, place, size) of windows that repeat.
+def suffix_order(words: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of rows of size+window-1 words that start a window, ordered by their first `window` words.
 
-    A group is closed when the next key comes; of the group that a batch ends in, one leaf per path is
-    carried on (with a mark if it has been reported), so memory holds one batch and one subtree.
+    Gives the order, and for each place in it whether the suffix shares those words with the one before it.
+    """
+    length = size + window - 1
+    stop = np.repeat(np.cumsum(length), length)
+    here = np.arange(len(words))
+    rank = np.unique(words, return_inverse=True)[1]
+    k = 1
+    while 2 * k <= window:
+        after = np.where(here + k < stop, rank[np.minimum(here + k, len(words) - 1)] + 1, 0)
+        rank = np.unique(rank * (len(words) + 1) + after, return_inverse=True)[1]
+        k *= 2
+    start = _spread(np.cumsum(length) - length, size)
+    # two runs of k words cover the window
+    rank = rank[start] * len(words) + rank[start + window - k]
+    order = np.argsort(rank, kind="stable")
+    return order, np.concatenate([[False], np.diff(rank[order]) == 0])[: len(order)]
+
+
+def _leaves_of(table: pa.Table, window: int):
+    """The leaves of the table's rows: which hang under a deep node, and the first of each node."""
+    column = lambda c: table.column(c).to_numpy()
+    size = column("size").astype(np.int64)
+    words = np.frombuffer(b"".join(table.column("words").to_pylist()), U64)
+    order, same = suffix_order(words, size, window)
+    deep, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    deep[order] = same | np.concatenate([same[1:], [False]])
+    first[order] = ~same
+    row = np.repeat(np.arange(len(size)), size)
+    return size, words, row, deep, first
+
+
+def subtree(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Rows of FOUND: the runs of places whose suffixes hang under a deep internal node."""
+    size, _, row, deep, _ = _leaves_of(table, window)
+    column = lambda c: table.column(c).to_numpy()
+    deep &= ~column("told")[row]
+    place = _spread(column("place").astype(np.int64), size)[deep]
+    heads, n = runs(row[deep], place)
+    d1, d2 = (pa.array(column(c)[row[deep][heads]]) for c in ("d1", "d2"))
+    return pa.RecordBatch.from_arrays([d1, d2, pa.array(place[heads].astype(np.int32)), pa.array(n.astype(np.int32))], names=["d1", "d2", "place", "size"])
+
+
+def one_leaf_each(table: pa.Table, window: int) -> pa.Table:
+    """The table with one row for each distinct window, told if its place has been given out."""
+    size, words, row, deep, first = _leaves_of(table, window)
+    column = lambda c: table.column(c).to_numpy()
+    at = np.flatnonzero(first)
+    length = size + window - 1
+    start = _spread(np.cumsum(length) - length, size)[at]
+    told = (column("told")[row] | deep)[at]
+    place = _spread(column("place").astype(np.int64), size)[at]
+    n = np.ones(len(at), np.int64)
+    digest = np.stack([column("d1")[row[at]], column("d2")[row[at]]], axis=1)
+    return pa.Table.from_batches([_rows(column("key")[row[at]], digest, place, n, _blobs(words[_spread(start, n * window)], n * window), told)])
+
+
+def deep_nodes(window: int, group: int):
+    """Rows of LEAVES sorted by prefix to rows of FOUND.
+
+    A group is ordered when the next prefix comes. One that grows beyond `group` rows (only whole windows do, of which one
+    slice sends one leaf) gives out what it has and goes on with one leaf for each distinct window.
     """
-    carry = None
-
-    def report(d1, d2, place):
-        order = np.lexsort((place, d2, d1))
-        d1, d2, place = d1[order], d2[order], place[order]
-        fresh = np.ones(len(place), bool)
-        fresh[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (place[1:] != place[:-1])
-        d1, d2, place = d1[fresh], d2[fresh], place[fresh]
-        group = np.cumsum(np.concatenate([[0], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])) if len(d1) else d1
-        heads, size = runs(group, place)
-        return pa.RecordBatch.from_arrays([tx.signed(d1[heads]), tx.signed(d2[heads]), pa.array(place[heads].astype(np.int32)), pa.array(size.astype(np.int32))], names=["d1", "d2", "place", "size"])
-
-    for batch in batches:
-        if batch.column("paths").null_count:
-            ready = batch.filter(batch.column("paths").is_null()).select(["d1", "d2", "place", "size"])
-            batch = batch.filter(batch.column("paths").is_valid())
-            yield ready
-        if not batch.num_rows:
-            continue
-        long = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-        size = long("size").astype(np.int64)
-        path = np.frombuffer(b"".join(batch.column("paths").to_pylist()), U64)
-        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        leaf = [np.repeat(long("key").view(U64), size), path, np.repeat(long("d1").view(U64), size), np.repeat(long("d2").view(U64), size), np.repeat(long("place"), size) + offset, np.zeros(len(path), bool)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, limit = None, group
+        for batch in batches:
+            if batch.column("words").null_count:
+                yield batch.filter(batch.column("words").is_null()).select(["d1", "d2", "place", "size"])
+                batch = batch.filter(batch.column("words").is_valid())
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if carry is None else pa.concat_tables([carry, table])
+            key = table.column("key").to_numpy()
+            others = np.flatnonzero(key != key[-1])
+            cut = int(others[-1]) + 1 if len(others) else 0
+            if cut:
+                yield subtree(table.slice(0, cut), window)
+                limit = group
+            carry = table.slice(cut)
+            if carry.num_rows > limit:
+                yield subtree(carry, window)
+                carry = one_leaf_each(carry, window)
+                limit = max(group, 2 * carry.num_rows)
         if carry is not None:
-            leaf = [np.concatenate(x) for x in zip(carry, leaf)]
-        order = np.lexsort((leaf[1], leaf[0]))
-        key, path, d1, d2, place, told = (x[order] for x in leaf)
-        same = (key[1:] == key[:-1]) & (path[1:] == path[:-1])
-        node = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        new = node & ~told
-        yield report(d1[new], d2[new], place[new])
-        last = (key == batch.column("key")[-1].as_py() % (1 << 64)) & ~np.concatenate([[False], same])
-        carry = [key[last], path[last], d1[last], d2[last], place[last], (told | node)[last]]
+            yield subtree(carry, window)
+
+    return run
 
 
 def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(d1, d2, ranges): for each word sequence that has any, the runs of its repeated windows (first window, count)."""
+    if window < PREFIX:
+        raise ValueError(f"window must have {PREFIX} words or more")
     spark = docs.sparkSession
     ship(spark)
-    grams = anchor_counts(docs, text, window)
-    long = grams.filter(F.col("n") > group).orderBy(F.desc("n"), "gram").limit(MAX_LONG).select("gram").collect()
-    bloom = build(grams, "gram", grams.count())
-    rows = suffix_groups(docs, text, window, bloom, np.array([r.gram for r in long], np.int64).view(U64))
+    prefixes = Prefixes(window)
+    counts = prefix_counts(docs, text, prefixes)
+    known = counts
+    while not prefixes.whole:
+        frequent = counts.filter(F.col("n") > group)
+        n = frequent.count()
+        if not n:
+            break
+        prefixes.frequent.append(build(frequent, "prefix", n))
+        counts = prefix_counts(docs, text, prefixes)
+        known = known.unionByName(counts)
+    rows = suffix_groups(docs, text, prefixes, build(known, "prefix", known.count()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(deep_nodes, "d1 bigint, d2 bigint, place int, size int")
+    found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(deep_nodes(window, group), FOUND)
     lists = found.distinct().groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("ranges"))
     return stage(lists, "repeats")
 
 
+def stretches(ranges: list, window: int) -> list[tuple[int, int]]:
+    """Sorted (first window, count) to the maximal runs of repeated windows, as (first word, words)."""
+    out: list[list[int]] = []
+    for place, size in ranges:
+        if out and place <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], place + size)
+        else:
+            out.append([place, place + size])
+    return [(a, b - a + window - 1) for a, b in out]
+
+
+def maximal_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """(id, start, n_words): every longest stretch of a document's words all of whose windows occur elsewhere, one row each."""
+    found = repeats(docs, text, window, group)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch, "_text"):
+                digest = Slice(part, "_text", window).digests()
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *(tx.signed(np.ascontiguousarray(digest[:, k])) for k in (0, 1))], names=["_id", "d1", "d2"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [stretches([(x["place"], x["size"]) for x in r], window) for r in batch.column("ranges").to_pylist()]
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            start, n = (pa.array([x[k] for one in lists for x in one], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(row, pa.int64())), start, n], names=[id, "start", "n_words"])
+
+    kind = docs.schema[id].dataType
+    source = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    named = source.mapInArrow(name, T.StructType([T.StructField("_id", kind), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+    out = T.StructType([T.StructField(id, kind), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())])
+    return named.join(found, ["d1", "d2"]).select("_id", "ranges").mapInArrow(spell, out)
+
+
 def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, group: int = GROUP, with_text: bool = True) -> DataFrame:
     """The columns `keep`, then n_words, n_removed, kept_sha256 and (with_text) the kept words joined by one space."""
     spark = docs.sparkSession
@@ -232,8 +380,8 @@ def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         n = len(words)
         if ranges:
             gone = np.zeros(n, bool)
-            for place, size in ranges:
-                gone[place : place + size + window - 1] = True
+            for start, size in stretches(ranges, window):
+                gone[start : start + size] = True
             words = [w for w, g in zip(words, gone.tolist()) if not g]
         kept = b" ".join(words)
         return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None

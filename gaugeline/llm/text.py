@@ -101,20 +101,16 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_ROOT = 0xD1342543DE82EF95
-_INVERSE = pow(_ROOT, -1, 1 << 64)
-
-
 def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """As ngrams, in a few passes whatever n is: a polynomial of the word hashes, by prefix sums modulo 2**64."""
+    """As ngrams, in about log2(n) passes: the hashes of k words at two places give that of 2k words, mixed at each step."""
     if len(h) < n:
         return np.zeros(0, U64)
-    power = np.full(len(h), _ROOT, U64)
-    power[0] = 1
-    back = np.full(len(h) - n + 1, _INVERSE, U64)
-    back[0] = 1
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(h * np.cumprod(power))])
-    return mix((total[n:] - total[:-n]) * np.cumprod(back) + U64(n))
+    out, k = h, 1
+    while k < n:
+        step = min(k, n - k)
+        out = mix(out[: len(out) - step] * U64(0x9E3779B97F4A7C15) + mix(out[step:] + U64(step)))
+        k += step
+    return out
 
 
 def inside(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

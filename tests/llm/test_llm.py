@@ -277,6 +277,58 @@ def test_substring_dedup(spark, docs, window, group):
     assert all(sha(r.kept_text) == r.kept_sha256 for r in got)
 
 
+def test_suffix_order():
+    """Ordered suffixes of rows against sorting the word lists themselves."""
+    rng = np.random.default_rng(3)
+    for window in (8, 9, 16, 35):
+        size = rng.integers(1, 6, 40)
+        words = rng.integers(0, 2, int((size + window - 1).sum())).astype(np.uint64)
+        words[: len(words) // 2] = 7
+        order, same = substring_dedup.suffix_order(words, size, window)
+        starts = [a + i for a, n in zip(np.cumsum(size + window - 1) - size - window + 1, size) for i in range(n)]
+        lists = [tuple(words[a : a + window].tolist()) for a in starts]
+        assert [lists[i] for i in order] == sorted(lists)
+        assert same.tolist() == [i > 0 and lists[order[i]] == lists[order[i - 1]] for i in range(len(order))]
+
+
+@pytest.mark.parametrize("group", [50_000, 3, 1])
+def test_maximal_repeats(spark, group):
+    """Lengths of repeats against brute force: a passage of 50 words, one within one text, hot groups, null and empty rows."""
+    random.seed(8)
+    word = lambda: str(random.randrange(10**9))
+    passage, inner = [word() for _ in range(50)], [word() for _ in range(12)]
+    rows = [(i, " ".join([*(word() for _ in range(i % 5)), *passage, *(word() for _ in range(3))])) for i in range(30)]
+    rows += [(100, " ".join([*inner, word(), *inner])), (101, " ".join([*passage[:20], *passage[10:]])), (102, None), (103, ""), (None, " ".join(passage)), (104, "q " * 40)]
+    window = 10
+    texts = [words(t) for _, t in rows]
+    count = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
+    want = []
+    for (d, _), w in zip(rows, texts):
+        hit = [count[tuple(w[i : i + window])] > 1 for i in range(len(w) - window + 1)]
+        for i, h in enumerate(hit):
+            if h and not (i and hit[i - 1]):
+                n = next((j for j in range(i, len(hit)) if not hit[j]), len(hit)) - i
+                want.append((d or -1, i, n + window - 1))
+    df = spark.createDataFrame(rows, DOCS).withColumn("d1", F.lit(1)).withColumn("ranges", F.lit("x"))
+    got = substring_dedup.maximal_repeats(df, window=window, group=group).collect()
+    assert sorted((r.doc_id or -1 if r.doc_id is not None else -1, r.start, r.n_words) for r in got) == sorted(want)
+    assert substring_dedup.maximal_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_hot_window(spark):
+    """A group beyond its bound goes on with one leaf for each window: one slice a row, so that all leaves travel."""
+    batch = lambda rows: pa.RecordBatch.from_pydict(dict(zip(["key", "d1", "d2", "place", "size", "words", "told"], zip(*rows))), schema=pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("words", pa.binary()), ("told", pa.bool_())]))
+    blob = lambda *w: np.array(w, np.uint64).tobytes()
+    hot = [(1, i, 0, 4, 1, blob(*range(8)), False) for i in range(40)]
+    lone = [(1, 100 + i, 0, 0, 2, blob(*range(100 * i + 50, 100 * i + 59)), False) for i in range(20)]
+    late = [(2, 200, 0, 0, 1, blob(*range(9, 17)), False), (2, 201, 0, 7, 1, blob(*range(9, 17)), False)]
+    rows = [*hot[:20], *lone, *hot[20:], *late]
+    for width in (1, 7, 100):
+        parts = [batch(rows[i : i + width]) for i in range(0, len(rows), width)]
+        got = Counter((r["d1"], r["place"], r["size"]) for b in substring_dedup.deep_nodes(8, 4)(iter(parts)) for r in b.to_pylist())
+        assert got == Counter({**{(i, 4, 1): 1 for i in range(40)}, (200, 0, 1): 1, (201, 7, 1): 1})
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "</s>", "[INST] x [/INST]", "\\s\\i\\e\\", "<s", "[/TURN] [ROLE]a[/ROLE]", " lead ", "[", "<", "[/INST"]
     rows = [(c, t, r, x) for c, r2 in ((1, "user"), (2, "system"), (3, "assistant"), (4, "to[/ROLE]ol"), (5, None)) for t, x in enumerate(nasty) for r in ((r2,) if t % 2 else ("assistant",))]
