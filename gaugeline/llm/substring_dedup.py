@@ -106,6 +106,14 @@ def runs(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, np.diff(np.concatenate([heads, [len(at)]]))
 
 
+def held(bloom: Bloom, key: np.ndarray) -> np.ndarray:
+    """bloom.has, asked once for each run of equal keys."""
+    if not len(key):
+        return np.zeros(0, bool)
+    heads = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    return np.repeat(bloom.has(key[heads]), np.diff(np.concatenate([heads, [len(key)]])))
+
+
 class Prefixes:
     """How many words of a suffix its prefix takes: more for each filter of too frequent prefixes that it meets."""
 
@@ -123,8 +131,9 @@ class Prefixes:
         """The prefix of each window of the slice, and which of them have the longest kind."""
         key, open_ = s.least.copy(), np.arange(len(s.start))
         for bloom, n in zip(self.frequent, self.lengths):
-            names, back = np.unique(key[open_], return_inverse=True)
-            open_ = open_[bloom.has(names)[back]]
+            open_ = open_[held(bloom, key[open_])]
+            if not len(open_):
+                break
             key[open_] = tx.mix(key[open_] ^ tx.windows(s.h, n)[s.start[open_]])
         return key, open_
 
@@ -176,7 +185,8 @@ def _blobs(values: np.ndarray, size: np.ndarray) -> pa.Array:
 def suffix_groups(docs: DataFrame, text: str, prefixes: Prefixes, repeated: Bloom) -> DataFrame:
     """Rows of LEAVES: the suffixes at `size` places of a document from word `place` on, under the prefix `key`.
 
-    `words` are the hashes of the words of all their windows. Rows without words are repeats that a slice found by itself.
+    `words` are the hashes of the words of all their windows, or empty where the prefix spells the whole window. Rows with null
+    words are repeats that a slice found by itself.
     """
     known = docs.sparkSession.sparkContext.broadcast((repeated, prefixes))
     window = prefixes.window
@@ -188,10 +198,11 @@ def suffix_groups(docs: DataFrame, text: str, prefixes: Prefixes, repeated: Bloo
                 s = Slice(part, text, window)
                 if not len(s.start):
                     continue
-                key, _ = kinds.keys(s)
-                names, back = np.unique(key, return_inverse=True)
-                passes = bloom.has(names)[back]
-                start, doc, key = s.start[passes], s.doc[passes], key[passes]
+                key, longest = kinds.keys(s)
+                lone = np.zeros(len(key), bool)
+                lone[longest] = kinds.whole
+                passes = held(bloom, key)
+                start, doc, key, lone = s.start[passes], s.doc[passes], key[passes], lone[passes]
                 if not len(start):
                     continue
                 digest = s.digests()
@@ -203,13 +214,14 @@ def suffix_groups(docs: DataFrame, text: str, prefixes: Prefixes, repeated: Bloo
                 yield _rows(digest[doc[own][heads], 0], digest[doc[own][heads]], place[own][heads], size, pa.nulls(len(heads), pa.binary()), np.ones(len(heads), bool))
                 sent = np.zeros(len(start), bool)
                 sent[first] = True
-                start, doc, place, key = start[sent], doc[sent], place[sent], key[sent]
+                start, doc, place, key, lone = start[sent], doc[sent], place[sent], key[sent], lone[sent]
                 # suffixes in a row under one prefix travel together
-                group = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (key[1:] != key[:-1])]))
+                group = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (key[1:] != key[:-1]) | lone[1:] | lone[:-1]]))
                 heads, size = runs(group, place)
                 for i in range(0, len(heads), PIECE_ROWS):
                     at, n = heads[i : i + PIECE_ROWS], size[i : i + PIECE_ROWS]
-                    words = _blobs(s.h[_spread(start[at], n + window - 1)], n + window - 1)
+                    length = np.where(lone[at], 0, n + window - 1)
+                    words = _blobs(s.h[_spread(start[at], length)], length)
                     yield _rows(key[at], digest[doc[at]], place[at], n, words, np.zeros(len(at), bool))
 
     return docs.select(text).mapInArrow(run, LEAVES)
@@ -236,42 +248,57 @@ def suffix_order(words: np.ndarray, size: np.ndarray, window: int) -> tuple[np.n
     return order, np.concatenate([[False], np.diff(rank[order]) == 0])[: len(order)]
 
 
-def _leaves_of(table: pa.Table, window: int):
-    """The leaves of the table's rows: which hang under a deep node, and the first of each node."""
-    column = lambda c: table.column(c).to_numpy()
-    size = column("size").astype(np.int64)
-    words = np.frombuffer(b"".join(table.column("words").to_pylist()), U64)
-    order, same = suffix_order(words, size, window)
-    deep, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    deep[order] = same | np.concatenate([same[1:], [False]])
-    first[order] = ~same
-    row = np.repeat(np.arange(len(size)), size)
-    return size, words, row, deep, first
+class Leaves:
+    """The suffixes of a table's rows: which hang under a deep node, and which come first in their node."""
+
+    def __init__(self, table: pa.Table, window: int):
+        self.table = table
+        size = self.column("size").astype(np.int64)
+        blobs = table.column("words").to_pylist()
+        self.words = np.frombuffer(b"".join(blobs), U64)
+        self.length = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.place = _spread(self.column("place").astype(np.int64), size)
+        self.offset = _spread(np.cumsum(self.length) - self.length, size)
+        self.spelled = self.length[self.row] == 0
+        self.deep, self.first = np.zeros(len(self.row), bool), np.zeros(len(self.row), bool)
+        by_words = np.flatnonzero(~self.spelled)
+        if len(by_words):
+            order, same = suffix_order(self.words, size[self.length > 0], window)
+            self._mark(by_words[order], same)
+        # prefixes that spell the whole window are the nodes themselves; the rows are in their order
+        by_prefix = np.flatnonzero(self.spelled)
+        if len(by_prefix):
+            key = self.column("key")[self.row[by_prefix]]
+            self._mark(by_prefix, np.concatenate([[False], key[1:] == key[:-1]]))
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def _mark(self, leaf: np.ndarray, same: np.ndarray) -> None:
+        self.deep[leaf] = same | np.concatenate([same[1:], [False]])
+        self.first[leaf] = ~same
 
 
 def subtree(table: pa.Table, window: int) -> pa.RecordBatch:
     """Rows of FOUND: the runs of places whose suffixes hang under a deep internal node."""
-    size, _, row, deep, _ = _leaves_of(table, window)
-    column = lambda c: table.column(c).to_numpy()
-    deep &= ~column("told")[row]
-    place = _spread(column("place").astype(np.int64), size)[deep]
-    heads, n = runs(row[deep], place)
-    d1, d2 = (pa.array(column(c)[row[deep][heads]]) for c in ("d1", "d2"))
+    leaves = Leaves(table, window)
+    new = leaves.deep & ~leaves.column("told")[leaves.row]
+    row, place = leaves.row[new], leaves.place[new]
+    heads, n = runs(row, place)
+    d1, d2 = (pa.array(leaves.column(c)[row[heads]]) for c in ("d1", "d2"))
     return pa.RecordBatch.from_arrays([d1, d2, pa.array(place[heads].astype(np.int32)), pa.array(n.astype(np.int32))], names=["d1", "d2", "place", "size"])
 
 
 def one_leaf_each(table: pa.Table, window: int) -> pa.Table:
     """The table with one row for each distinct window, told if its place has been given out."""
-    size, words, row, deep, first = _leaves_of(table, window)
-    column = lambda c: table.column(c).to_numpy()
-    at = np.flatnonzero(first)
-    length = size + window - 1
-    start = _spread(np.cumsum(length) - length, size)[at]
-    told = (column("told")[row] | deep)[at]
-    place = _spread(column("place").astype(np.int64), size)[at]
-    n = np.ones(len(at), np.int64)
-    digest = np.stack([column("d1")[row[at]], column("d2")[row[at]]], axis=1)
-    return pa.Table.from_batches([_rows(column("key")[row[at]], digest, place, n, _blobs(words[_spread(start, n * window)], n * window), told)])
+    leaves = Leaves(table, window)
+    at = np.flatnonzero(leaves.first)
+    row, length = leaves.row[at], np.where(leaves.spelled[at], 0, window)
+    words = _blobs(leaves.words[_spread(leaves.offset[at], length)], length)
+    digest = np.stack([leaves.column(c)[row] for c in ("d1", "d2")], axis=1)
+    told = leaves.column("told")[row] | leaves.deep[at]
+    return pa.Table.from_batches([_rows(leaves.column("key")[row], digest, leaves.place[at], np.ones(len(at), np.int64), words, told)])
 
 
 def deep_nodes(window: int, group: int):

@@ -322,11 +322,12 @@ def test_one_hot_window(spark):
     hot = [(1, i, 0, 4, 1, blob(*range(8)), False) for i in range(40)]
     lone = [(1, 100 + i, 0, 0, 2, blob(*range(100 * i + 50, 100 * i + 59)), False) for i in range(20)]
     late = [(2, 200, 0, 0, 1, blob(*range(9, 17)), False), (2, 201, 0, 7, 1, blob(*range(9, 17)), False)]
-    rows = [*hot[:20], *lone, *hot[20:], *late]
+    spelled = [(3, 300 + i, 0, 0, 1, b"", False) for i in range(9)]
+    rows = [*hot[:20], *lone, *hot[20:], *late, *spelled, (4, 400, 0, 0, 1, b"", False)]
     for width in (1, 7, 100):
         parts = [batch(rows[i : i + width]) for i in range(0, len(rows), width)]
         got = Counter((r["d1"], r["place"], r["size"]) for b in substring_dedup.deep_nodes(8, 4)(iter(parts)) for r in b.to_pylist())
-        assert got == Counter({**{(i, 4, 1): 1 for i in range(40)}, (200, 0, 1): 1, (201, 7, 1): 1})
+        assert got == Counter({**{(i, 4, 1): 1 for i in range(40)}, (200, 0, 1): 1, (201, 7, 1): 1, **{(300 + i, 0, 1): 1 for i in range(9)}})
 
 
 def test_chat_round_trip(spark):
