@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +44,9 @@ def _by_variable(severity: Column) -> Column:
 
 
 def unit_hash(*cols: Column, seed: int = 42) -> Column:
-    """Uniform number in (0, 1) from the row's keys; the same under any partitioning."""
-    return (F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
+    """Uniform number in (0, 1) from the row's keys, by MD5: the same under any partitioning and in any SQL engine."""
+    key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
 def gauss_hash(*cols: Column, seed: int = 42) -> Column:
@@ -274,24 +274,44 @@ def _choose(options, *key: Column, seed: int) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), index)
 
 
-def _first_free(pdf: pd.DataFrame, one_per: str | None) -> pd.DataFrame:
-    """Go through candidates in draw order and keep those that overlap none kept before."""
-    kept: list[int] = []
-    spans: dict[int, list[tuple]] = {}
-    placed: set = set()
-    ordered = pdf.sort_values(["turn", "draw", "station_id", "start_ts"], kind="stable").reset_index(drop=True)
-    for i, row in enumerate(ordered.itertuples()):
-        if one_per and getattr(row, one_per) in placed:
-            continue
-        end = row.start_ts + pd.Timedelta(hours=int(row.duration))
-        mine = spans.setdefault(row.station_id, [])
-        if any(row.start_ts < e and end > s for s, e in mine):
-            continue
-        mine.append((row.start_ts, end))
-        kept.append(i)
+def first_free(candidates: DataFrame, one_per: str | None = None) -> DataFrame:
+    """The candidates that overlap none chosen before them, in the order (turn, draw, station_id, start_ts).
+
+    With `one_per`, at most one for each of its values. Chosen in rounds: a candidate stands if no open one before it is in
+    conflict with it, and what conflicts with those that stand drops out. The first open candidate always stands, so the
+    rounds end, and the result is that of going through them one by one. With random draws a round settles a
+    fixed share of the candidates, so the rounds grow with the logarithm of their number. Repeated rows are one candidate.
+    """
+    names = candidates.columns
+    rank = F.struct("turn", "draw", "station_id", "start_ts").alias("rank")
+    end = F.timestamp_add("HOUR", F.col("duration").cast("int"), F.col("start_ts"))
+    open_ = stage(candidates.dropDuplicates(["turn", "draw", "station_id", "start_ts"]).select("*", rank), "open")
+    width = BUCKET_HOURS * 3600
+    buckets = F.sequence(F.floor(epoch_seconds("start_ts") / width), F.floor(epoch_seconds("end_ts") / width))
+    spans = open_.select("station_id", "rank", "start_ts", end.alias("end_ts")).withColumn("bucket", F.explode(buckets))
+    a, b = spans.alias("a"), spans.alias("b")
+    meet = (F.col("a.station_id") == F.col("b.station_id")) & (F.col("a.bucket") == F.col("b.bucket"))
+    overlap = (F.col("a.start_ts") < F.col("b.end_ts")) & (F.col("a.end_ts") > F.col("b.start_ts"))
+    pairs = a.join(b, meet & overlap & (F.col("a.rank") < F.col("b.rank")))
+    pairs = stage(pairs.select(F.col("a.rank").alias("first"), F.col("b.rank").alias("rank")).distinct(), "conflicts")
+    chosen = None
+    while True:
+        live = pairs.join(open_.select(F.col("rank").alias("first")), "first", "left_semi")
+        stands = open_.join(live.select("rank"), "rank", "left_anti")
         if one_per:
-            placed.add(getattr(row, one_per))
-    return ordered.loc[kept]
+            # the first of all open ones of its turn, or an earlier one may yet stand
+            leads = open_.groupBy(one_per).agg(F.min("rank").alias("rank")).select("rank")
+            stands = stands.join(leads, "rank", "left_semi")
+        stands = stage(stands.select(*names, "rank"), "chosen")
+        if stands.isEmpty():
+            break
+        chosen = stands if chosen is None else chosen.unionByName(stands)
+        gone = pairs.join(stands.select(F.col("rank").alias("first")), "first", "left_semi").select("rank")
+        left = open_.join(stands.select("rank").unionByName(gone), "rank", "left_anti")
+        if one_per:
+            left = left.join(stands.select(one_per), one_per, "left_anti")
+        open_ = stage(left.select(*names, "rank"), "open")
+    return (open_ if chosen is None else chosen).select(*names)
 
 
 def random_schedule(df: DataFrame, n_faults: int = 100, seed: int = 42, tries_per_fault: int = 10) -> DataFrame:
@@ -299,7 +319,7 @@ def random_schedule(df: DataFrame, n_faults: int = 100, seed: int = 42, tries_pe
 
     Candidates are the readings with the lowest hashes, so the schedule does not
     depend on partitioning; there are n_faults * tries_per_fault of them in all.
-    Overlaps are resolved per station in draw order.
+    Overlaps are resolved in draw order.
     """
     key = [F.col("station_id"), F.col("ts").cast("string")]
     drawn = df.select("station_id", "ts", unit_hash(*key, seed=seed).alias("draw"))
@@ -318,7 +338,7 @@ def random_schedule(df: DataFrame, n_faults: int = 100, seed: int = 42, tries_pe
         _choose(FAULT_DURATIONS, *key, seed=seed + 3).cast("bigint").alias("duration"),
         _choose(SEVERITIES, *key, seed=seed + 4).alias("severity"),
     )
-    free = candidates.groupBy("station_id").applyInPandas(lambda pdf: _first_free(pdf, None), candidates.schema)
+    free = first_free(candidates)
     return _numbered(free.orderBy("draw", "station_id", "start_ts").limit(n_faults))
 
 
@@ -371,12 +391,8 @@ def one_of_each_schedule(
         .distinct()
     )
     open_ = candidates.join(blocked, ["station_id", "start_ts", "turn"], "left_anti").select(*candidates.columns)
-    # at most combos * tries rows; a later combination must see the earlier ones
-    names = candidates.columns
-    placed = open_.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        lambda pdf: _first_free(pdf, "turn")[names], candidates.schema
-    )
-    return _numbered(placed)
+    # a later combination must see the earlier ones
+    return _numbered(first_free(open_, "turn"))
 
 
 def _numbered(schedule: DataFrame) -> DataFrame:

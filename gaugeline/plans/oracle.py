@@ -371,6 +371,30 @@ def _detectors_union(select: str) -> str:
     return " UNION ALL ".join(f"SELECT '{d}' AS detector, " + select.format(d=d) + " FROM votes" for d in names)
 
 
+def _unit(key: str, seed: int = 42) -> str:
+    """A number in (0, 1) from the MD5 of the key."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', {key}, {seed})), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+
+def _greedy(one_per_turn: bool) -> str:
+    """open -> chosen, going through the candidates one by one."""
+    placed = "k.turn = c.turn OR " if one_per_turn else ""
+    return f""",
+cand AS (SELECT station_id, variable, fault, turn, draw, ts AS start_ts, CAST(([1,2,3,4,6])[CAST(floor(u3 * 5) AS INT) + 1] AS BIGINT) AS duration,
+                (['mild','moderate','severe'])[CAST(floor(u4 * 3) AS INT) + 1] AS severity,
+                row_number() OVER (ORDER BY turn, draw, station_id, ts) AS i FROM open),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, turn BIGINT, station_id BIGINT, start_ts TIMESTAMP, end_ts TIMESTAMP)[]) AS kept
+  UNION ALL
+  SELECT c.i, CASE WHEN len(list_filter(w.kept, lambda k: {placed}(k.station_id = c.station_id AND c.start_ts < k.end_ts AND c.start_ts + to_hours(c.duration) > k.start_ts))) > 0
+                   THEN w.kept
+                   ELSE list_append(w.kept, CAST(struct_pack(i := c.i, turn := c.turn, station_id := c.station_id, start_ts := c.start_ts, end_ts := c.start_ts + to_hours(c.duration))
+                                                 AS STRUCT(i BIGINT, turn BIGINT, station_id BIGINT, start_ts TIMESTAMP, end_ts TIMESTAMP))) END
+  FROM walk w JOIN cand c ON c.i = w.i + 1),
+chosen AS (SELECT cand.*, row_number() OVER (ORDER BY i) AS seq FROM cand
+           WHERE i IN (SELECT unnest(list_transform(kept, lambda k: k.i)) FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)))"""
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
 
@@ -545,6 +569,24 @@ b0 AS (SELECT station_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR T
 b1 AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM b0),
 b AS (SELECT station_id, min(ts) - INTERVAL 1 HOUR AS region_start, max(ts) + INTERVAL 1 HOUR AS region_end, count(*) AS n_rows FROM b1 GROUP BY station_id, island)"""
     add("fault_islands", isl, "b")
+    draws = OBS + f""",
+h AS (SELECT station_id, ts, {_unit("station_id, ts")} AS draw FROM obs),
+d AS (SELECT station_id, ts, draw, 0 AS turn, {_unit("station_id, ts", 43)} AS u1, {_unit("station_id, ts", 44)} AS u2,
+             {_unit("station_id, ts", 45)} AS u3, {_unit("station_id, ts", 46)} AS u4
+      FROM (SELECT * FROM h ORDER BY draw, station_id, ts LIMIT 1000)),
+open AS (SELECT *, (['spike','drop','frozen','drift','missing','multivariate'])[CAST(floor(u2 * 6) AS INT) + 1] AS fault,
+             CASE WHEN fault = 'multivariate' THEN 'temperature' ELSE (['temperature','humidity','pressure'])[CAST(floor(u1 * 3) AS INT) + 1] END AS variable FROM d)"""
+    add("fault_schedule", "RECURSIVE " + draws.strip() + _greedy(False), "chosen", "WHERE seq <= 100")
+    each = isl + f""",
+ranked AS (SELECT station_id, ts, row_number() OVER w AS rn, count(*) OVER (PARTITION BY station_id) AS n FROM faulty WINDOW w AS (PARTITION BY station_id ORDER BY ts)),
+combo AS (SELECT unnest(range(10)) AS turn),
+h AS (SELECT station_id, ts, turn, (['humidity','pressure'])[turn // 5 + 1] AS variable, (['spike','frozen','drift','noise','missing'])[turn % 5 + 1] AS fault,
+             {_unit("station_id, ts, turn")} AS draw FROM ranked, combo WHERE rn > 200 AND rn <= n - 200),
+d AS (SELECT *, {_unit("station_id, ts, turn", 45)} AS u3, {_unit("station_id, ts, turn", 46)} AS u4
+      FROM h QUALIFY row_number() OVER (PARTITION BY turn ORDER BY draw, station_id, ts) <= 200),
+open AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.station_id = d.station_id AND d.ts < b.region_end
+           AND d.ts + to_hours(CAST(([1,2,3,4,6])[CAST(floor(u3 * 5) AS INT) + 1] AS BIGINT)) > b.region_start))"""
+    add("fault_schedule_each", "RECURSIVE " + each.strip() + _greedy(True), "chosen")
     add("fault_summary", FAULTY, "(SELECT fault_type, fault_severity, count(*) AS n_rows FROM faulty GROUP BY 1, 2)")
     types = ("normal", "temperature_spike", "temperature_drop", "temperature_frozen", "temperature_drift", "temperature_missing", "multivariate_inconsistency")
     add("fault_crosstab", FAULTY, "(SELECT station_id, " + ", ".join(f"count(CASE WHEN fault_type = '{t}' THEN 1 END) AS {t}" for t in types) + " FROM faulty GROUP BY 1)")

@@ -114,6 +114,8 @@ SHAPES: dict[str, str] = {
     "inject_overlap": _INJECTED,
     "invalid_specs": "station_id seq start_row duration problem",
     "schedule_overlaps": "seq station_id",
+    "fault_schedule": "seq variable fault station_id start_ts duration severity",
+    "fault_schedule_each": "seq variable fault station_id start_ts duration severity",
     "fault_islands": "station_id region_start region_end n_rows",
     "fault_summary": "fault_type fault_severity n_rows",
     "fault_crosstab": "station_id normal temperature_spike temperature_drop temperature_frozen temperature_drift temperature_missing multivariate_inconsistency",

@@ -163,6 +163,27 @@ def test_schedule_never_overlaps(spark, sf):
     assert inject.overlapping_specs(got).count() == 0
 
 
+@pytest.mark.parametrize("one_per", [None, "turn"])
+def test_first_free_is_the_greedy_choice(spark, one_per):
+    """Rounds against going through the candidates one by one: ties of draws, repeated rows, a station with most of them."""
+    rng = np.random.default_rng(1)
+    t0 = pd.Timestamp("2024-01-01")
+    rows = [(int(rng.choice([1, 1, 1, 2, 3])), t0 + pd.Timedelta(hours=int(rng.integers(0, 60))), float(rng.integers(0, 5)), int(rng.integers(0, 6)), int(rng.choice([1, 3, 9]))) for _ in range(150)]
+    rows = {(r[0], r[1], r[2], r[3]): r for r in rows}.values()
+    names = ["station_id", "start_ts", "draw", "turn", "duration"]
+    want, turns = [], set()
+    for s, at, d, t, n in sorted(rows, key=lambda r: (r[3], r[2], r[0], r[1])):
+        end = at + pd.Timedelta(hours=n)
+        if (one_per and t in turns) or any(k[0] == s and at < k[1] + pd.Timedelta(hours=k[4]) and end > k[1] for k in want):
+            continue
+        want.append((s, at, d, t, n))
+        turns.add(t)
+    df = spark.createDataFrame(pd.DataFrame([*rows, *list(rows)[:20]], columns=names))
+    got = inject.first_free(df, one_per).toPandas()
+    assert sorted(got[names].itertuples(index=False, name=None)) == sorted(want)
+    assert inject.first_free(df.limit(0), one_per).count() == 0
+
+
 def test_one_of_each_avoids_taken_regions(spark, sf):
     df = staging.stage(demo.faulty(spark, sf), "faulty")
     taken = inject.fault_islands(df)
