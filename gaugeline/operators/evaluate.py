@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import NORMAL, VOTES
 from gaugeline.functions.columns import true_family
-from gaugeline.operators.staging import fits, stage
+from gaugeline.operators.staging import stage
 from gaugeline.schema import require_columns
 
 TRUTH = "is_anomaly"
@@ -85,30 +84,26 @@ def prf_by_group(df: DataFrame, by: str, pred: str, truth: str = TRUTH) -> DataF
     return per.withColumns(prf_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def roc_auc(df: DataFrame, score: str, truth: str = TRUTH, buckets: int = 256, single_pass_rows: int = 200_000) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, truth: str = TRUTH, part_scores: int = 500_000) -> DataFrame:
     """Area under the ROC curve with ties counted half; null when one class is absent.
 
-    Rows are first reduced to distinct scores. Many distinct scores are cut into
-    buckets at approximate quantiles, ranked inside the buckets and linked by the
-    buckets' totals, so no task sees them all.
+    Rows are first reduced to distinct scores, which are dealt in order to parts of about `part_scores`; a score's rank is the
+    part's offset, from one total per part, and its place within the part. No task sees more than one part.
     """
     kept = df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
     counts = kept.groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(truth) == 1).alias("_pos"), F.count_if(F.col(truth) == 0).alias("_neg")
     )
     counts = stage(counts, "scores")
-    if fits(counts, single_pass_rows):
-        cut = counts.withColumn("_bucket", F.lit(0.0))
-    else:
-        cuts = counts.approxQuantile("_s", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        cut = Bucketizer(splits=splits, inputCol="_s", outputCol="_bucket").transform(counts)
-    totals = cut.groupBy("_bucket").agg(F.sum("_neg").alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
-    totals = totals.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.count() // part_scores + 1
+    # written once, so that both branches below see the same parts
+    dealt = stage(counts.repartitionByRange(parts, "_s").withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(F.sum("_neg").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_base") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))
-    linked = cut.join(F.broadcast(totals), "_bucket")  # at most `buckets` rows
+    linked = dealt.join(F.broadcast(totals), "_part")  # one row per part
     wins = linked.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / 2))
     sums = wins.agg(F.sum("_wins").alias("_u"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg")))

@@ -546,6 +546,10 @@ evf AS (
     # injection
     add("inject_spike_abs", row_faulty("55e0", "spike", 1), "faulty")
     add("inject_drift_rows", row_faulty("temperature + 1e0 * step", "drift", 6), "faulty")
+    timed = faulty("s.fault = 'drift'").replace("v + i * ([0.2e0, 0.5e0, 1e0])[sev + 1]", f"v + ([1, -1, 1, 1, -1, 1])[(i - 1) % 6 + 1] * magnitude * (0.4e0 + 0.6e0 * {_unit('station_id, seq, i')})").replace("variable || '_' || fault", "variable || '_noise'")
+    normal = f"sqrt(-2e0 * ln({_unit('station_id, station_id, step')})) * cos(2e0 * pi() * {_unit('station_id, station_id, step', 43)})"
+    noisy = ",\n".join(f"{form} AS (WITH {ctes.strip()} SELECT station_id, ts, temperature, original_temperature, is_anomaly, fault_type, '{form}' AS form FROM faulty)" for form, ctes in (("timed", timed), ("rows", row_faulty(f"temperature + 2e0 * {normal}", "noise", 6))))
+    add("inject_noise", noisy.replace("rows AS (WITH", '"rows" AS (WITH'), '(FROM timed UNION ALL FROM "rows")')
     add("inject_frozen_rows", row_faulty("first_value(temperature) OVER (PARTITION BY station_id, hit ORDER BY rn)", "frozen", 6), "faulty")
     add("inject_missing_rows", row_faulty("CAST(NULL AS DOUBLE)", "missing", 4), "faulty")
     for f in ("spike", "drop", "frozen", "drift", "missing", "multivariate"):

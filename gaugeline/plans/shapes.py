@@ -109,6 +109,7 @@ SHAPES: dict[str, str] = {
     "inject_missing": _INJECTED,
     "inject_multivariate": _INJECTED,
     "inject_drift_rows": _INJECTED,
+    "inject_noise": "station_id ts ~temperature ~original_temperature is_anomaly fault_type form",
     "inject_frozen_rows": _INJECTED,
     "inject_missing_rows": _INJECTED,
     "inject_overlap": _INJECTED,
