@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import DEFAULT, NORMAL, QCConfig
 from gaugeline.operators.detectors import check_feature_list
+from gaugeline.operators.inject import unit_hash
 from gaugeline.operators.profile import impute_median
 from gaugeline.operators.slices import interpolate
 
@@ -77,16 +78,28 @@ def with_ml_features(df: DataFrame) -> DataFrame:
     return df.withColumns({n: c for n, c in wanted.items() if n not in df.columns})
 
 
+def fit_rows(df: DataFrame, features: Sequence[str] = ML_FEATURES, max_rows: int = 20_000_000, seed: int = 42) -> DataFrame:
+    """What the corrector learns from: complete rows diagnosed as normal.
+
+    Of more than `max_rows` it takes about so many, those with the lowest hashes of (station_id, ts): each station and time of
+    day stays in by its share, and the choice does not depend on partitioning.
+    """
+    rows = with_ml_features(df).filter(F.col("diagnosed_fault") == NORMAL).dropna(subset=[*features, "temperature"])
+    share = max_rows / max(rows.count(), 1)
+    return rows if share >= 1 else rows.filter(unit_hash(F.col("station_id"), F.col("ts"), seed=seed) < share)
+
+
 def fit_corrector(
     df: DataFrame,
     features: Sequence[str] = ML_FEATURES,
     trees: int = 200,
     depth: int = 10,
     seed: int = 42,
+    max_fit_rows: int = 20_000_000,
 ) -> PipelineModel:
-    """Regression forest for temperature, learned from rows diagnosed as normal only."""
+    """Regression forest for temperature, learned from at most about `max_fit_rows` rows diagnosed as normal."""
     features = check_feature_list(features)
-    train = with_ml_features(df).filter(F.col("diagnosed_fault") == NORMAL).dropna(subset=[*features, "temperature"])
+    train = fit_rows(df, features, max_fit_rows, seed)
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol="temperature",

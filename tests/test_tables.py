@@ -317,6 +317,16 @@ def test_corrector_refuses_truth(spark, series):
         correction.fit_corrector(series({1: [1]}), ["original_temperature"])
 
 
+def test_corrector_rows_by_hash(spark, series):
+    df = series({s: range(200) for s in range(10)}).withColumn("diagnosed_fault", F.when(F.hour("ts") == 0, "SPIKE").otherwise("NORMAL"))
+    features = ["humidity", "pressure", "hour"]
+    every = correction.fit_rows(df, features).count()
+    some = [{(r.station_id, r.ts) for r in correction.fit_rows(x, features, 400).collect()} for x in (df, df.repartition(7, "ts"))]
+    assert some[0] == some[1] and 300 < len(some[0]) < 500 < every < 2000
+    assert correction.fit_rows(df, features, 600).count() > len(some[0])
+    assert correction.fit_rows(df.limit(0), features, 10).count() == 0
+
+
 def test_corrections_only_where_flagged(spark, sf):
     fixed = staging.stage(demo.corrected(spark, sf), "fixed")
     moved = ~F.col("temperature_corrected").eqNullSafe(F.col("temperature"))
