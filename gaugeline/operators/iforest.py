@@ -11,7 +11,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
@@ -212,8 +212,24 @@ def fit_iforest(
     if contamination == "auto":
         return forest
     scored = stage(forest.score(rows).select("isolation_raw"), "forest-scores")
-    cut = exact_quantiles(scored, [], {"isolation_raw": [1.0 - float(contamination)]}, cfg.percentile_group_rows, n)
-    return IsolationForest(forest.nodes, forest.features, filled, psi, cut.first()[0][0])
+    return replace(forest, offset=_cut(scored, contamination, cfg))
+
+
+def _cut(scored: DataFrame, contamination: float, cfg: QCConfig) -> float:
+    """The score that the given share of rows lies above; rows without any keep the default."""
+    cut = exact_quantiles(scored.select("isolation_raw"), [], {"isolation_raw": [1.0 - float(contamination)]}, cfg.percentile_group_rows).first()[0]
+    return cut[0] if cut else IsolationForest.offset
+
+
+def fit_and_flag(
+    df: DataFrame, features: Sequence[str], contamination: float | str, name: str = "isolation_score", cfg: QCConfig = DEFAULT, **fit
+) -> tuple[DataFrame, IsolationForest]:
+    """Fit on the rows of df and flag them: each row walks the trees once, and the cut comes from those stored scores."""
+    forest = fit_iforest(df, features, "auto", cfg=cfg, **fit)
+    scored = stage(forest.score(df), "forest")
+    if contamination != "auto":
+        forest = replace(forest, offset=_cut(scored, contamination, cfg))
+    return scored.withColumn(name, F.when(F.col("isolation_raw") > forest.offset, 1).otherwise(0)), forest
 
 
 def _hashed_samples(rows: DataFrame, n: int, psi: int, trees: int, seed: int) -> DataFrame:
@@ -241,8 +257,7 @@ def isolation_ensemble(
     df: DataFrame, features: Sequence[str], contamination: float = 0.05, cfg: QCConfig = DEFAULT, **fit
 ) -> tuple[DataFrame, IsolationForest]:
     """Fit and score the same rows; add the flag and the score scaled to [0, 1]."""
-    forest = fit_iforest(df, features, contamination, cfg=cfg, **fit)
-    scored = stage(forest.flag(df, "isolation_anomaly"), "forest")
+    scored, forest = fit_and_flag(df, features, contamination, "isolation_anomaly", cfg, **fit)
     low, high = scored.agg(F.min("isolation_raw"), F.max("isolation_raw")).first()
     scaled = (F.col("isolation_raw") - F.lit(low)) / F.lit(high - low + 1e-9)
     return scored.withColumn("ml_anomaly_score", scaled), forest

@@ -837,8 +837,8 @@ def model_agreement(spark, sf):
 def model_agreement_forest(spark, sf):
     """A forest on engineered features against one on the three readings."""
     df = stage(demo.voted(spark, sf), "votes")
-    old = iforest.fit_iforest(df, FOREST_FEATURES, contamination=_observed_rate(df)).flag(df, "old_flag")
-    new = iforest.fit_iforest(df, FOREST_SHAPE_FEATURES, contamination=_observed_rate(df)).flag(old, "new_flag")
+    old = iforest.fit_and_flag(df, FOREST_FEATURES, _observed_rate(df), "old_flag")[0]
+    new = iforest.fit_and_flag(old, FOREST_SHAPE_FEATURES, _observed_rate(df), "new_flag")[0]
     return evaluate.model_agreement(new, "old_flag", "new_flag")
 
 

@@ -279,6 +279,15 @@ def test_forest_finds_outliers_and_ignores_partitioning(cloud):
     assert out.isolation_score.sum() == pytest.approx(20, abs=2)
 
 
+@pytest.mark.parametrize("contamination", ["auto", 0.01])
+def test_forest_flags_from_one_scoring(cloud, contamination):
+    want = iforest.fit_iforest(cloud, FEATURES, contamination, trees=20)
+    flagged, forest = iforest.fit_and_flag(cloud, FEATURES, contamination, "hit", trees=20)
+    assert forest.offset == want.offset
+    a, b = (x.orderBy("station_id", "ts").toPandas() for x in (want.flag(cloud, "hit"), flagged))
+    pd.testing.assert_frame_equal(a, b[a.columns])
+
+
 def test_forest_survives_saving(cloud, spark):
     forest = iforest.fit_iforest(cloud, FEATURES, trees=20)
     path = staging.new_table_path(spark, "forest")
