@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from gaugeline.llm import hard_negatives, periodic_runs, queries, secret_scan
-from test_llm import secrets_brute, words
+from test_llm import cut_brute, secrets_brute, words
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 SCHEMAS = {
@@ -112,6 +112,19 @@ def test_secret_scan_of_a_long_log(spark, folder):
     assert r.n_hex == 200_000 and time.time() - start < 60
 
 
+def test_substring_dedup(spark, folder, sf):
+    """The registered query against counting all windows of 35 words."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [doc(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    own = [f"a b {passage} c", f"{passage} z", " ".join(["r"] * 80), passage.replace("p30", "x"), "", None, " \n"]
+    rows += [doc(90_000 + i, t) for i, t in enumerate(own)]
+    want = {d: (n, gone, kept) for d, n, gone, kept in cut_brute([(r[0], r[1]) for r in rows], 35)}
+    got = run(spark, "op8_substring_dedup", folder("'x' AS ranges", documents=rows)).collect()
+    assert len(got) == len(rows) == len(want)
+    assert {r.doc_id or -1: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert want[90_000][1] == 60 and want[90_002][1] == 80 and want[90_003][1] == 0
+
+
 def looped(i, w):
     h = zlib.crc32(str(i).encode()) if i is not None else 1
     n, g = len(w), h // 10
