@@ -11,8 +11,8 @@ assembled from them by numpy indexing.
 Supported: BPE models with byte fallback; others are refused. Defined results: a null text is
 empty and has no pieces; white-space-only texts and texts of any length are whole; repeated rows
 are encoded each; an empty table gives an empty one; extra columns pass through, and columns
-named like the output are replaced. Memory per task: one Arrow batch, one slice of about 2 MB of
-text (or one longer document) and a word table of at most WORD_TABLE entries, then rebuilt.
+named like the output are replaced. Memory per task: one Arrow batch, one slice of about SLICE_BYTES of
+text (or one longer document) and a word table of WORD_TABLE entries and one slice's words at most, then rebuilt.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from gaugeline.llm import text as tx
 from gaugeline.llm.common import ship
 
 MARK = "▁"
-WORD_TABLE = 500_000
+# a worker outlives its stage and keeps its table, next to a JVM that has grown to its whole heap
+WORD_TABLE = 150_000
+SLICE_BYTES = 512 << 10
 DECODE_ROWS = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 BPE = 2
@@ -400,6 +402,14 @@ def codec(model: bytes) -> Codec:
     return _CODECS[key]
 
 
+def _coded(c: Codec, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """Slices of the batches, each with the offsets of its documents in the pieces and [ids, begins, ends]."""
+    for batch in batches:
+        for part in tx.slices(batch, text, SLICE_BYTES):
+            docs, *columns = c.encode(part.column(text))
+            yield part, docs, columns
+
+
 def _with(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
     kept = [c for c in batch.schema.names if c not in new and c not in drop]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new.values()], names=[*kept, *new])
@@ -417,12 +427,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", drop_text: bool =
     schema = T.StructType([*kept, *(T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model.value)
-        for batch in batches:
-            for part in tx.slices(batch, text):
-                docs, *columns = c.encode(part.column(text))
-                at = pa.array(docs.astype(np.int32))
-                yield _with(part, {n: pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for n, v in zip(names, columns)}, drop)
+        for part, docs, columns in _coded(codec(model.value), batches, text):
+            at = pa.array(docs.astype(np.int32))
+            yield _with(part, {n: pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for n, v in zip(names, columns)}, drop)
 
     return df.mapInArrow(run, schema)
 
@@ -442,15 +449,13 @@ def recode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
-        for batch in batches:
-            for part in tx.slices(batch, text):
-                docs, *columns = c.encode(part.column(text))
-                ids, begins, ends = (v.astype("<i4") for v in columns)
-                bounds = list(zip(docs[:-1].tolist(), docs[1:].tolist()))
-                lists = pa.ListArray.from_arrays(pa.array(docs.astype(np.int32)), pa.array(ids))
-                texts = pa.array([c.decode(ids[a:b]) for a, b in bounds], pa.string())
-                spans = pa.array([hashlib.sha256(begins[a:b].tobytes() + ends[a:b].tobytes()).hexdigest() for a, b in bounds], pa.string())
-                yield _with(part, dict(zip(names, (lists, texts, spans))), (text,))
+        for part, docs, columns in _coded(c, batches, text):
+            ids, begins, ends = (v.astype("<i4") for v in columns)
+            bounds = list(zip(docs[:-1].tolist(), docs[1:].tolist()))
+            lists = pa.ListArray.from_arrays(pa.array(docs.astype(np.int32)), pa.array(ids))
+            texts = pa.array([c.decode(ids[a:b]) for a, b in bounds], pa.string())
+            spans = pa.array([hashlib.sha256(begins[a:b].tobytes() + ends[a:b].tobytes()).hexdigest() for a, b in bounds], pa.string())
+            yield _with(part, dict(zip(names, (lists, texts, spans))), (text,))
 
     return df.mapInArrow(run, schema)
 

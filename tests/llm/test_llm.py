@@ -68,6 +68,25 @@ def test_piece_codec_equals_library(spark, docs):
         assert r.decoded == lib.decode(r.ids)
 
 
+def test_piece_codec_memory():
+    """Encoding 8 MB of ever new words takes a bounded part of a worker's memory, whatever the size of the batch, and loses no row."""
+    import tracemalloc
+
+    c = piece_codec.Codec(Path(queries.piece_model()).read_bytes())
+    texts = [" ".join(f"{(7919 * (400 * i + j)) % 10**9:09d}" for j in range(400)) for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    try:
+        before, rows, pieces = tracemalloc.get_traced_memory()[0], 0, 0
+        for part, docs, (ids, _, _) in piece_codec._coded(c, iter([batch]), "text"):
+            rows, pieces = rows + part.num_rows, pieces + len(ids)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and pieces > 800_000
+    assert peak < 100e6, peak
+
+
 def test_character_map_equals_library():
     import sentencepiece
 
