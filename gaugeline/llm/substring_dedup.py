@@ -6,8 +6,8 @@ tree of all documents. The tree is never built whole; it is cut into subtrees by
 
 1. Prefixes: a suffix that starts a window is filed under the window's anchor, its smallest `PREFIX`-word gram, so that
    neighbouring suffixes share a prefix and travel as one row. Equal windows have equal anchors at equal places. Prefixes that
-   more than `group` suffixes have are drawn out by the first 16, then 24 words of the suffix, then by the whole window, one
-   counting job for each length, until groups fit in memory. Prefixes that occur once end no deep node and are dropped. Both
+   more than `group` suffixes have are drawn out by the first 16, then 24 words of the suffix, then by the whole window, until
+   groups fit in memory; one job more counts all three lengths. Prefixes that occur once end no deep node and are dropped. Both
    sets, repeated and too frequent, are Bloom filters of bounded size; a false positive gives a longer prefix or a row too
    many, alike for all suffixes of that prefix, never another result.
 2. Subtrees: the rows of a prefix hold the words of their suffixes. Within a group, suffixes are ordered by prefix doubling (the
@@ -59,14 +59,37 @@ def _running(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return x
 
 
-class Slice:
-    """The words, windows and anchors of a slice of documents."""
+class Words:
+    """The words of a slice of documents."""
 
-    def __init__(self, part: pa.RecordBatch, text: str, window: int):
+    def __init__(self, part: pa.RecordBatch, text: str):
         data, at = tx.utf8(part.column(text))
         starts, ends, self.first = tx.words(data, at)
         self.h = tx.word_hashes(data, starts, ends)
         self.n_words = np.diff(self.first)
+
+    def digests(self) -> np.ndarray:
+        """Two 64-bit hashes of each document's word sequence."""
+        out = np.zeros((len(self.n_words), 2), U64)
+        for k in range(len(out)):
+            raw = hashlib.blake2b(self.h[self.first[k] : self.first[k + 1]].tobytes(), digest_size=16).digest()
+            out[k] = np.frombuffer(raw, U64)
+        return out
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """tx.windows(self.h, n)[at] for ascending places, from the stretches around them if those are less than all words."""
+        heads, size = runs(np.zeros(len(at), np.int64), at)
+        length = size + n - 1
+        if int(length.sum()) >= len(self.h):
+            return tx.windows(self.h, n)[at]
+        return tx.windows(self.h[_spread(at[heads], length)], n)[_spread(np.cumsum(length) - length, size)]
+
+
+class Slice(Words):
+    """Its windows and anchors too."""
+
+    def __init__(self, part: pa.RecordBatch, text: str, window: int):
+        super().__init__(part, text)
         self.start, self.doc = tx.inside(self.first, window)
         self.spread = window - PREFIX + 1
         self.window = window
@@ -88,14 +111,6 @@ class Slice:
         padded = np.concatenate([np.zeros(self.spread - 1, U64), valid, np.zeros(self.spread - 1, U64)])
         return self.grams[_running(padded, self.spread, np.maximum)[: len(self.grams)] == self.grams]
 
-    def digests(self) -> np.ndarray:
-        """Two 64-bit hashes of each document's word sequence."""
-        out = np.zeros((len(self.n_words), 2), U64)
-        for k in range(len(out)):
-            raw = hashlib.blake2b(self.h[self.first[k] : self.first[k + 1]].tobytes(), digest_size=16).digest()
-            out[k] = np.frombuffer(raw, U64)
-        return out
-
 
 def runs(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted (group, at): first index of each run of consecutive places, and its length."""
@@ -134,33 +149,50 @@ class Prefixes:
             open_ = open_[held(bloom, key[open_])]
             if not len(open_):
                 break
-            key[open_] = tx.mix(key[open_] ^ tx.windows(s.h, n)[s.start[open_]])
+            key[open_] = tx.mix(key[open_] ^ s.hashes(s.start[open_], n))
         return key, open_
 
+    def longer(self, s: Slice) -> Iterator[np.ndarray]:
+        """The prefixes of each longer kind, of all windows whose anchors are too frequent."""
+        open_ = np.flatnonzero(held(self.frequent[0], s.least))
+        key = s.least[open_]
+        for n in self.lengths:
+            key = tx.mix(key ^ s.hashes(s.start[open_], n))
+            yield key
+
 
-def prefix_counts(docs: DataFrame, text: str, prefixes: Prefixes) -> DataFrame:
-    """(prefix, n): the prefixes of the longest kind that two suffixes or more have."""
-    known = docs.sparkSession.sparkContext.broadcast(prefixes)  # filters of at most 32 MB each
+def prefix_counts(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """(prefix, n): the anchors that two suffixes or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = known.value
         for batch in batches:
             for part in tx.slices(batch, text):
-                s = Slice(part, text, kinds.window)
-                if not kinds.frequent:
-                    found = s.anchors()
-                elif len(s.start):
-                    key, longest = kinds.keys(s)
-                    found = key[longest]
-                else:
-                    continue
-                names, n = np.unique(found, return_counts=True)
+                names, n = np.unique(Slice(part, text, window).anchors(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([tx.signed(names), pa.array(n.astype(np.int64))], names=["prefix", "n"])
 
     counts = docs.select(text).mapInArrow(run, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
     return stage(counts.filter("n > 1"), "prefixes")
 
 
+def longer_counts(docs: DataFrame, text: str, prefixes: Prefixes) -> DataFrame:
+    """(kind, prefix, n): the prefixes of all longer kinds (from 1) that two suffixes or more under too frequent anchors have.
+
+    One pass for all kinds: passes over the text cost more than counting kinds that turn out not to be needed.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(prefixes)  # a filter of at most 32 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = known.value
+        for batch in batches:
+            for part in tx.slices(batch, text):
+                for k, found in enumerate(kinds.longer(Slice(part, text, kinds.window)), 1):
+                    names, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), tx.signed(names), pa.array(n.astype(np.int64))], names=["kind", "prefix", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "kind int, prefix bigint, n bigint").groupBy("kind", "prefix").agg(F.sum("n").alias("n"))
+    return stage(counts.filter("n > 1"), "longer-prefixes")
+
+
 LEAVES = "key bigint, d1 bigint, d2 bigint, place int, size int, words binary, told boolean"
 FOUND = "d1 bigint, d2 bigint, place int, size int"
 
@@ -207,7 +239,7 @@ def suffix_groups(docs: DataFrame, text: str, prefixes: Prefixes, repeated: Bloo
                     continue
                 digest = s.digests()
                 # repeats within the slice: all their places are known, one of them goes on
-                _, first, back, count = np.unique(tx.windows(s.h, window)[start], return_index=True, return_inverse=True, return_counts=True)
+                _, first, back, count = np.unique(s.hashes(start, window), return_index=True, return_inverse=True, return_counts=True)
                 place = start - s.first[doc]
                 own = count[back] > 1
                 heads, size = runs(doc[own], place[own])
@@ -342,16 +374,16 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, group: in
     spark = docs.sparkSession
     ship(spark)
     prefixes = Prefixes(window)
-    counts = prefix_counts(docs, text, prefixes)
-    known = counts
-    while not prefixes.whole:
-        frequent = counts.filter(F.col("n") > group)
-        n = frequent.count()
-        if not n:
-            break
+    known = prefix_counts(docs, text, window)
+    frequent = known.filter(F.col("n") > group)
+    if n := frequent.count():
         prefixes.frequent.append(build(frequent, "prefix", n))
-        counts = prefix_counts(docs, text, prefixes)
-        known = known.unionByName(counts)
+        longer = longer_counts(docs, text, prefixes)
+        known = known.unionByName(longer.select("prefix", "n"))
+        many = longer.filter(F.col("n") > group)
+        sizes = {r.kind: r["count"] for r in many.groupBy("kind").count().collect()}  # one row for each kind
+        while not prefixes.whole and (n := sizes.get(len(prefixes.frequent))):
+            prefixes.frequent.append(build(many.filter(F.col("kind") == len(prefixes.frequent)), "prefix", n))
     rows = suffix_groups(docs, text, prefixes, build(known, "prefix", known.count()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(deep_nodes(window, group), FOUND)
@@ -377,7 +409,7 @@ def maximal_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", win
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "_text"):
-                digest = Slice(part, "_text", window).digests()
+                digest = Words(part, "_text").digests()
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *(tx.signed(np.ascontiguousarray(digest[:, k])) for k in (0, 1))], names=["_id", "d1", "d2"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +451,7 @@ def removed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         """Documents without repeats are done at once; the text of the others goes on to meet its ranges."""
         for batch in batches:
             for part in tx.slices(batch, "_text"):
-                s = Slice(part, "_text", window)
+                s = Words(part, "_text")
                 digest = s.digests()
                 maybe = known.value.has(np.ascontiguousarray(digest[:, 0])) & (s.n_words >= window)
                 rows = [(None,) * 4 if m else cut((t or "").encode().split(), None) for t, m in zip(part.column("_text").to_pylist(), maybe.tolist())]

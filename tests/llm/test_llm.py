@@ -296,6 +296,28 @@ def test_substring_dedup(spark, docs, window, group):
     assert all(sha(r.kept_text) == r.kept_sha256 for r in got)
 
 
+def test_longer_prefixes_in_one_pass(spark, monkeypatch):
+    """However many kinds of longer prefixes are needed, the documents are read for one more count only."""
+    staged, real = [], substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, label: staged.append(label) or real(df, label))
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}", *passage[: 60 - i % 3], f"b{i}"])) for i in range(1, 13)] + [(50, "z " * 90), (51, " ".join(passage[5:25])), (52, None)]
+    got = substring_dedup.removed(spark.createDataFrame(rows, DOCS), group=2).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == cut_brute(rows, 35)
+    assert len(staged) == 3, staged
+
+
+def test_hashes_of_some_windows():
+    """Windows at some places hash as among all windows: none, one, runs, all."""
+    rng = np.random.default_rng(4)
+    s = substring_dedup.Words(pa.RecordBatch.from_pydict({"text": [" ".join(map(str, rng.integers(0, 9, 400))), None, "a b"]}), "text")
+    for n in (8, 16, 24, 35):
+        last = len(s.h) - n
+        for at in ([], [0], [last], [3, 4, 5, 100, 101, last], [0, 2, 4, 6], range(last + 1)):
+            at = np.array(list(at), np.int64)
+            assert (s.hashes(at, n) == substring_dedup.tx.windows(s.h, n)[at]).all()
+
+
 def test_suffix_order():
     """Ordered suffixes of rows against sorting the word lists themselves."""
     rng = np.random.default_rng(3)
