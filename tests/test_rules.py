@@ -155,3 +155,55 @@ def test_unconfirmed_spike_is_normal(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
     got = df.withColumns(diagnosis.label_columns()).select("diagnosed_fault", "diagnosis_confidence").collect()
     assert [tuple(r) for r in got] == [("NORMAL", 0.0), ("SPIKE", 1.0), ("NOISE", 1.0), ("MISSING", 1.0)]
+
+
+# --- readings meet their neighbours ---------------------------------------------
+
+
+def brute_summary(readings, stations, flagged):
+    """By comparing all readings of a time: (ts, station) to what neighbor_summary gives."""
+    import math
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (p[1], p[2], q[1], q[2]))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 6371.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    near = {p[0]: {q[0] for q in stations if q[0] != p[0] and 0 < km(p, q) <= 100.0} for p in stations}
+    out = {}
+    for key in {(ts, s) for s, ts, _, _ in readings if s in near}:
+        own = [v for s, ts, v, _ in readings if (ts, s) == key and v is not None]
+        met = [(v, f) for s, ts, v, f in readings if ts == key[0] and s in near[key[1]] and v is not None]
+        values = sorted((v for v, _ in met), key=lambda v: (math.isnan(v), v))
+        normal, odd = (sum(f == 0 for _, f in met), sum(f == 1 for _, f in met)) if flagged else (len(met), 0)
+        out[key] = (max(own, key=lambda v: (math.isnan(v), v), default=None), len(met), normal, odd, sum(values) / len(values) if values else None, values)
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"PLACE_PAIRS": 5, "SLOT_READINGS": 3, "SLOT_VALUES": 4, "STEP": 7}])
+@pytest.mark.parametrize("flagged", [True, False])
+def test_neighbor_summary_matches_brute_force(spark, monkeypatch, bounds, flagged):
+    """Repeated, null and NaN readings, unknown stations, positions a turn apart; under bounds that make many places, slots and steps."""
+    import random
+    from datetime import datetime, timedelta
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(spatial, name, value)
+    rng = random.Random(5)
+    stations = [(i, 28 + (i % 5) * 0.35, 76 + (i // 5) * 0.4 + 360 * (i % 3)) for i in range(30)] + [(90, -70.0, 10.0), (91, 10.0, 179.9), (92, 10.0, -179.9)]
+    times = [None, *(datetime(2025, 1, 1) + timedelta(hours=h) for h in range(5))]
+    known = [s[0] for s in stations]
+    readings = [(rng.choice([*known, 777]), rng.choice(times), rng.choice([None, float("nan"), *(rng.uniform(-9, 9) for _ in range(20))]), rng.choice([0, 1, None])) for _ in range(250)]
+    readings += [(91, times[1], 3.0, 0), (92, times[1], 5.0, 1)]
+    df = spark.createDataFrame(readings, "station_id long, ts timestamp_ntz, temperature double, bad int")
+    places = spark.createDataFrame(stations, "station_id long, latitude double, longitude double")
+    got = spatial.neighbor_summary(df, places, flag_col="bad" if flagged else None, collect_values=True).collect()
+    want = brute_summary(readings, stations, flagged)
+    assert len(got) == len(want) and {(r.ts, r.station_id) for r in got} == set(want)
+    for r in got:
+        value, *counts, mean, values = want[r.ts, r.station_id]
+        assert [r.neighbor_count, r.normal_neighbors, r.anomalous_neighbors] == counts
+        assert (r.station_value, r.neighbor_average) == (pytest.approx(value, nan_ok=True), pytest.approx(mean, nan_ok=True))
+        assert r.neighbor_values == pytest.approx(values, nan_ok=True)
+    assert len(spatial.neighbor_summary(df, places, flag_col="bad").columns) == 7
+    assert spatial.neighbor_summary(df.limit(0), places, collect_values=True).count() == 0

@@ -370,3 +370,20 @@ def test_pivot_places_negative_stations_and_refuses_none(spark, series):
     lost = df.limit(1).withColumn("station_id", F.lit(None).cast("long"))
     with pytest.raises(Exception, match="no station_id"):
         spatial.station_pivot(lost).collect()
+
+
+def test_salted_join_never_broadcasts_the_copies(skewed, spark):
+    """The planner takes a dimension's 64 copies for as small as its files; under Spark's own threshold it sent them all to the driver."""
+    dim = staging.stage(spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")), "dim")
+    out = staging.join_dim(skewed, dim, ["k"], spread="y", max_rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_neighbour_plans_never_broadcast_pairs(spark):
+    """Nor do the readings' pairs, which are lists in the tasks."""
+    places = spark.createDataFrame([(i, 28.0 + i / 10, 76.0) for i in range(9)], "station_id long, latitude double, longitude double")
+    df = spark.range(90).selectExpr("id % 9 AS station_id", "timestamp_ntz '2025-01-01' AS ts", "id / 2D AS temperature")
+    out = spatial.neighbor_summary(df, places, cfg=QCConfig(broadcast_rows=0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "BroadcastHashJoin [b" not in plan
