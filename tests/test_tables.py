@@ -387,3 +387,29 @@ def test_neighbour_plans_never_broadcast_pairs(spark):
     out = spatial.neighbor_summary(df, places, cfg=QCConfig(broadcast_rows=0))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "BroadcastHashJoin [b" not in plan
+
+
+def test_corrector_grows_its_trees_in_blocks(spark, series, monkeypatch, tmp_path):
+    """No fit holds more row weights than allowed; the blocks make one forest of all trees."""
+    from pyspark.ml import PipelineModel
+
+    grown = []
+    fit = correction.RandomForestRegressor.fit
+    monkeypatch.setattr(correction.RandomForestRegressor, "fit", lambda self, df: grown.append(self.getNumTrees()) or fit(self, df))
+    df = series({s: [(h % 24) + s for h in range(300)] for s in range(4)}).withColumn("diagnosed_fault", F.lit("NORMAL"))
+    df = staging.stage(df.withColumn("humidity", F.col("station_id") * 10.0), "normal")
+    features = ["humidity", "hour"]
+    whole = correction.fit_corrector(df, features, trees=10, depth=4)
+    monkeypatch.setattr(correction, "TASK_WEIGHTS", 1)
+    monkeypatch.setattr(correction, "BLOCK_TREES", 4)
+    model = correction.fit_corrector(df, features, trees=10, depth=4)
+    assert grown[0] == 10 and len(grown[1:]) == 3 and sum(grown[1:]) == 10 and max(grown[1:]) <= 4
+    forest = model.stages[-1]
+    assert forest.getNumTrees == len(forest.trees) == 10 and len({t.toDebugString for t in forest.trees}) > 4
+    asked = correction.with_ml_features(df)
+    row = model.transform(asked).select("features", "_predicted").first()
+    assert row._predicted == pytest.approx(np.mean([t.predict(row.features) for t in forest.trees]))
+    error = lambda m: m.transform(asked).agg(F.avg(F.abs(F.col("_predicted") - F.col("temperature")))).first()[0]
+    assert error(model) == pytest.approx(error(whole), rel=0.25)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    assert error(PipelineModel.load(str(tmp_path / "model"))) == pytest.approx(error(model))
