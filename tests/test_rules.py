@@ -207,3 +207,10 @@ def test_neighbor_summary_matches_brute_force(spark, monkeypatch, bounds, flagge
         assert r.neighbor_values == pytest.approx(values, nan_ok=True)
     assert len(spatial.neighbor_summary(df, places, flag_col="bad").columns) == 7
     assert spatial.neighbor_summary(df.limit(0), places, collect_values=True).count() == 0
+
+
+def test_positions_a_turn_apart_share_a_region(spark):
+    """Else readings go to a region for each turn."""
+    places = spark.createDataFrame([(i, 28.0, 76.0 + 360.0 * i + 0.1 * (i % 2)) for i in range(-3, 4)], "station_id long, latitude double, longitude double")
+    routes = spatial.routed_edges(places).select("b", "region").distinct()
+    assert spatial.routed_edges(places).count() == 49 and routes.count() == 7
